@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression that a lambda refers to is evaluated again for every
+    element. Bound like this it is a plain lambda variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
@@ -35,10 +46,12 @@ def is_blank(c: Column | str) -> Column:
 
 def lines(c: Column | str) -> Column:
     """Split into lines without a trailing empty line; an empty text has none."""
-    parts = F.split(col(c), LINE_BREAK)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    return let(
+        F.split(col(c), LINE_BREAK),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 def nonblank_lines(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
 from corpusloom.functions.jsontext import object_keys
-from corpusloom.functions.strings import UNICODE, col, find_all, find_first, lines, strip
+from corpusloom.functions.strings import UNICODE, col, find_all, find_first, let, lines, strip
 
 # Fixed value: what opens a macro module in a workbook text.
 VBA_HEADER = "--- VBA Module:"
@@ -50,11 +50,9 @@ def vba_modules(text: Column | str) -> Column:
         ),
     )
     blocks = F.filter(blocks, lambda b: (b["module"] != "") & (F.size(b["rows"]) > 0))
-    names = F.array_distinct(F.transform(blocks, lambda b: b["module"]))
     sub = r"(?idU)\bSub\s+(\w+)\s*\((.*?)\)"
 
-    def module(name: Column) -> Column:
-        rows = F.element_at(F.filter(blocks, lambda b: b["module"] == name), -1)["rows"]
+    def module(name: Column, rows: Column) -> Column:
         headers = F.filter(rows, lambda r: r.rlike(sub))
         remarks = F.filter(rows, lambda r: r.contains("'"))
         return F.struct(
@@ -74,7 +72,12 @@ def vba_modules(text: Column | str) -> Column:
             F.array_join(rows, "\n").alias("logic"),
         )
 
-    return F.transform(names, module)
+    def modules(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda b: b["module"]))
+        last = lambda name: F.element_at(F.filter(found, lambda b: b["module"] == name), -1)["rows"]
+        return F.transform(names, lambda name: let(last(name), lambda rows: module(name, rows)))
+
+    return let(blocks, modules)
 
 
 def vba_procedures(text: Column | str) -> Column:
@@ -83,11 +86,8 @@ def vba_procedures(text: Column | str) -> Column:
     Comments are the comment lines among the three lines before the header.
     """
     header = r"(?idU)\b(Sub|Function)\s+(\w+)\s*\((.*?)\)"
-    rows = lines(text)
-    numbered = F.transform(rows, lambda r, i: F.struct(r.alias("row"), i.alias("at")))
-    headers = F.filter(numbered, lambda r: r["row"].rlike(header))
 
-    def procedure(r: Column) -> Column:
+    def procedure(r: Column, rows: Column) -> Column:
         first = F.greatest(r["at"] - 2, F.lit(1))
         before = F.slice(rows, first, r["at"] + 1 - first)
         remarks = F.filter(F.transform(before, strip), lambda x: x.startswith("'"))
@@ -100,21 +100,27 @@ def vba_procedures(text: Column | str) -> Column:
             .alias("comments"),
         )
 
-    return F.transform(headers, procedure)
+    def procedures(rows: Column) -> Column:
+        numbered = F.transform(rows, lambda r, i: F.struct(r.alias("row"), i.alias("at")))
+        headers = F.filter(numbered, lambda r: r["row"].rlike(header))
+        return F.transform(headers, lambda r: procedure(r, rows))
+
+    return let(lines(text), procedures)
 
 
 def workbook_summary(text: Column | str) -> Column:
     """Macros, formulas, validations, formatting, names, pivots and links, in that order."""
-    rows = lines(text)
-    formula = r"(?dU)^FORMULA: ([A-Z]+\d+) = (.+)"
+    found = let(lines(text), lambda rows: F.concat(_macro_lines(text), _workbook_facts(rows)))
+    return let(
+        found,
+        lambda facts: F.when(F.size(facts) > 0, F.array_join(facts, "\n")).otherwise(
+            "No business logic, rules, or automation found in the file."
+        ),
+    )
 
-    def labelled(prefix: str, label: str) -> Column:
-        hits = F.filter(rows, lambda r: strip(r).startswith(prefix))
-        return F.transform(
-            hits, lambda r: F.concat(F.lit(label), strip(F.replace(strip(r), F.lit(prefix), F.lit(""))))
-        )
 
-    macros = F.flatten(
+def _macro_lines(text: Column | str) -> Column:
+    return F.flatten(
         F.transform(
             vba_modules(text),
             lambda m: F.array(
@@ -125,6 +131,17 @@ def workbook_summary(text: Column | str) -> Column:
             ),
         )
     )
+
+
+def _workbook_facts(rows: Column) -> Column:
+    formula = r"(?dU)^FORMULA: ([A-Z]+\d+) = (.+)"
+
+    def labelled(prefix: str, label: str) -> Column:
+        hits = F.filter(rows, lambda r: strip(r).startswith(prefix))
+        return F.transform(
+            hits, lambda r: F.concat(F.lit(label), strip(F.replace(strip(r), F.lit(prefix), F.lit(""))))
+        )
+
     formulas = F.transform(
         F.filter(rows, lambda r: r.rlike(formula)),
         lambda r: F.concat(
@@ -140,8 +157,7 @@ def workbook_summary(text: Column | str) -> Column:
         strip,
     )
     links = F.transform(F.filter(rows, lambda r: strip(r).startswith("External Link:")), strip)
-    found = F.concat(
-        macros,
+    return F.concat(
         formulas,
         labelled("DATA_VALIDATION:", "Data Validation Rule: "),
         labelled("CONDITIONAL_FORMATTING:", "Conditional Formatting: "),
@@ -149,9 +165,6 @@ def workbook_summary(text: Column | str) -> Column:
         pivots,
         links,
     )
-    return F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(
-        "No business logic, rules, or automation found in the file."
-    )
 
 
 def csharp_summary(text: Column | str) -> Column:
@@ -290,7 +303,7 @@ def angular_summary(text: Column | str, path: Column | str) -> Column:
 
 def top_tags(pages: DataFrame, keys: list[str], html: str = "html", n: int = TOP_TAGS) -> DataFrame:
     """The most frequent tags of each page; ties by first appearance."""
-    tags = pages.select(*keys, F.posexplode(find_all(html, r"<([a-zA-Z0-9-_]+)", 1)).alias("_pos", "tag"))
+    tags = pages.select(*keys, F.posexplode(find_all(html, r"<([a-zA-Z0-9_-]+)", 1)).alias("_pos", "tag"))
     counts = tags.groupBy(*keys, "tag").agg(
         F.count(F.lit(1)).alias("uses"), F.min("_pos").alias("_first")
     )
