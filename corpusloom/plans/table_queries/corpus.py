@@ -84,7 +84,7 @@ def _window_rows(body: str, first: str, tokens: int, source: str) -> str:
     """SQL rows of the token windows of ``body``; ``source`` gives body, first and key columns."""
     width = 4 * tokens
     return f"""
-  SELECT * EXCLUDE (n, w, {body}), w AS content,
+  SELECT * EXCLUDE (w, {body}), w AS content,
     {first} + {_newlines(f"substr({body}, 1, n * {width})")} AS start_line,
     {first} + {_newlines(f"substr({body}, 1, n * {width})")} + {_newlines('w')}
       - CASE WHEN ends_with(w, chr(10)) THEN 1 ELSE 0 END AS end_line
@@ -112,9 +112,9 @@ blocks AS (
 block_windows AS ({_window_rows('body', 'first_line', LINE_TOKENS, 'blocks')}),
 line_pieces AS (
   SELECT doc_id, lang, text, {sql_text(FRAME)} || content AS content, start_line, end_line,
-    row_number() OVER (PARTITION BY doc_id ORDER BY block_at, start_line, end_line, seq) - 1 AS chunk_index,
+    row_number() OVER (PARTITION BY doc_id ORDER BY block_at, n) - 1 AS chunk_index,
     count(*) OVER (PARTITION BY doc_id) AS total_chunks
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block_at) AS seq FROM block_windows))"""
+  FROM block_windows)"""
 
 SQL_STORE = SQL_LINE_BLOCKS + f""",
 store AS (
@@ -250,18 +250,10 @@ FROM documents""",
     "token_chunks": Query(
         token_chunks,
         f"""WITH source AS (SELECT doc_id, text AS body, 1 AS first_line FROM documents),
-pieces AS ({_window_rows('body', 'first_line', TOKEN_WINDOW, 'source')}),
-numbered AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM (
-    SELECT doc_id, n AS chunk_index, substr(text, n * {4 * TOKEN_WINDOW} + 1,
-      CASE WHEN length(text) // 4 <= {TOKEN_WINDOW} THEN length(text) ELSE {4 * TOKEN_WINDOW} END) AS content,
-      1 + {_newlines(f"substr(text, 1, n * {4 * TOKEN_WINDOW})")} AS start_line
-    FROM (SELECT *, unnest(range(0, CASE WHEN length(text) // 4 <= {TOKEN_WINDOW} THEN 1
-      ELSE (length(text) + {4 * TOKEN_WINDOW - 1}) // {4 * TOKEN_WINDOW} END)) AS n FROM documents)))
-SELECT doc_id, chunk_index, total_chunks, start_line,
-  start_line + {_newlines('content')} - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS end_line,
-  length(content) // 4 AS token_count, md5(content) AS md5
-FROM numbered""",
+pieces AS ({_window_rows('body', 'first_line', TOKEN_WINDOW, 'source')})
+SELECT doc_id, n AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks,
+  start_line, end_line, length(content) // 4 AS token_count, md5(content) AS md5
+FROM pieces""",
     ),
     "line_chunks": Query(
         line_chunks,
