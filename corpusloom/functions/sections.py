@@ -109,32 +109,31 @@ def _last_match(pieces: Column, test, body) -> Column:
 
 def sections_strict(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> dict[str, Column]:
     pieces = split_strict(text, headers)
-    return {
-        h: _last_match(
+
+    def section(header: str) -> Column:
+        return _last_match(
             pieces,
-            lambda p, h=h: p.startswith(h),
-            lambda p, h=h: strip(p.substr(F.lit(len(h) + 1), F.length(p))),
+            lambda p: p.startswith(header),
+            lambda p: strip(p.substr(F.lit(len(header) + 1), F.length(p))),
         )
-        for h in headers
-    }
+
+    return {h: section(h) for h in headers}
 
 
 def sections_loose(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> dict[str, Column]:
     """Header marks and spelling variants are cut off together with the header."""
     pieces = split_loose(text, headers)
 
-    def body(p: Column, h: str) -> Column:
-        words = h.lower().replace(" ", "[ -]").replace("functionalities", "functionalit(?:ies|y)")
-        return strip(F.regexp_replace(p, rf"(?iU)^\s*#*\s*{words.replace('files', 'files?')}", ""))
-
-    return {
-        h: _last_match(
+    def section(header: str) -> Column:
+        words = header.lower().replace(" ", "[ -]").replace("files", "files?")
+        words = words.replace("functionalities", "functionalit(?:ies|y)")
+        return _last_match(
             pieces,
-            lambda p, h=h: normalize_header(p).startswith(h.lower()),
-            lambda p, h=h: body(p, h),
+            lambda p: normalize_header(p).startswith(header.lower()),
+            lambda p: strip(F.regexp_replace(p, rf"(?iU)^\s*#*\s*{words}", "")),
         )
-        for h in headers
-    }
+
+    return {h: section(h) for h in headers}
 
 
 def header_blocks(text: Column | str) -> Column:

@@ -1 +1,270 @@
-QUERIES = {}
+"""Imports, dependencies and symbols of source files derived from documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import sections as S
+from corpusloom.operators import imports, symbols
+
+from .base import SQL_CODE_FILES, SQL_DEPENDENCIES, Query, code_files, sql_strip, worded_lines
+
+
+
+
+def _results(spark, sf_dir):
+    """Every file with a requirements text made of its prose."""
+    files = code_files(spark, sf_dir)
+    return files.select(
+        "project_id", "rel_path", "file_name", F.concat(F.lit("Overview\n"), "prose").alias("requirements")
+    )
+
+
+def _dependencies(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return imports.resolve_imports(imports.extract_imports(files), files)
+
+
+def import_extraction(spark, sf_dir):
+    found = imports.extract_imports(code_files(spark, sf_dir))
+    return found.select("project_id", "src_path", "language", "import_pos", "import_name")
+
+
+def import_resolution(spark, sf_dir):
+    return _dependencies(spark, sf_dir)
+
+
+def import_edges(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    found = imports.extract_imports(files)
+    edges = imports.containment_edges(found, files)
+    return edges.groupBy("project_id", "source").agg(
+        F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"), F.min("target").alias("first")
+    )
+
+
+def dependents(spark, sf_dir):
+    out = imports.dependents(_dependencies(spark, sf_dir), _results(spark, sf_dir))
+    return out.select("project_id", "rel_path", "file_name", "relative_path", F.md5("reason").alias("reason"))
+
+
+def dependents_by_name(spark, sf_dir):
+    out = imports.dependents(_dependencies(spark, sf_dir), _results(spark, sf_dir), by="name")
+    return out.groupBy("project_id", "rel_path").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def dependent_counts(spark, sf_dir):
+    results = _results(spark, sf_dir)
+    reverse = imports.dependents(_dependencies(spark, sf_dir), results)
+    return imports.attach_dependents(results, reverse).select("project_id", "rel_path", "dependents")
+
+
+def enriched_reasons(spark, sf_dir):
+    out = imports.enrich_reasons(_dependencies(spark, sf_dir), _results(spark, sf_dir))
+    return out.select("project_id", "src_path", "target_path", F.md5("reason").alias("reason"))
+
+
+def dependency_text(spark, sf_dir):
+    out = imports.dependency_text(_dependencies(spark, sf_dir))
+    return out.select("project_id", "src_path", F.md5("dependent_files").alias("md5"))
+
+
+def result_lookup(spark, sf_dir):
+    """English files are found by path, the others by name, Spanish ones not at all."""
+    files = code_files(spark, sf_dir)
+    wanted = files.select(
+        "project_id",
+        "doc_id",
+        F.when(F.col("lang") == "en", F.col("rel_path")).otherwise(F.lit("?")).alias("relative_path"),
+        F.when(F.col("lang") == "es", F.lit("?")).otherwise(F.col("file_name")).alias("file_name"),
+    )
+    return imports.find_results(wanted, _results(spark, sf_dir)).select("doc_id", "found_path")
+
+
+def dependency_cards(spark, sf_dir):
+    """Snippets of the targets, without the cards that say nothing."""
+    deps = _dependencies(spark, sf_dir)
+    texts = code_files(spark, sf_dir).select(
+        "project_id",
+        F.col("rel_path").alias("target_path"),
+        S.overview_snippet(
+            F.when(F.col("lang") == "en", F.concat(F.lit("Intro\n\nOverview\n"), "prose"))
+            .when(F.col("lang") == "fr", F.concat(F.lit("Imports a\n"), "prose"))
+            .otherwise(F.lit(""))
+        ).alias("snippet"),
+    )
+    from corpusloom.operators.skew import salted_join
+
+    cards = salted_join(deps, texts, ["project_id", "target_path"])
+    return cards.where(S.shows_dependency("snippet")).select(
+        "project_id", "src_path", "target_path", F.md5("snippet").alias("snippet")
+    )
+
+
+# --- symbols ---
+
+
+def _python_files(spark, sf_dir):
+    """A function per line of each document; German files start with a syntax error."""
+    body = F.array_join(
+        F.transform(
+            worded_lines(F.col("prose")),
+            lambda r: F.concat(
+                F.lit("import m_"), r["word"], F.lit("\ndef f_"), r["word"],
+                F.lit("(a):\n    return a.g_"), r["word"], F.lit("(f_"), r["word"], F.lit("(a))\n# "), r["line"],
+            ),
+        ),
+        "\n",
+    )
+    text = F.when(F.col("lang") == "de", F.concat(F.lit("def broken(:\n"), body)).otherwise(body)
+    files = code_files(spark, sf_dir)
+    return files.select("project_id", "rel_path", F.lit("Python").alias("language"), text.alias("text"))
+
+
+def python_symbols(spark, sf_dir):
+    return symbols.python_symbols(_python_files(spark, sf_dir))
+
+
+def _javascript_files(spark, sf_dir):
+    body = F.array_join(
+        F.transform(
+            worded_lines(F.col("prose")),
+            lambda r: F.concat(
+                F.lit("import x from './"), r["word"], F.lit("';\nfunction f_"), r["word"],
+                F.lit("(a) { g_"), r["word"], F.lit("(a); f_"), r["word"], F.lit(" (a) }\n// "), r["line"],
+            ),
+        ),
+        "\n",
+    )
+    files = code_files(spark, sf_dir)
+    return files.select("project_id", "rel_path", F.lit("JavaScript").alias("language"), body.alias("text"))
+
+
+def javascript_symbols(spark, sf_dir):
+    return symbols.javascript_symbols(_javascript_files(spark, sf_dir))
+
+
+def call_edges(spark, sf_dir):
+    return symbols.call_edges(symbols.python_symbols(_python_files(spark, sf_dir)))
+
+
+_SQL_SYMBOL_WORDS = SQL_CODE_FILES + """,
+symbol_words AS (
+  SELECT project_id, src_path AS rel_path, word, import_pos AS idx, src_path LIKE 'de/%' AS broken FROM code_imports)"""
+
+_SQL_PYTHON = _SQL_SYMBOL_WORDS + """,
+facts AS (
+  SELECT project_id, rel_path, 'import' AS kind, 'm_' || word AS name, NULL AS caller,
+    CASE WHEN broken THEN idx - 1 ELSE idx END AS pos
+  FROM symbol_words WHERE NOT (broken AND idx = 0)
+  UNION ALL SELECT project_id, rel_path, 'function', 'f_' || word, NULL, idx FROM symbol_words
+  UNION ALL SELECT project_id, rel_path, 'call', 'g_' || word, 'f_' || word, 2 * idx FROM symbol_words
+  UNION ALL SELECT project_id, rel_path, 'call', 'f_' || word, 'f_' || word, 2 * idx + 1 FROM symbol_words)"""
+
+_SQL_RESULTS = SQL_DEPENDENCIES + f""",
+results AS (
+  SELECT project_id, rel_path, file_name, doc_id, lang, text AS prose,
+    nullif(substr(text, 1, 200), '') AS head,
+    nullif(substr(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+      lambda l: {sql_strip('l')}), lambda l: l <> ''), ' '), 1, 200), '') AS overview
+  FROM code_files),
+reverse AS (
+  SELECT d.project_id, d.target_path AS rel_path, s.file_name, d.src_path AS relative_path,
+    coalesce(s.head, 'Imports this file.') AS reason
+  FROM dependencies d JOIN results s ON s.project_id = d.project_id AND s.rel_path = d.src_path)"""
+
+QUERIES = {
+    "import_extraction": Query(
+        import_extraction,
+        f"""WITH {SQL_CODE_FILES}
+SELECT project_id, src_path, language, import_pos,
+  CASE WHEN language IN ('JavaScript', 'TypeScript') THEN './' || word ELSE word END AS import_name
+FROM code_imports""",
+    ),
+    "import_resolution": Query(
+        import_resolution,
+        f"""WITH {SQL_DEPENDENCIES}
+SELECT project_id, src_path, file_name, target_path, reason FROM dependencies""",
+    ),
+    "import_edges": Query(
+        import_edges,
+        f"""WITH {SQL_CODE_FILES}
+SELECT i.project_id, i.src_path AS source, count(*) AS edges, count(DISTINCT f.rel_path) AS targets,
+  min(f.rel_path) AS first
+FROM (SELECT project_id, src_path, CASE WHEN language IN ('JavaScript', 'TypeScript') THEN './' || word ELSE word END AS name
+  FROM code_imports) i
+JOIN code_files f ON f.project_id = i.project_id
+  AND (contains(f.rel_path, i.name) OR contains(f.rel_path, list_last(string_split(i.name, '.'))))
+GROUP BY i.project_id, i.src_path""",
+    ),
+    "dependents": Query(
+        dependents,
+        f"""WITH {_SQL_RESULTS}
+SELECT project_id, rel_path, file_name, relative_path, md5(reason) AS reason FROM reverse""",
+    ),
+    "dependents_by_name": Query(
+        dependents_by_name,
+        f"""WITH {_SQL_RESULTS}
+SELECT r.project_id, r.rel_path, count(*) AS edges
+FROM dependencies d JOIN results r ON r.project_id = d.project_id AND r.file_name = d.file_name
+GROUP BY r.project_id, r.rel_path""",
+    ),
+    "dependent_counts": Query(
+        dependent_counts,
+        f"""WITH {_SQL_RESULTS}
+SELECT r.project_id, r.rel_path, count(v.relative_path) AS dependents
+FROM results r LEFT JOIN reverse v ON v.project_id = r.project_id AND v.rel_path = r.rel_path
+GROUP BY r.project_id, r.rel_path""",
+    ),
+    "enriched_reasons": Query(
+        enriched_reasons,
+        f"""WITH {_SQL_RESULTS}
+SELECT d.project_id, d.src_path, d.target_path, md5(coalesce(r.overview, d.reason)) AS reason
+FROM dependencies d LEFT JOIN results r ON r.project_id = d.project_id AND r.rel_path = d.target_path""",
+    ),
+    "dependency_text": Query(
+        dependency_text,
+        f"""WITH {SQL_DEPENDENCIES}
+SELECT project_id, src_path,
+  md5(string_agg(file_name || '\\n' || replace(reason, chr(10), ' '), '\\n' ORDER BY target_path)) AS md5
+FROM dependencies GROUP BY project_id, src_path""",
+    ),
+    "result_lookup": Query(
+        result_lookup,
+        f"""WITH {SQL_CODE_FILES}
+SELECT doc_id, CASE lang WHEN 'en' THEN rel_path WHEN 'es' THEN NULL
+  ELSE min(rel_path) OVER (PARTITION BY project_id, file_name) END AS found_path
+FROM code_files""",
+    ),
+    "dependency_cards": Query(
+        dependency_cards,
+        f"""WITH {_SQL_RESULTS},
+snippets AS (
+  SELECT project_id, rel_path, CASE WHEN length(three) > 200 THEN substr(three, 1, 200) || '...'
+    WHEN three = '' THEN 'No specific overview available.' ELSE three END AS snippet
+  FROM (SELECT *, array_to_string(list_slice(list_filter(string_split(prose, chr(10)),
+      lambda l: {sql_strip('l')} <> ''), 1, 3), ' ') AS three FROM results WHERE lang = 'en'))
+SELECT d.project_id, d.src_path, d.target_path, md5(s.snippet) AS snippet
+FROM dependencies d JOIN snippets s ON s.project_id = d.project_id AND s.rel_path = d.target_path
+WHERE NOT regexp_matches(s.snippet, '(?i)^imports\\b')""",
+    ),
+    "python_symbols": Query(
+        python_symbols, f"WITH {_SQL_PYTHON} SELECT project_id, rel_path, kind, name, caller, pos FROM facts"
+    ),
+    "javascript_symbols": Query(
+        javascript_symbols,
+        f"""WITH {_SQL_SYMBOL_WORDS},
+times AS (SELECT project_id, rel_path, word, count(*) AS n FROM symbol_words GROUP BY ALL)
+SELECT project_id, rel_path, 'import' AS kind, './' || word AS name, NULL AS caller, idx AS pos FROM symbol_words
+UNION ALL SELECT project_id, rel_path, 'function', 'f_' || word, NULL, idx FROM symbol_words
+UNION ALL SELECT project_id, rel_path, 'call', CASE WHEN i % 2 = 0 THEN 'g_' ELSE 'f_' END || word, 'f_' || word, i
+FROM (SELECT *, unnest(range(0, 2 * n)) AS i FROM times)""",
+    ),
+    "call_edges": Query(
+        call_edges,
+        f"""WITH {_SQL_PYTHON}
+SELECT c.project_id, c.rel_path || ':' || c.caller AS source, c.rel_path || ':' || c.name AS target, 'call' AS type
+FROM facts c JOIN facts f ON f.kind = 'function' AND c.kind = 'call'
+  AND f.project_id = c.project_id AND f.rel_path = c.rel_path AND f.name = c.name""",
+    ),
+}
