@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import WHITESPACE, col, is_blank, nonblank_lines, strip
+from .strings import WHITESPACE, col, is_blank, let, nonblank_lines, strip
 
 # Section headers in their order.
 HEADERS = [
@@ -101,86 +101,93 @@ def normalize_header(header: Column | str) -> Column:
     return h
 
 
-def _last_match(pieces: Column, test, body) -> Column:
-    """Body of the last piece that passes ``test``; null when none does."""
-    hits = F.filter(pieces, test)
-    return F.when(F.size(hits) > 0, body(F.element_at(hits, -1)))
+def _last(pieces: Column, test) -> Column:
+    """The last piece that passes ``test``; null when none does."""
+    return F.try_element_at(F.filter(pieces, test), F.lit(-1))
 
 
-def sections_strict(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> dict[str, Column]:
-    pieces = split_strict(text, headers)
+def _struct(headers: list[str], section) -> Column:
+    return F.struct(*[section(h).alias(slug(h)) for h in headers])
 
-    def section(header: str) -> Column:
-        return _last_match(
-            pieces,
-            lambda p: p.startswith(header),
-            lambda p: strip(p.substr(F.lit(len(header) + 1), F.length(p))),
-        )
 
-    return {h: section(h) for h in headers}
+def sections_strict(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> Column:
+    """Struct of section bodies, one field per header; null where there is none."""
 
+    def build(pieces: Column) -> Column:
+        def section(header: str) -> Column:
+            piece = _last(pieces, lambda p: p.startswith(header))
+            return strip(F.substring(piece, len(header) + 1, 1 << 30))
 
-def sections_loose(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> dict[str, Column]:
-    """Header marks and spelling variants are cut off together with the header."""
-    pieces = split_loose(text, headers)
+        return _struct(headers, section)
 
-    def section(header: str) -> Column:
-        words = header.lower().replace(" ", "[ -]").replace("files", "files?")
-        words = words.replace("functionalities", "functionalit(?:ies|y)")
-        return _last_match(
-            pieces,
-            lambda p: normalize_header(p).startswith(header.lower()),
-            lambda p: strip(F.regexp_replace(p, rf"(?iU)^\s*#*\s*{words}", "")),
-        )
+    return let(split_strict(text, headers), build)
+
+
+def sections_loose(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> Column:
+    """The same for loose headers. Marks and spelling variants are cut off with the header."""
+    # a header is decided by the start of its piece
+    start = lambda p: F.regexp_extract(p, r"(?sU)^\s*#*\s*(.{0,32})", 1)
+    headed = F.transform(
+        split_loose(text, headers),
+        lambda p: F.struct(normalize_header(start(p)).alias("head"), p.alias("piece")),
+    )
+
+    def build(pieces: Column) -> Column:
+        def section(header: str) -> Column:
+            words = header.lower().replace(" ", "[ -]").replace("files", "files?")
+            words = words.replace("functionalities", "functionalit(?:ies|y)")
+            piece = _last(pieces, lambda p: p["head"].startswith(header.lower()))["piece"]
+            return strip(F.regexp_replace(piece, rf"(?iU)^\s*#*\s*{words}", ""))
+
+        return _struct(headers, section)
 
-    return {h: section(h) for h in headers}
+    return let(headed, build)
 
 
 def header_blocks(text: Column | str) -> Column:
     """Blocks of a text, each starting at a header paragraph and running to the next one."""
     names = "|".join(HEADERS)
     blocks = F.split(strip(text), rf"\n\n(?=(?U:\s)*(?:{names}))")
-    return F.filter(blocks, lambda b: strip(b).rlike(f"^(?:{names})"))
+    return F.filter(F.transform(blocks, strip), lambda b: b.rlike(f"^(?:{names})"))
 
 
 def parse_sections(text: Column | str) -> Column:
     """Struct of six sections; a repeated header replaces the earlier one."""
-    blocks = header_blocks(text)
-
-    def pieces(name: str) -> tuple[Column, Column]:
-        hits = F.filter(blocks, lambda b: strip(b).startswith(name))
-        block = F.when(F.size(hits) > 0, strip(F.element_at(hits, -1)))
-        paragraphs = F.split(block, "\n\n")
-        first = nonblank_lines(F.element_at(paragraphs, 1))
-        first = F.slice(first, F.lit(2), F.size(first))
-        rest = F.flatten(
-            F.transform(F.slice(paragraphs, F.lit(2), F.size(paragraphs)), nonblank_lines)
-        )
-        return F.coalesce(first, F.array().cast("array<string>")), F.coalesce(
-            rest, F.array().cast("array<string>")
-        )
+    none = F.array().cast("array<string>")
+    tail = lambda rows: F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+    number_cut = lambda x: strip(F.regexp_replace(x, r"(?U)^\d+\. ", ""))
+
+    def build(blocks: Column) -> Column:
+        def block(name: str) -> Column:
+            return _last(blocks, lambda b: b.startswith(name))
+
+        def rows_of(name: str) -> Column:
+            """Everything below the header, whatever the paragraph."""
+            return F.coalesce(let(nonblank_lines(block(name)), tail), none)
+
+        def keyed(paragraphs: Column) -> Column:
+            first = let(nonblank_lines(F.get(paragraphs, F.lit(0))), tail)
+            rest = F.flatten(F.transform(tail(paragraphs), nonblank_lines))
+            chosen = let(
+                first,
+                lambda rows: let(
+                    F.filter(rows, lambda x: x.rlike(r"(?U)^\d+\. ")),
+                    lambda numbered: F.when(F.size(numbered) > 0, numbered).otherwise(rows),
+                ),
+            )
+            return F.transform(F.concat(chosen, rest), number_cut)
 
-    def text_of(name: str) -> Column:
-        first, rest = pieces(name)
-        return F.array_join(F.concat(first, rest), " ")
+        key_items = let(F.split(block("Key Functionalities"), "\n\n"), keyed)
+        return F.struct(
+            F.array_join(rows_of("Overview"), " ").alias("overview"),
+            F.array_join(rows_of("Objective"), " ").alias("objective"),
+            F.array_join(rows_of("Use Case"), " ").alias("use_case"),
+            F.coalesce(key_items, none).alias("key_functionalities"),
+            F.array_join(rows_of("Workflow Summary"), " ").alias("workflow_summary"),
+            rows_of("Dependent Files").alias("dependent_files"),
+        )
 
-    def number_cut(items: Column) -> Column:
-        return F.transform(items, lambda x: strip(F.regexp_replace(x, r"(?U)^\d+\. ", "")))
-
-    first, rest = pieces("Key Functionalities")
-    numbered = F.filter(first, lambda x: x.rlike(r"(?U)^\d+\. "))
-    key_items = F.concat(
-        number_cut(F.when(F.size(numbered) > 0, numbered).otherwise(first)), number_cut(rest)
-    )
-    dep_first, dep_rest = pieces("Dependent Files")
-    return F.struct(
-        text_of("Overview").alias("overview"),
-        text_of("Objective").alias("objective"),
-        text_of("Use Case").alias("use_case"),
-        key_items.alias("key_functionalities"),
-        text_of("Workflow Summary").alias("workflow_summary"),
-        F.concat(dep_first, dep_rest).alias("dependent_files"),
-    )
+    return let(header_blocks(text), build)
 
 
 def is_generic(text: Column | str) -> Column:
@@ -200,18 +207,15 @@ def choose_output(first: Column | str, second: Column | str) -> Column:
     return F.when(is_generic(first), col(second)).otherwise(col(first))
 
 
-def missing_sections(sections: dict[str, Column]) -> Column:
+def missing_sections(sections: Column, headers: list[str] = HEADERS) -> Column:
     """Required sections that are absent or too short, lower case."""
-    present = F.filter(
-        F.array(
-            *[
-                F.when(F.length(body) >= SECTION_MIN_LENGTH, F.lit(h.lower()))
-                for h, body in sections.items()
-            ]
-        ),
-        lambda h: h.isNotNull(),
-    )
-    return F.array_except(F.array(*[F.lit(h.lower()) for h in sections]), present)
+    lacking = [
+        F.when(
+            F.coalesce(F.length(sections[slug(h)]), F.lit(0)) < SECTION_MIN_LENGTH, F.lit(h.lower())
+        )
+        for h in headers
+    ]
+    return F.array_compact(F.array(*lacking))
 
 
 def fill_sections(
@@ -219,50 +223,60 @@ def fill_sections(
 ) -> Column:
     """All six sections as one text; short or failed ones get an explanation."""
     name, language, rules = col(name), col(language), F.coalesce(col(rules), F.lit(""))
-    found = sections_loose(text, HEADERS)
-    parts = []
-    for header in HEADERS:
-        body = F.coalesce(found[header], F.lit(""))
-        bad = (
-            body.startswith("Error: LLM failed")
-            | body.startswith("No business logic detected")
-            | (F.length(body) < SECTION_MIN_LENGTH)
-        )
+
+    def default_of(header: str) -> Column:
         # The explanations.
         if header == "Dependent Files":
-            default = F.lit("No dependencies detected.")
-        else:
-            default = F.format_string(
-                "No explicit business logic was detected in the %s %s file for the '"
-                + header
-                + "' section. This may be because the file primarily contains UI components, "
-                "configuration, or utility code, or lacks business rules, workflows, or domain "
-                "logic. If this is a React component or similar, the file may focus on rendering "
-                "or wiring rather than business processes.",
-                name,
-                language,
+            return F.lit("No dependencies detected.")
+        explained = F.format_string(
+            "No explicit business logic was detected in the %s %s file for the '"
+            + header
+            + "' section. This may be because the file primarily contains UI components, "
+            "configuration, or utility code, or lacks business rules, workflows, or domain "
+            "logic. If this is a React component or similar, the file may focus on rendering "
+            "or wiring rather than business processes.",
+            name,
+            language,
+        )
+        return F.when(rules != "", rules).otherwise(explained) if header == "Overview" else explained
+
+    def build(found: Column) -> Column:
+        parts = []
+        for header in HEADERS:
+            body = F.coalesce(found[slug(header)], F.lit(""))
+            bad = (
+                body.startswith("Error: LLM failed")
+                | body.startswith("No business logic detected")
+                | (F.length(body) < SECTION_MIN_LENGTH)
             )
-            if header == "Overview":
-                default = F.when(rules != "", rules).otherwise(default)
-        parts.append(F.concat(F.lit(header + "\n"), F.when(bad, default).otherwise(body), F.lit("\n")))
-    return F.concat_ws("\n", *parts)
+            filled = F.when(bad, default_of(header)).otherwise(body)
+            parts.append(F.concat(F.lit(header + "\n"), filled, F.lit("\n")))
+        return F.concat_ws("\n", *parts)
+
+    return let(sections_loose(text, HEADERS), build)
 
 
 def format_chunk(text: Column | str, language: Column | str) -> Column:
     """A tidied chunk output with all five sections, functionalities one per paragraph."""
-    language = col(language)
-    found = sections_strict(tidy(text))
-    defaults = chunk_defaults(language)
-    parts = []
-    for header in CHUNK_HEADERS:
-        body = F.coalesce(F.nullif(found[header], F.lit("")), defaults[header])
-        if header == "Key Functionalities":
-            items = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"(?U)^\d+\.\s"))
-            body = F.when(
-                F.size(items) > 0, F.array_join(F.transform(items, strip), "\n\n")
-            ).otherwise(defaults[header])
-        parts.append(F.concat(F.lit(header + "\n"), body))
-    return F.concat_ws("\n\n", *parts)
+    defaults = chunk_defaults(col(language))
+
+    def listed(items: Column) -> Column:
+        return F.when(
+            F.size(items) > 0, F.array_join(F.transform(items, strip), "\n\n")
+        ).otherwise(defaults["Key Functionalities"])
+
+    def build(found: Column) -> Column:
+        parts = []
+        for header in CHUNK_HEADERS:
+            body = F.coalesce(F.nullif(found[slug(header)], F.lit("")), defaults[header])
+            if header == "Key Functionalities":
+                body = let(
+                    F.filter(F.split(body, "\n"), lambda x: x.rlike(r"(?U)^\d+\.\s")), listed
+                )
+            parts.append(F.concat(F.lit(header + "\n"), body))
+        return F.concat_ws("\n\n", *parts)
+
+    return let(sections_strict(tidy(text)), build)
 
 
 def sentences(text: Column | str) -> Column:
@@ -272,20 +286,20 @@ def sentences(text: Column | str) -> Column:
 
 def complete_sentences(text: Column | str) -> Column:
     """Drop a last sentence that does not end."""
-    parts = sentences(text)
-    ended = F.element_at(parts, -1).rlike("[.!?]$")
-    return F.when(ended, col(text)).otherwise(
-        F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " ")
+    return let(
+        sentences(text),
+        lambda parts: F.when(F.element_at(parts, -1).rlike("[.!?]$"), col(text)).otherwise(
+            F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " ")
+        ),
     )
 
 
 def summary_sections(text: Column | str) -> Column:
     """``## `` headings as ``array<struct<title, content, key>>``."""
     blocks = F.split(F.concat(F.lit("\n"), col(text)), r"\n(?=(?U:[^\S\n])*## )")
-    blocks = F.filter(blocks, lambda b: strip(b).startswith("## "))
+    blocks = F.filter(F.transform(blocks, strip), lambda b: b.startswith("## "))
 
-    def section(block: Column) -> Column:
-        rows = F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != "")
+    def section(rows: Column) -> Column:
         title = F.regexp_replace(F.element_at(rows, 1), "^## ", "")
         return F.struct(
             title.alias("title"),
@@ -293,7 +307,8 @@ def summary_sections(text: Column | str) -> Column:
             F.regexp_replace(F.lower(title), "[^a-z0-9]", "_").alias("key"),
         )
 
-    return F.transform(blocks, section)
+    rows_of = lambda b: F.filter(F.transform(F.split(b, "\n"), strip), lambda x: x != "")
+    return F.transform(blocks, lambda b: let(rows_of(b), section))
 
 
 def summary_missing(text: Column | str) -> Column:

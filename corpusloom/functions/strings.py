@@ -14,8 +14,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The line breaks recognised when a text is split into lines.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Line breaks other than a plain newline.
+OTHER_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # Java flags that make a pattern behave on Unicode text as the rules expect:
 # d = only \n ends a line, U = Unicode word and space classes.
@@ -44,10 +44,21 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
 
 
+def _split_lines(c: Column | str) -> Column:
+    """Split at every kind of line break.
+
+    Splitting at a single character is several times faster than at a
+    pattern, so the rare other breaks are turned into newlines first.
+    """
+    c = col(c)
+    plain = F.when(c.rlike(OTHER_BREAK), F.regexp_replace(c, OTHER_BREAK, "\n")).otherwise(c)
+    return F.split(plain, "\n")
+
+
 def lines(c: Column | str) -> Column:
     """Split into lines without a trailing empty line; an empty text has none."""
     return let(
-        F.split(col(c), LINE_BREAK),
+        _split_lines(c),
         lambda parts: F.when(
             F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
         ).otherwise(parts),
@@ -56,7 +67,7 @@ def lines(c: Column | str) -> Column:
 
 def nonblank_lines(c: Column | str) -> Column:
     """Stripped lines with the empty ones removed."""
-    stripped = F.transform(F.split(col(c), LINE_BREAK), strip)
+    stripped = F.transform(_split_lines(c), strip)
     return F.filter(stripped, lambda line: line != "")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.functions.sections import overview_body, overview_head
 from corpusloom.functions.strings import col
+from corpusloom.session import cut_lineage
 
-from .skew import salted_join
+from .skew import hot_from_counts, salted_join
 
 
 @dataclass(frozen=True)
@@ -176,8 +177,11 @@ def resolve_imports(
         reason = F.when(
             hit, F.format_string(syntax.reason, base, paths.file_name(source))
         ).otherwise(reason)
-    asked = imports.groupBy(*keep, "src_path", "language", "import_name").agg(
-        F.min("import_pos").alias("import_pos")
+    # Written once: the rows are narrow, finding them again means reading all texts.
+    asked = cut_lineage(
+        imports.groupBy(*keep, "src_path", "language", "import_name").agg(
+            F.min("import_pos").alias("import_pos")
+        )
     )
     asked = asked.select(
         *keep,
@@ -208,7 +212,8 @@ def containment_edges(
     source.
     """
     last = F.substring_index("import_name", ".", -1)
-    asked = imports.withColumn("needle", last)
+    asked = cut_lineage(imports.select(*keep, "src_path", "import_pos", last.alias("needle")))
+    files = cut_lineage(files.select(*keep, path))
     needles = asked.select(*keep, "needle").distinct()
 
     def pieces(text: Column, n: int) -> Column:
@@ -245,16 +250,17 @@ def containment_edges(
     grams = grams.join(used, [*keep, "gram"], "left_semi")
     counts = grams.groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("files"))
     rarest = (
-        salted_join(parts, counts, [*keep, "gram"], "left")
+        parts.join(counts, [*keep, "gram"], "left")
         .groupBy(*keep, "needle")
         .agg(F.min_by("gram", F.coalesce("files", F.lit(0))).alias("gram"))
     )
+    hot = hot_from_counts(counts, [*keep, "gram"], "files")
     matches = (
-        salted_join(grams, rarest, [*keep, "gram"])
+        salted_join(grams, rarest, [*keep, "gram"], hot=hot)
         .where(F.col("target").contains(F.col("needle")))
         .select(*keep, "needle", "target")
     )
-    return salted_join(asked.select(*keep, "src_path", "import_pos", "needle"), matches, [*keep, "needle"]).select(
+    return salted_join(asked, matches, [*keep, "needle"]).select(
         *keep, F.col("src_path").alias("source"), "target", F.lit("import").alias("type")
     )
 
@@ -278,11 +284,7 @@ def dependents(
         F.col("file_name").alias("importer_name"),
         F.coalesce(overview_head("requirements"), F.lit("Imports this file.")).alias("reason"),
     )
-    edges = salted_join(
-        dependencies.select(*keep, "src_path", "target_path", F.col("file_name").alias("target_name")),
-        importer,
-        [*keep, "src_path"],
-    )
+    edges = dependencies.select(*keep, "src_path", "target_path", F.col("file_name").alias("target_name"))
     if by == "path":
         targets = results.select(*keep, F.col("rel_path").alias("target_path"))
         edges = salted_join(edges, targets, [*keep, "target_path"])
@@ -292,7 +294,8 @@ def dependents(
         )
         edges = salted_join(edges.drop("target_path"), targets, [*keep, "target_name"])
         edges = edges.withColumnRenamed("named_path", "target_path")
-    return edges.select(
+    # a file's own dependencies come from one text, so this side has no hot key
+    return edges.join(importer, [*keep, "src_path"]).select(
         *keep,
         F.col("target_path").alias("rel_path"),
         F.col("importer_name").alias("file_name"),

@@ -142,10 +142,9 @@ def complete_chunks(
     chunks: DataFrame, keys: list[str], text: str = "text", index: str = "chunk_index"
 ) -> DataFrame:
     """Chunk outputs with all five sections, one column per section."""
-    found = S.sections_loose(text)
     out = chunks.select(
-        *keys, F.col(index).alias("chunk_index"), *[found[h].alias(S.slug(h)) for h in S.CHUNK_HEADERS]
-    )
+        *keys, F.col(index).alias("chunk_index"), S.sections_loose(text).alias("_s")
+    ).select(*keys, "chunk_index", "_s.*")
     return out.dropna(subset=[S.slug(h) for h in S.CHUNK_HEADERS])
 
 
@@ -242,13 +241,12 @@ def project_context(
     the limit are brought together.
     """
     limit = 4 * max_tokens + 4
-    found = S.sections_strict("requirements", CONTEXT_HEADERS)
     parts = results.where(F.col("requirements") != "").select(
         *keep,
         F.col(order).alias("_order"),
         "file_name",
-        *[found[h].alias(S.slug(h)) for h in ["Workflow Summary", *[h for _, h in CONTEXT_PARTS]]],
-    )
+        S.sections_strict("requirements", CONTEXT_HEADERS).alias("_s"),
+    ).select(*keep, "_order", "file_name", "_s.*")
     flow = F.col("workflow_summary")
     flow_line = F.when(
         F.coalesce((flow != "") & ~flow.startswith("Error"), F.lit(False)),

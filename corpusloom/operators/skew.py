@@ -17,11 +17,18 @@ MAX_HOT_KEYS = 10_000
 def hot_keys(df: DataFrame, on: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Keys of ``df`` with many rows and the number of salts each gets."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return hot_from_counts(counts, on, "_rows", rows_per_salt)
+
+
+def hot_from_counts(
+    counts: DataFrame, on: list[str], rows: str, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """The same from counts per key that are there already."""
     return (
-        counts.where(F.col("_rows") > rows_per_salt)
-        .orderBy(F.desc("_rows"), *on)
+        counts.where(F.col(rows) > rows_per_salt)
+        .orderBy(F.desc(rows), *on)
         .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts"))
+        .select(*on, F.ceil(F.col(rows) / rows_per_salt).cast("int").alias("_salts"))
     )
 
 
@@ -37,7 +44,8 @@ def salted_join(
 
     Rows of ``right`` are repeated only for hot keys, once per salt. ``how``
     is ``inner`` or ``left``. ``hot`` may be given when the counts are known
-    already; it must have at most ``MAX_HOT_KEYS`` rows.
+    already; it must have at most ``MAX_HOT_KEYS`` rows. Without it ``left``
+    is read twice, so it should be a table or cheap to compute.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")

@@ -10,12 +10,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.strings import find_all
-
-from .skew import salted_join
+from corpusloom.functions.strings import find_all, let
 
 SYMBOL_FIELDS = "kind string, name string, caller string, pos int"
 
@@ -102,59 +100,53 @@ JS_FUNCTION_WITH_BODY = r"function\s+(\w+)(?=\s*\([^)]*\)\s*\{([^}]*)\})"
 JS_CALL = r"(\w+)\s*\("
 
 
+def _js_facts(text: Column) -> Column:
+    def fact(kind: str, name: Column, caller: Column, pos: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), name.alias("name"), caller.alias("caller"), pos.alias("pos")
+        )
+
+    nobody = F.lit(None).cast("string")
+
+    def calls(names: Column, bodies: Column) -> Column:
+        def of(name: Column) -> Column:
+            body = F.try_element_at(F.filter(bodies, lambda b: b["name"] == name), F.lit(1))["body"]
+            times = F.size(F.filter(names, lambda n: n == name))
+            called = F.flatten(F.array_repeat(find_all(body, JS_CALL, 1), times))
+            return F.coalesce(
+                F.transform(called, lambda c, i: fact("call", c, name, i)),
+                F.array().cast("array<struct<kind:string,name:string,caller:string,pos:int>>"),
+            )
+
+        return F.flatten(F.transform(F.array_distinct(names), of))
+
+    def build(names: Column, bodies: Column) -> Column:
+        imported = F.transform(find_all(text, JS_IMPORT, 1), lambda n, i: fact("import", n, nobody, i))
+        declared = F.transform(names, lambda n, i: fact("function", n, nobody, i))
+        return F.concat(imported, declared, calls(names, bodies))
+
+    bodies = F.zip_with(
+        find_all(text, JS_FUNCTION_WITH_BODY, 1),
+        find_all(text, JS_FUNCTION_WITH_BODY, 2),
+        lambda n, b: F.struct(n.alias("name"), b.alias("body")),
+    )
+    return let(
+        find_all(text, JS_FUNCTION, 1), lambda names: let(bodies, lambda found: build(names, found))
+    )
+
+
 def javascript_symbols(
     files: DataFrame, path: str = "rel_path", text: str = "text", keep: tuple[str, ...] = ("project_id",)
 ) -> DataFrame:
-    """Regex facts of JavaScript files.
+    """Regex facts of JavaScript files, found inside each row.
 
     A function's body is what follows its first header up to the first
-    closing brace; a name declared twice reads that body twice. Bodies come
-    from one pass over the text, so a file with many functions stays linear.
+    closing brace. A body may hold further headers, so it is matched as a
+    look-ahead and the scan goes on right after the header's name. A name
+    declared twice reads its body twice.
     """
-    source = files.where(F.col("language") == "JavaScript").select(
-        *keep, F.col(path).alias("rel_path"), F.col(text).alias("_text")
-    )
-    fact = lambda kind, names: F.transform(
-        names,
-        lambda n, i: F.struct(
-            F.lit(kind).alias("kind"),
-            n.alias("name"),
-            F.lit(None).cast("string").alias("caller"),
-            i.alias("pos"),
-        ),
-    )
-    # A body may hold further headers, so it is matched as a look-ahead and
-    # the scan goes on right after the header's name.
-    names = find_all("_text", JS_FUNCTION, 1)
-    open_name = JS_FUNCTION_WITH_BODY
-    first_bodies = F.arrays_zip(
-        find_all("_text", open_name, 1).alias("name"), find_all("_text", open_name, 2).alias("body")
-    )
-    facts = source.select(
-        *keep,
-        "rel_path",
-        F.concat(
-            fact("import", find_all("_text", JS_IMPORT, 1)), fact("function", names)
-        ).alias("_facts"),
-        names.alias("_names"),
-        first_bodies.alias("_bodies"),
-    )
-    plain = facts.select(*keep, "rel_path", F.inline("_facts"))
-    body = facts.select(*keep, "rel_path", F.posexplode("_bodies").alias("_at", "_b")).select(
-        *keep, "rel_path", "_at", F.col("_b.name").alias("caller"), F.col("_b.body").alias("body")
-    )
-    body = body.groupBy(*keep, "rel_path", "caller").agg(F.min_by("body", "_at").alias("body"))
-    declared = plain.where(F.col("kind") == "function").groupBy(
-        *keep, "rel_path", F.col("name").alias("caller")
-    ).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    calls = (
-        body.join(declared, [*keep, "rel_path", "caller"])
-        .withColumn("_calls", find_all("body", JS_CALL, 1))
-        .withColumn("_calls", F.flatten(F.array_repeat("_calls", F.col("_times"))))
-        .select(*keep, "rel_path", "caller", F.posexplode("_calls").alias("pos", "name"))
-        .select(*keep, "rel_path", F.lit("call").alias("kind"), "name", "caller", "pos")
-    )
-    return plain.unionByName(calls)
+    source = files.where(F.col("language") == "JavaScript")
+    return source.select(*keep, F.col(path).alias("rel_path"), F.inline(_js_facts(F.col(text))))
 
 
 def symbols(files: DataFrame, **options) -> DataFrame:
@@ -164,8 +156,9 @@ def symbols(files: DataFrame, **options) -> DataFrame:
 def call_edges(facts: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """Calls of functions declared in the same file, as often as they occur.
 
-    Both sides are counted first, so the join sees each name once; a call met
-    m times to a name declared n times gives m * n edges.
+    Both sides are counted first, so the join meets a name once per caller of
+    its own file; a call met m times to a name declared n times gives m * n
+    edges.
     """
     calls = (
         facts.where(F.col("kind") == "call")
@@ -177,7 +170,7 @@ def call_edges(facts: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> Dat
         .groupBy(*keep, "rel_path", "name")
         .agg(F.count(F.lit(1)).alias("_declared"))
     )
-    edges = salted_join(calls, functions, [*keep, "rel_path", "name"])
+    edges = calls.join(functions, [*keep, "rel_path", "name"])
     times = (F.col("_calls") * F.col("_declared")).cast("int")
     return edges.select(
         *keep,

@@ -26,14 +26,15 @@ class Analysis:
 def analyse(files: DataFrame) -> Analysis:
     """All tables that need no model output. ``files`` comes from ``sources.files``.
 
-    Everything is lazy. The texts are read by several outputs; cache or write
-    ``files`` first when reading it is costly.
+    Dependencies are written, because they are joined several times; the rest
+    is lazy. The texts are read by several outputs; write ``files`` first when
+    reading it is costly.
     """
     sized = corpus.add_size(files)
     keys = [*KEEP, "rel_path"]
     code = sized.where("is_code")
     found = imports.extract_imports(code)
-    dependencies = imports.resolve_imports(found, sized)
+    dependencies = cut_lineage(imports.resolve_imports(found, sized))
     results = sized.select(*keys, "file_name", corpus.requirement_note().alias("requirements"))
     return Analysis(
         files=sized,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import sections as S
 from corpusloom.operators import imports, symbols
+from corpusloom.session import cut_lineage
 
 from .base import SQL_CODE_FILES, SQL_DEPENDENCIES, Query, code_files, sql_strip, worded_lines
 
@@ -21,8 +22,9 @@ def _results(spark, sf_dir):
 
 
 def _dependencies(spark, sf_dir):
+    """The dependency table, written as an analysis would keep it."""
     files = code_files(spark, sf_dir)
-    return imports.resolve_imports(imports.extract_imports(files), files)
+    return cut_lineage(imports.resolve_imports(imports.extract_imports(files), files))
 
 
 def import_extraction(spark, sf_dir):
@@ -145,7 +147,7 @@ def javascript_symbols(spark, sf_dir):
 
 
 def call_edges(spark, sf_dir):
-    return symbols.call_edges(symbols.python_symbols(_python_files(spark, sf_dir)))
+    return symbols.call_edges(cut_lineage(symbols.python_symbols(_python_files(spark, sf_dir))))
 
 
 _SQL_SYMBOL_WORDS = SQL_CODE_FILES + """,

@@ -62,10 +62,8 @@ def _drafts():
 def section_fill(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", _drafts().alias("t"))
     filled = S.fill_sections("t", F.col("source"), F.col("lang"), F.concat(F.lit("rules of "), "source"))
-    missing = S.missing_sections(S.sections_loose("t", S.HEADERS))
-    return docs.select(
-        "doc_id", F.md5(filled).alias("md5"), F.array_join(missing, ",").alias("missing")
-    )
+    out = docs.select("doc_id", F.md5(filled).alias("md5"), S.sections_loose("t", S.HEADERS).alias("s"))
+    return out.select("doc_id", "md5", F.array_join(S.missing_sections(F.col("s")), ",").alias("missing"))
 
 
 def chunk_format(spark, sf_dir):

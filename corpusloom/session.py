@@ -46,6 +46,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out rows that were read in fewer pieces than there are cores.
+
+    A file with one large row group is one task, whatever its size. Inputs
+    with enough pieces, which is every large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written table.
 
