@@ -66,28 +66,35 @@ IMPORT_SYNTAX = [
 FLAGS = "(?mdU)"
 
 
-def _applies(syntax: ImportSyntax, language: Column, path: Column) -> Column:
-    """The language decides; a file without one is judged by its extension."""
-    named = F.lower(language) == syntax.language.lower()
-    by_ext = (language == "") & paths.extension(path).isin(list(syntax.extensions))
-    return named | by_ext
+def import_language(
+    language: Column | str, path: Column | str, syntaxes: list[ImportSyntax] | None = None
+) -> Column:
+    """Which syntax a file is read by, or null.
+
+    The language decides; a file without one is judged by its extension.
+    """
+    syntaxes = IMPORT_SYNTAX if syntaxes is None else syntaxes
+    given = F.lower(F.coalesce(col(language), F.lit("")))
+    names = F.create_map(*[F.lit(x) for s in syntaxes for x in (s.language.lower(), s.language)])
+    by_ext = F.create_map(
+        *[F.lit(x) for s in syntaxes for e in s.extensions for x in (e, s.language)]
+    )
+    return F.when(given != "", F.try_element_at(names, given)).otherwise(
+        F.try_element_at(by_ext, paths.extension(path))
+    )
 
 
 def import_names(
-    text: Column | str,
-    language: Column | str,
-    path: Column | str,
-    syntaxes: list[ImportSyntax] | None = None,
+    text: Column | str, language: Column | str, syntaxes: list[ImportSyntax] | None = None
 ) -> Column:
-    """Imported names in order of pattern and position."""
-    text, path = col(text), col(path)
-    language = F.coalesce(col(language), F.lit(""))
+    """Imported names in order of pattern and position; ``language`` names the syntax."""
+    text, language = col(text), col(language)
     out = F.array().cast("array<string>")
     for syntax in IMPORT_SYNTAX if syntaxes is None else syntaxes:
         found = F.concat(
             *[F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(g)) for p, g in syntax.patterns]
         )
-        out = F.when(_applies(syntax, language, path), found).otherwise(out)
+        out = F.when(language == syntax.language, found).otherwise(out)
     return out
 
 
@@ -99,12 +106,18 @@ def extract_imports(
     keep: tuple[str, ...] = ("project_id",),
     syntaxes: list[ImportSyntax] | None = None,
 ) -> DataFrame:
-    """One row per import: ``src_path, import_pos, import_name``."""
-    return files.select(
+    """One row per import: ``src_path, language, import_pos, import_name``."""
+    read = files.select(
         *keep,
         F.col(path).alias("src_path"),
-        F.col(language).alias("language"),
-        F.posexplode(import_names(text, language, path, syntaxes)).alias("import_pos", "import_name"),
+        import_language(language, path, syntaxes).alias("language"),
+        F.col(text).alias("_text"),
+    ).where(F.col("language").isNotNull())
+    return read.select(
+        *keep,
+        "src_path",
+        "language",
+        F.posexplode(import_names("_text", "language", syntaxes)).alias("import_pos", "import_name"),
     )
 
 
@@ -168,14 +181,13 @@ def resolve_imports(
     """
     options = F.lit(None).cast("array<string>")
     reason = F.lit(None).cast("string")
-    source = F.col("src_path")
-    language = F.coalesce(F.col("language"), F.lit(""))
-    base = paths.file_name("import_name")
+    base = paths.file_name("hit.import_name")
     for syntax in IMPORT_SYNTAX if syntaxes is None else syntaxes:
-        hit = _applies(syntax, language, source)
+        hit = F.col("language") == syntax.language
         options = F.when(hit, candidates("import_name", syntax)).otherwise(options)
         reason = F.when(
-            hit, F.format_string(syntax.reason, base, paths.file_name(source))
+            F.col("hit.language") == syntax.language,
+            F.format_string(syntax.reason, base, paths.file_name("src_path")),
         ).otherwise(reason)
     # Written once: the rows are narrow, finding them again means reading all texts.
     asked = cut_lineage(
@@ -187,16 +199,20 @@ def resolve_imports(
         *keep,
         "src_path",
         "import_pos",
-        reason.alias("reason"),
+        "import_name",
+        "language",
         F.posexplode(options).alias("rank", "name"),
     )
     found = salted_join(asked, name_lookup(files, path, order, keep), [*keep, "name"])
     first = found.groupBy(*keep, "src_path", "import_pos").agg(
-        F.min_by(F.struct("target_path", "reason"), "rank").alias("hit")
+        F.min_by(F.struct("target_path", "import_name", "language"), "rank").alias("hit")
+    )
+    targets = first.groupBy(*keep, "src_path", F.col("hit.target_path").alias("target_path")).agg(
+        F.min_by("hit", "import_pos").alias("hit")
+    )
+    return targets.select(
+        *keep, "src_path", paths.file_name("target_path").alias("file_name"), "target_path", reason.alias("reason")
     )
-    return first.groupBy(*keep, "src_path", F.col("hit.target_path").alias("target_path")).agg(
-        F.min_by("hit.reason", "import_pos").alias("reason")
-    ).select(*keep, "src_path", paths.file_name("target_path").alias("file_name"), "target_path", "reason")
 
 
 def containment_edges(

@@ -10,7 +10,7 @@ from corpusloom.functions.strings import col, strip
 from corpusloom.functions.tokens import MAX_SAFE_TOKENS, MAX_SECTION_TOKENS, token_count
 from corpusloom.session import cut_lineage
 
-from .skew import salted_join
+from .skew import first_rows, salted_join
 
 # Token budget of each combined section, and functionalities kept.
 SECTION_BUDGETS = {
@@ -80,7 +80,6 @@ def budget_sentences(
     """
     position = F.struct(*by)
     todo = cut_lineage(sentences.select(*group, position.alias("_at"), "sentence", "tokens", "budget"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_at"))
     done: DataFrame | None = None
     state: DataFrame | None = None
     while True:
@@ -91,7 +90,7 @@ def budget_sentences(
             )
         else:
             ask = ask.where(F.col("tokens") <= F.col("budget")).withColumn("used", F.lit(0))
-        few = ask.withColumn("_n", rank).where(F.col("_n") <= round_sentences + 1)
+        few = first_rows(ask, group, ["_at"], round_sentences + 1)
         lists = few.groupBy(*group, "budget", "used").agg(
             F.array_sort(F.collect_list(F.struct("_at", "tokens", "sentence"))).alias("_items")
         )
@@ -277,11 +276,8 @@ def project_context(
     )
     window = Window.partitionBy(*keep).orderBy("_part", "_order")
     # every line has at least four characters
-    near = (
-        rows.withColumn("line", F.substring("line", 1, limit))
-        .withColumn("_n", F.row_number().over(window))
-        .where(F.col("_n") <= limit // 4 + 1)
-    )
+    cut_lines = rows.withColumn("line", F.substring("line", 1, limit))
+    near = first_rows(cut_lines, [*keep], ["_part", "_order"], limit // 4 + 1)
     start = F.coalesce(
         F.sum(F.length("line")).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
