@@ -1,0 +1,44 @@
+"""Exact token counts and windows with a byte-pair encoding the caller provides.
+
+The estimate in ``tokens`` needs no vocabulary and stays in the JVM. Where
+exact counts matter, these pandas UDFs take a function that loads an encoding
+(an object with ``encode`` and ``decode``) on the worker.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+def bpe_token_count(load: Callable[[], object]):
+    """A column function: number of tokens."""
+    encoding = lru_cache(maxsize=1)(load)
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else len(encoding().encode(t)))
+
+    return count
+
+
+def bpe_windows(load: Callable[[], object], max_tokens: int):
+    """A column function: the text when it fits, else windows of ``max_tokens`` tokens."""
+    encoding = lru_cache(maxsize=1)(load)
+
+    def split(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        ids = encoding().encode(text)
+        if len(ids) <= max_tokens:
+            return [text]
+        return [encoding().decode(ids[i : i + max_tokens]) for i in range(0, len(ids), max_tokens)]
+
+    @F.pandas_udf("array<string>")
+    def windows(texts: pd.Series) -> pd.Series:
+        return texts.map(split)
+
+    return windows

@@ -375,3 +375,20 @@ def dependency_text(dependencies: DataFrame, keep: tuple[str, ...] = ("project_i
             "\\n",
         ).alias("dependent_files")
     )
+
+
+# Fixed value: what stands for an empty list of dependencies.
+NO_DEPENDENCIES = "No dependencies detected."
+
+
+def append_dependency_text(
+    results: DataFrame, dependencies: DataFrame, keep: tuple[str, ...] = ("project_id",)
+) -> DataFrame:
+    """Every requirements text with its Dependent Files section at the end."""
+    texts = dependency_text(dependencies, keep).withColumnRenamed("src_path", "rel_path")
+    listed = F.coalesce("dependent_files", F.lit(NO_DEPENDENCIES))
+    return (
+        results.join(texts, [*keep, "rel_path"], "left")
+        .withColumn("requirements", F.concat("requirements", F.lit("\n\nDependent Files\n"), listed))
+        .drop("dependent_files")
+    )

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import diagram_text, jsontext, paths, tokens, vectors
+from corpusloom.functions import bpe, diagram_text, jsontext, paths, tokens, vectors
 from corpusloom.functions import sections as S
 from corpusloom.functions import strings
 
@@ -87,6 +87,22 @@ def test_token_windows(spark):
     assert "".join(one(spark, tokens.token_windows("t", 4), t=emoji)) == emoji
 
 
+def byte_encoding():
+    """One token per byte; stands in for a real vocabulary."""
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)}
+    return tiktoken.Encoding("bytes", pat_str=r"(?s).", mergeable_ranks=ranks, special_tokens={})
+
+
+def test_exact_tokens(spark):
+    df = spark.createDataFrame([("grün",), ("",)], "t string")
+    count = bpe.bpe_token_count(byte_encoding)
+    assert [r[0] for r in df.select(count("t")).collect()] == [5, 0]
+    windows = bpe.bpe_windows(byte_encoding, 2)
+    assert [r[0] for r in df.where("t = 'grün'").select(windows(F.lit("abcde"))).collect()] == [["ab", "cd", "e"]]
+
+
 def test_truncation(spark):
     assert one(spark, tokens.truncate_words("t", 2), t=" a  b\tc ") == "a b"
     assert one(spark, tokens.truncate_words("t", 3), t=" a  b\tc ") == " a  b\tc "

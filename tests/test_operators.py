@@ -187,6 +187,9 @@ def test_dependents_by_path_and_name(spark):
     counts = {r.rel_path: r.dependents for r in imports.attach_dependents(res, imports.dependents(deps, res)).collect()}
     assert counts == {"m.py": 0, "a/u.py": 0, "b/u.py": 1}
     assert imports.enrich_reasons(deps, res).first().reason == "Util it"
+    texts = {r.rel_path: r.requirements for r in imports.append_dependency_text(res, deps).collect()}
+    assert texts["m.py"] == "Overview\nMain.\n\nDependent Files\nu.py\\nr"
+    assert texts["a/u.py"].endswith("Dependent Files\nNo dependencies detected.")
 
 
 # --- symbols ---
