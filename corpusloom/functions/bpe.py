@@ -8,15 +8,26 @@ exact counts matter, these pandas UDFs take a function that loads an encoding
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 
+def _once(load: Callable[[], object]) -> Callable[[], object]:
+    """Load on first use in each worker."""
+    held: list[object] = []
+
+    def get() -> object:
+        if not held:
+            held.append(load())
+        return held[0]
+
+    return get
+
+
 def bpe_token_count(load: Callable[[], object]):
     """A column function: number of tokens."""
-    encoding = lru_cache(maxsize=1)(load)
+    encoding = _once(load)
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
@@ -27,7 +38,7 @@ def bpe_token_count(load: Callable[[], object]):
 
 def bpe_windows(load: Callable[[], object], max_tokens: int):
     """A column function: the text when it fits, else windows of ``max_tokens`` tokens."""
-    encoding = lru_cache(maxsize=1)(load)
+    encoding = _once(load)
 
     def split(text: str | None) -> list[str] | None:
         if text is None:

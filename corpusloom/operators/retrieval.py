@@ -19,8 +19,9 @@ from .skew import salted_join
 MAX_BROADCAST_QUERIES = 4_096
 MAX_BROADCAST_BYTES = 64 << 20
 
-# Rows per side of one block pair.
+# Rows per side of one block pair, and pivots that documents are sorted to.
 BLOCK_ROWS = 4_096
+MAX_PIVOTS = 256
 
 # Size of one distance matrix and of one exact re-check.
 _MATRIX_CELLS = 2_000_000
@@ -117,7 +118,7 @@ def _nearest(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     fields = f"query_id {query_type}, doc_id {id_type}, d2 double"
     if len(head) <= most:
         return _nearest_broadcast(head, docs, k, keyed, fields)
-    return _nearest_blocks(queries, docs, k, keyed, fields)
+    return (_nearest_by_key if keyed else _nearest_by_cell)(queries, docs, k, fields)
 
 
 def _nearest_broadcast(
@@ -152,28 +153,42 @@ def _nearest_broadcast(
     return docs.mapInPandas(scan, fields)
 
 
-def _nearest_blocks(
-    queries: DataFrame, docs: DataFrame, k: int, keyed: bool, fields: str
-) -> DataFrame:
-    """Many queries: both sides are cut into blocks of bounded size.
+def _pair(q: pd.DataFrame, d: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest documents of one block for the queries of another."""
+    if q.empty or d.empty:
+        return pd.DataFrame({"query_id": [], "doc_id": [], "d2": []})
+    top = _TopK(_matrix(q["vec"]), None, k)
+    top.add(d["doc_id"].to_numpy(), _matrix(d["vec"]), None)
+    return pd.DataFrame(
+        {
+            "query_id": q["query_id"].to_numpy()[top.best["q"].to_numpy(dtype=int)],
+            "doc_id": top.best["doc_id"].to_numpy(),
+            "d2": top.best["d2"].to_numpy(),
+        }
+    )
+
+
+def _pair_up(left: DataFrame, right: DataFrame, group: list[str], k: int, fields: str) -> DataFrame:
+    run = lambda q, d: _pair(q, d, k)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, fields)
 
-    Each pair of a query block and a document block is one small group, which
-    returns only the k nearest of each query. With a filter key, blocks are
-    cut inside each key, so a key with a third of all rows becomes many
-    blocks instead of one large group.
+
+def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str) -> DataFrame:
+    """Many queries with a filter key: blocks of bounded size inside each key.
+
+    Each pair of a query block and a document block of a key is one small
+    group, which returns only the k nearest of each query. A key with a third
+    of all rows becomes many blocks instead of one large group.
     """
-    by = ["key"] if keyed else []
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-        return counts if keyed else counts.withColumn("key", F.lit(0))
+        return df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
 
-    if not keyed:
-        queries, docs = queries.withColumn("key", F.lit(0)), docs.withColumn("key", F.lit(0))
     sizes = blocks(queries, "q_blocks").join(blocks(docs, "d_blocks"), "key")
+
     def place(df: DataFrame, id_name: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        placed = salted_join(df, sizes, ["key"])
-        return placed.select(
+        # one small row per key against many rows of that key
+        return salted_join(df, sizes, ["key"]).select(
             "key",
             id_name,
             "vec",
@@ -183,23 +198,99 @@ def _nearest_blocks(
 
     left = place(queries, "query_id", "q_blocks", "d_blocks", "qb", "db")
     right = place(docs, "doc_id", "d_blocks", "q_blocks", "db", "qb")
+    return _pair_up(left, right, ["key", "qb", "db"], k, fields)
 
-    def pair(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "d2": []})
-        top = _TopK(_matrix(q["vec"]), None, k)
-        top.add(d["doc_id"].to_numpy(), _matrix(d["vec"]), None)
-        ids = q["query_id"].to_numpy()
-        return pd.DataFrame(
-            {
-                "query_id": ids[top.best["q"].to_numpy(dtype=int)],
-                "doc_id": top.best["doc_id"].to_numpy(),
-                "d2": top.best["d2"].to_numpy(),
-            }
-        )
 
-    group = ["key", "qb", "db"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(pair, fields)
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d2 = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _nearest_by_cell(queries: DataFrame, docs: DataFrame, k: int, fields: str) -> DataFrame:
+    """Many queries: documents in cells around pivots, and only cells that can matter.
+
+    Every document belongs to its nearest pivot. The number of documents and
+    the radius of each cell bound the distance of a query's k-th neighbour
+    from above; the triangle inequality bounds the distance to any document
+    of a cell from below. A query visits the cells whose lower bound does not
+    pass its upper bound, so the result is exact. Cells are cut into blocks
+    of bounded size, whatever share of the documents they hold.
+    """
+    spark = docs.sparkSession
+    sample = docs.orderBy(F.xxhash64("doc_id")).limit(MAX_PIVOTS).select("vec").toPandas()
+    pivots = spark.sparkContext.broadcast(_matrix(sample["vec"]))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    vec_type = docs.schema["vec"].dataType.simpleString()
+    query_vec_type = queries.schema["vec"].dataType.simpleString()
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = _distances(_matrix(batch["vec"]), pivots.value)
+                cell = far.argmin(axis=1)
+                yield batch.assign(cell=cell.astype(np.int32), radius=far[np.arange(len(far)), cell])
+
+    placed = docs.select("doc_id", "vec").mapInPandas(
+        assign, f"doc_id {id_type}, vec {vec_type}, cell int, radius double"
+    )
+    # at most one row per pivot
+    cells = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")
+    ).toPandas()
+    cells["blocks"] = np.ceil(cells["n"] / BLOCK_ROWS).astype(int)
+    known = spark.sparkContext.broadcast(cells)
+    query_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = known.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            d = _distances(_matrix(batch["vec"]), pivots.value[c["cell"].to_numpy()])
+            within = d + c["far"].to_numpy()
+            order = np.argsort(within, axis=1)
+            reached = np.cumsum(c["n"].to_numpy()[order], axis=1) >= k
+            # fewer than k documents in all: every cell is needed
+            at = np.where(reached.any(axis=1), reached.argmax(axis=1), d.shape[1] - 1)
+            limit = within[np.arange(len(d)), order[np.arange(len(d)), at]]
+            limit[~reached.any(axis=1)] = np.inf
+            least = np.maximum(d - c["far"].to_numpy(), c["near"].to_numpy() - d)
+            qi, ci = np.nonzero(least <= (limit * (1 + 1e-9) + 1e-6)[:, None])
+            picked = batch.iloc[qi]
+            yield pd.DataFrame(
+                {
+                    "query_id": picked["query_id"].to_numpy(),
+                    "vec": picked["vec"].to_numpy(),
+                    "cell": c["cell"].to_numpy()[ci],
+                    "blocks": c["blocks"].to_numpy()[ci],
+                }
+            )
+
+    visits = (
+        queries.select("query_id", "vec")
+        .mapInPandas(visit, f"query_id {query_type}, vec {query_vec_type}, cell int, blocks int")
+        .select(
+            "query_id",
+            "vec",
+            "cell",
+            F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("db"),
+        )
+    )
+    sizes = spark.createDataFrame(
+        [(int(c), int(b)) for c, b in zip(cells["cell"], cells["blocks"])], "cell int, blocks int"
+    )
+    group = ["cell", "db", "qb"]
+    cut = placed.join(F.broadcast(sizes), "cell").select(
+        "doc_id", "vec", "cell", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("db")
+    )
+    # a document block is sent to the query blocks that visit it, and no others
+    visited = visits.select(*[F.col(c).alias(c) for c in group]).distinct()
+    right = cut.join(visited, ["cell", "db"]).select(
+        "doc_id", "vec", *[F.col(c).alias(c) for c in group]
+    )
+    return _pair_up(visits, right, group, k, fields)
 
 
 def nearest(

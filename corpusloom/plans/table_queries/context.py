@@ -68,6 +68,12 @@ def knn_postfilter(spark, sf_dir):
     return _rounded(_nearest(spark, sf_dir, k=K, filter_key="label", mode="post", metric="squared_l2"))
 
 
+def knn_self(spark, sf_dir):
+    """Every vector as a query, as when each chunk looks for related ones."""
+    rows = table(spark, sf_dir, "embeddings")
+    return _rounded(retrieval.nearest(rows, rows, k=3, query_id="vec_id", doc_id="vec_id"))
+
+
 def knn_filtered_search(spark, sf_dir):
     """Metadata filters as given by a caller, on the map column."""
     docs = table(spark, sf_dir, "embeddings").withColumn(
@@ -192,6 +198,15 @@ QUERIES = {
         _sql_hits(2 * K, "list_sum(list_transform(list_zip(c, embedding), lambda p: (p[1] - p[2]::DOUBLE) * (p[1] - p[2]::DOUBLE)))")
         + """ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank, round(score, 6) AS score
 FROM hits WHERE want = label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 10""",
+    ),
+    "knn_self": Query(
+        knn_self,
+        """WITH scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS d
+  FROM embeddings q CROSS JOIN embeddings d)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank,
+  round(1 / (1 + d), 6) AS score
+FROM scored QUALIFY rank <= 3""",
     ),
     "knn_filtered_search": Query(
         knn_filtered_search,

@@ -292,6 +292,7 @@ def test_nearest_equals_brute_force(spark, monkeypatch, blocks, keyed):
     if blocks:
         monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 10)
         monkeypatch.setattr(retrieval, "BLOCK_ROWS", 64)
+        monkeypatch.setattr(retrieval, "MAX_PIVOTS", 16)
     hits = retrieval.nearest(queries, docs, k=7, filter_key="g" if keyed else None).collect()
     got = {}
     for r in sorted(hits, key=lambda r: r.rank):
@@ -300,6 +301,29 @@ def test_nearest_equals_brute_force(spark, monkeypatch, blocks, keyed):
     assert got == brute_force(q64, d64, 7, *((q_keys, d_keys) if keyed else ()))
 
 
+def test_cells_leave_out_far_documents(spark, monkeypatch):
+    """Three clusters far apart: queries of one meet no documents of the others."""
+    rng = np.random.default_rng(7)
+    d = np.concatenate([rng.normal(size=(60, 4)) + 100 * c for c in range(3)])
+    docs = frame(spark, [(j, v.tolist()) for j, v in enumerate(d)], "doc_id long, embedding array<double>")
+    queries = frame(spark, [(j, v.tolist()) for j, v in enumerate(d[:60])], "query_id long, embedding array<double>")
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "MAX_PIVOTS", 12)
+    seen = []
+    original = retrieval._pair_up
+
+    def spy(left, right, group, k, fields):
+        seen.append({r.doc_id for r in right.select("doc_id").collect()})
+        return original(left, right, group, k, fields)
+
+    monkeypatch.setattr(retrieval, "_pair_up", spy)
+    got = {}
+    for r in retrieval.nearest(queries, docs, k=5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == brute_force(d[:60], d, 5)
+    assert seen[0] <= set(range(60))
+
+
 def test_post_filter_may_return_fewer(spark):
     docs = frame(spark, [(i, [float(i)], i % 4) for i in range(20)], "doc_id long, embedding array<float>, g int")
     queries = frame(spark, [(0, [0.0], 3)], "query_id long, embedding array<float>, g int")
