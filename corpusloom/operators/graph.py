@@ -199,16 +199,19 @@ def dependency_chain(
     ends = both_ways(edges).groupBy("node", "other").agg(
         F.min(F.struct("source", "target")).alias("_e")
     )
-    hubs = cut_lineage(hot_keys(ends, ["node"], rows_per_salt))
+    ends = cut_lineage(ends)
+    hubs = hot_keys(ends, ["node"], rows_per_salt).collect()
     salts = F.coalesce("_salts", F.lit(1))
-    spread = cut_lineage(
-        ends.join(F.broadcast(hubs), "node", "left").select(
-            "node",
-            F.pmod(F.xxhash64("other"), salts.cast("long")).cast("int").alias("_salt"),
-            "other",
-            "_e",
+    if hubs:
+        hub_salts = F.broadcast(ends.sparkSession.createDataFrame(hubs, "node string, _salts int"))
+        ends = cut_lineage(
+            ends.join(hub_salts, "node", "left").select(
+                "node",
+                F.pmod(F.xxhash64("other"), salts.cast("long")).cast("int").alias("_salt"),
+                "other",
+                "_e",
+            )
         )
-    )
     frontier = cut_lineage(
         starts.select(
             F.col("node").alias("start"),
@@ -222,11 +225,13 @@ def dependency_chain(
     hops = 0
     while not frontier.isEmpty():
         hops += 1
-        asking = frontier.select("start", "node").join(F.broadcast(hubs), "node", "left").select(
-            "start", "node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt")
-        )
+        asking = frontier.select("start", "node")
+        if hubs:
+            asking = asking.join(hub_salts, "node", "left").select(
+                "start", "node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt")
+            )
         reached = (
-            asking.join(spread, ["node", "_salt"])
+            asking.join(ends, ["node", "_salt"] if hubs else ["node"])
             .groupBy("start", F.col("other").alias("node"))
             .agg(F.min("_e").alias("_e"))
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")

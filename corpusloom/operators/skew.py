@@ -14,6 +14,12 @@ ROWS_PER_SALT = 500_000
 MAX_HOT_KEYS = 10_000
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns a salt can be made of; maps and variants have no hash."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return [n for n, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+
+
 def hot_keys(df: DataFrame, on: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Keys of ``df`` with many rows and the number of salts each gets."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
@@ -41,7 +47,7 @@ def first_rows(
     that ranks a large group. Ranking inside salted parts first leaves it at
     most ``salts * n``.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(df)), F.lit(salts)).cast("int"))
     inside = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))
     near = salted.withColumn("_n", inside).where(F.col("_n") <= n).drop("_salt", "_n")
     overall = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -59,16 +65,20 @@ def salted_join(
     """Join in which the hot keys of ``left`` are split by a salt.
 
     Rows of ``right`` are repeated only for hot keys, once per salt. ``how``
-    is ``inner`` or ``left``. ``hot`` may be given when the counts are known
-    already; it must have at most ``MAX_HOT_KEYS`` rows. Without it ``left``
-    is read twice, so it should be a table or cheap to compute.
+    is ``inner`` or ``left``. The keys are counted right away, so both sides
+    go by the same list; without hot keys this is a plain join. ``left``
+    should be a table or cheap to compute. ``hot`` may be given when the
+    counts are known already; it must have at most ``MAX_HOT_KEYS`` rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")
     if hot is None:
         hot = hot_keys(left, on, rows_per_salt)
-    hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("_salts"), F.lit(1)).cast("long"))
+    rows = hot.collect()
+    if not rows:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    salt = F.pmod(F.xxhash64(*_hashable(left)), F.coalesce(F.col("_salts"), F.lit(1)).cast("long"))
     salted = left.join(hot, on, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
     repeated = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))

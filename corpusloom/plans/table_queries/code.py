@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import sections as S
 from corpusloom.operators import imports, symbols
+from corpusloom.operators.skew import salted_join
 from corpusloom.session import cut_lineage
 
 from .base import SQL_CODE_FILES, SQL_DEPENDENCIES, Query, code_files, sql_strip, worded_lines
@@ -21,7 +22,7 @@ def _results(spark, sf_dir):
     )
 
 
-def _dependencies(spark, sf_dir):
+def dependency_table(spark, sf_dir):
     """The dependency table, written as an analysis would keep it."""
     files = code_files(spark, sf_dir)
     return cut_lineage(imports.resolve_imports(imports.extract_imports(files), files))
@@ -33,7 +34,7 @@ def import_extraction(spark, sf_dir):
 
 
 def import_resolution(spark, sf_dir):
-    return _dependencies(spark, sf_dir)
+    return dependency_table(spark, sf_dir)
 
 
 def import_edges(spark, sf_dir):
@@ -46,28 +47,28 @@ def import_edges(spark, sf_dir):
 
 
 def dependents(spark, sf_dir):
-    out = imports.dependents(_dependencies(spark, sf_dir), _results(spark, sf_dir))
+    out = imports.dependents(dependency_table(spark, sf_dir), _results(spark, sf_dir))
     return out.select("project_id", "rel_path", "file_name", "relative_path", F.md5("reason").alias("reason"))
 
 
 def dependents_by_name(spark, sf_dir):
-    out = imports.dependents(_dependencies(spark, sf_dir), _results(spark, sf_dir), by="name")
+    out = imports.dependents(dependency_table(spark, sf_dir), _results(spark, sf_dir), by="name")
     return out.groupBy("project_id", "rel_path").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def dependent_counts(spark, sf_dir):
     results = _results(spark, sf_dir)
-    reverse = imports.dependents(_dependencies(spark, sf_dir), results)
+    reverse = imports.dependents(dependency_table(spark, sf_dir), results)
     return imports.attach_dependents(results, reverse).select("project_id", "rel_path", "dependents")
 
 
 def enriched_reasons(spark, sf_dir):
-    out = imports.enrich_reasons(_dependencies(spark, sf_dir), _results(spark, sf_dir))
+    out = imports.enrich_reasons(dependency_table(spark, sf_dir), _results(spark, sf_dir))
     return out.select("project_id", "src_path", "target_path", F.md5("reason").alias("reason"))
 
 
 def dependency_text(spark, sf_dir):
-    out = imports.dependency_text(_dependencies(spark, sf_dir))
+    out = imports.dependency_text(dependency_table(spark, sf_dir))
     return out.select("project_id", "src_path", F.md5("dependent_files").alias("md5"))
 
 
@@ -85,7 +86,7 @@ def result_lookup(spark, sf_dir):
 
 def dependency_cards(spark, sf_dir):
     """Snippets of the targets, without the cards that say nothing."""
-    deps = _dependencies(spark, sf_dir)
+    deps = dependency_table(spark, sf_dir)
     texts = code_files(spark, sf_dir).select(
         "project_id",
         F.col("rel_path").alias("target_path"),
@@ -95,8 +96,6 @@ def dependency_cards(spark, sf_dir):
             .otherwise(F.lit(""))
         ).alias("snippet"),
     )
-    from corpusloom.operators.skew import salted_join
-
     cards = salted_join(deps, texts, ["project_id", "target_path"])
     return cards.where(S.shows_dependency("snippet")).select(
         "project_id", "src_path", "target_path", F.md5("snippet").alias("snippet")
@@ -106,7 +105,7 @@ def dependency_cards(spark, sf_dir):
 # --- symbols ---
 
 
-def _python_files(spark, sf_dir):
+def python_files(spark, sf_dir):
     """A function per line of each document; German files start with a syntax error."""
     body = F.array_join(
         F.transform(
@@ -124,10 +123,10 @@ def _python_files(spark, sf_dir):
 
 
 def python_symbols(spark, sf_dir):
-    return symbols.python_symbols(_python_files(spark, sf_dir))
+    return symbols.python_symbols(python_files(spark, sf_dir))
 
 
-def _javascript_files(spark, sf_dir):
+def javascript_files(spark, sf_dir):
     body = F.array_join(
         F.transform(
             worded_lines(F.col("prose")),
@@ -143,18 +142,18 @@ def _javascript_files(spark, sf_dir):
 
 
 def javascript_symbols(spark, sf_dir):
-    return symbols.javascript_symbols(_javascript_files(spark, sf_dir))
+    return symbols.javascript_symbols(javascript_files(spark, sf_dir))
 
 
 def call_edges(spark, sf_dir):
-    return symbols.call_edges(cut_lineage(symbols.python_symbols(_python_files(spark, sf_dir))))
+    return symbols.call_edges(cut_lineage(symbols.python_symbols(python_files(spark, sf_dir))))
 
 
 _SQL_SYMBOL_WORDS = SQL_CODE_FILES + """,
 symbol_words AS (
   SELECT project_id, src_path AS rel_path, word, import_pos AS idx, src_path LIKE 'de/%' AS broken FROM code_imports)"""
 
-_SQL_PYTHON = _SQL_SYMBOL_WORDS + """,
+SQL_PYTHON = _SQL_SYMBOL_WORDS + """,
 facts AS (
   SELECT project_id, rel_path, 'import' AS kind, 'm_' || word AS name, NULL AS caller,
     CASE WHEN broken THEN idx - 1 ELSE idx END AS pos
@@ -251,7 +250,7 @@ FROM dependencies d JOIN snippets s ON s.project_id = d.project_id AND s.rel_pat
 WHERE NOT regexp_matches(s.snippet, '(?i)^imports\\b')""",
     ),
     "python_symbols": Query(
-        python_symbols, f"WITH {_SQL_PYTHON} SELECT project_id, rel_path, kind, name, caller, pos FROM facts"
+        python_symbols, f"WITH {SQL_PYTHON} SELECT project_id, rel_path, kind, name, caller, pos FROM facts"
     ),
     "javascript_symbols": Query(
         javascript_symbols,
@@ -264,7 +263,7 @@ FROM (SELECT *, unnest(range(0, 2 * n)) AS i FROM times)""",
     ),
     "call_edges": Query(
         call_edges,
-        f"""WITH {_SQL_PYTHON}
+        f"""WITH {SQL_PYTHON}
 SELECT c.project_id, c.rel_path || ':' || c.caller AS source, c.rel_path || ':' || c.name AS target, 'call' AS type
 FROM facts c JOIN facts f ON f.kind = 'function' AND c.kind = 'call'
   AND f.project_id = c.project_id AND f.rel_path = c.rel_path AND f.name = c.name""",

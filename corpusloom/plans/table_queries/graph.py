@@ -9,7 +9,7 @@ from corpusloom.operators import graph
 from corpusloom.plans.analysis import project_graph
 
 from .base import SQL_DEPENDENCIES, Query, code_files, sql_text, table
-from .code import _SQL_PYTHON, _dependencies, _javascript_files, _python_files
+from .code import SQL_PYTHON, dependency_table, javascript_files, python_files
 
 
 def _page_paths(spark, sf_dir):
@@ -49,7 +49,7 @@ def path_to_root(spark, sf_dir):
 
 
 def _dependency_edges(spark, sf_dir):
-    deps = _dependencies(spark, sf_dir)
+    deps = dependency_table(spark, sf_dir)
     project = lambda c: F.concat_ws("/", "project_id", c)
     return deps.select(
         project("src_path").alias("source"), project("target_path").alias("target"), F.lit("import").alias("type")
@@ -70,8 +70,8 @@ def reachability(spark, sf_dir):
 
 def _graph_files(spark, sf_dir):
     """German and Spanish files as Python, the others as JavaScript."""
-    python = _python_files(spark, sf_dir).where(F.col("rel_path").rlike("^(de|es)/"))
-    script = _javascript_files(spark, sf_dir).where(~F.col("rel_path").rlike("^(de|es)/"))
+    python = python_files(spark, sf_dir).where(F.col("rel_path").rlike("^(de|es)/"))
+    script = javascript_files(spark, sf_dir).where(~F.col("rel_path").rlike("^(de|es)/"))
     return python.unionByName(script)
 
 
@@ -91,7 +91,7 @@ _SQL_EDGES = SQL_DEPENDENCIES + """,
 edges AS (SELECT project_id || '/' || src_path AS source, project_id || '/' || target_path AS target FROM dependencies),
 ends AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges)"""
 
-_SQL_GRAPH = _SQL_PYTHON + f""",
+_SQL_GRAPH = SQL_PYTHON + f""",
 all_facts AS (
   SELECT project_id, rel_path, kind, name, caller FROM facts WHERE regexp_matches(rel_path, '^(de|es)/')
   UNION ALL

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FEW_PIECES = 16
+
+
 def local_session(cpus: int | str = "*", name: str = "corpusloom") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, pass in your own."""
     spark = (
@@ -47,13 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share out rows that were read in fewer pieces than there are cores.
+    """Share out rows that were read in a handful of pieces.
 
     A file with one large row group is one task, whatever its size. Inputs
-    with enough pieces, which is every large one, are left as they are.
+    with enough pieces, which is every large one, are left as they are: more
+    than a few, and more than a quarter of the cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = max(cores // 4, min(cores, FEW_PIECES))
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= few else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
