@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.session import cut_lineage
 
-from .skew import ROWS_PER_SALT, hot_keys, salted_join
+from .skew import ROWS_PER_SALT, hot_keys
 
 # A function whose name contains one of these is important.
 IMPORTANT_NAMES = ["main", "run", "start", "init", "entry", "execute"]

@@ -6,6 +6,7 @@ Output rows: ``rel_path, kind (import|function|call), name, caller, pos``.
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,55 +19,55 @@ from corpusloom.functions.strings import find_all, let
 SYMBOL_FIELDS = "kind string, name string, caller string, pos int"
 
 
-class _Facts(ast.NodeVisitor):
-    """Collects imports, function names and the calls inside each function."""
+Fact = tuple[str, str, str | None]
 
-    def __init__(self) -> None:
-        self.imports: list[str] = []
-        self.functions: list[str] = []
-        self.calls: list[tuple[str, str]] = []
 
-    def visit_Import(self, node: ast.Import) -> None:
-        self.imports += [alias.name for alias in node.names]
+def _in_source_order(tree: ast.AST) -> Iterator[ast.AST]:
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        waiting.extend(reversed(list(ast.iter_child_nodes(node))))
 
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        if node.module:
-            self.imports.append(node.module)
 
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self.functions.append(node.name)
-        for inner in ast.walk(node):
-            if isinstance(inner, ast.Call):
-                called = getattr(inner.func, "id", None) or getattr(inner.func, "attr", None)
-                if called:
-                    self.calls.append((node.name, called))
-        self.generic_visit(node)
+def _called_names(function: ast.FunctionDef) -> Iterator[str]:
+    for node in ast.walk(function):
+        match node:
+            case ast.Call(func=ast.Name(id=name)) | ast.Call(func=ast.Attribute(attr=name)):
+                yield name
 
 
-def _parse(facts: _Facts, source: str) -> bool:
+def _facts(source: str) -> list[Fact] | None:
+    """Facts of a piece of source, or null when it does not parse."""
     try:
-        facts.visit(ast.parse(source))
-        return True
+        tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+        return None
+    facts: list[Fact] = []
+    for node in _in_source_order(tree):
+        match node:
+            case ast.Import(names=names):
+                facts += [("import", alias.name, None) for alias in names]
+            case ast.ImportFrom(module=str(module)):
+                facts.append(("import", module, None))
+            case ast.FunctionDef(name=name):
+                facts.append(("function", name, None))
+                facts += [("call", called, name) for called in _called_names(node)]
+    return facts
 
 
 def python_facts(source: str) -> list[tuple[str, str, str | None, int]]:
-    """Facts of one file; with a syntax error, those of its blocks that parse."""
-    facts = _Facts()
-    if not _parse(facts, source):
-        facts = _Facts()
-        for block in re.split(r"^(?=def |class )", source, flags=re.MULTILINE)[1:]:
-            part = _Facts()
-            if _parse(part, block):
-                facts.imports += part.imports
-                facts.functions += part.functions
-                facts.calls += part.calls
-    return (
-        [("import", n, None, i) for i, n in enumerate(facts.imports)]
-        + [("function", n, None, i) for i, n in enumerate(facts.functions)]
-        + [("call", n, c, i) for i, (c, n) in enumerate(facts.calls)]
-    )
+    """Facts of one file, numbered per kind; with a syntax error, those of its blocks that parse.
+
+    Calls inside a nested function count for it and for the functions around
+    it. Asynchronous functions are no functions here.
+    """
+    facts = _facts(source)
+    if facts is None:
+        blocks = re.split(r"^(?=def |class )", source, flags=re.MULTILINE)[1:]
+        facts = [fact for block in blocks for fact in _facts(block) or []]
+    counters = {kind: itertools.count() for kind in ("import", "function", "call")}
+    return [(kind, name, caller, next(counters[kind])) for kind, name, caller in facts]
 
 
 def python_symbols(

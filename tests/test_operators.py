@@ -211,7 +211,7 @@ def test_python_facts():
 def test_python_facts_with_syntax_error():
     source = "import lost\ndef good():\n    run()\ndef bad(:\n    pass\nclass C:\n    def ok(self): pass\n"
     assert [(k, n) for k, n, _, _ in symbols.python_facts(source)] == [
-        ("function", "good"), ("function", "ok"), ("call", "run")]
+        ("function", "good"), ("call", "run"), ("function", "ok")]
 
 
 def test_javascript_symbols(spark):
