@@ -57,4 +57,30 @@ def number_rows(df: DataFrame, order: list[Column], output: str) -> DataFrame:
     )
 
 
-__all__ = ["SMALL_ROWS", "SPACES", "count_chars_of", "let", "number_rows", "split_words", "whole_text"]
+# A key with more than a thousandth of all rows is hot, so there are fewer than a thousand of them.
+HOT_SHARE = 1000
+HOT_LEAST = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with one fact row for each key, whatever the keys' sizes.
+
+    ``count`` says how many of the ``total`` rows have the key. Facts of hot
+    keys, under ``HOT_SHARE`` of them, are sent to every task; their rows then
+    go through the ordinary join under keys of their own that match nothing,
+    so they spread evenly. ``key`` is binary and never null.
+    """
+    limit = max(HOT_LEAST, total // HOT_SHARE)
+    columns = [c for c in facts.columns if c != key]
+    hot = facts.where(F.col(count) > limit).select(
+        F.col(key), *[F.col(c).alias(f"_hot_{c}") for c in columns]
+    )
+    is_hot = F.col(f"_hot_{count}").isNotNull()
+    spread = F.concat(F.col(key), F.monotonically_increasing_id().cast("string").cast("binary"))
+    first = rows.join(F.broadcast(hot), key, "left").withColumn("_join", F.when(is_hot, spread).otherwise(F.col(key)))
+    cold = facts.where(F.col(count) <= limit).withColumnRenamed(key, "_join")
+    merged = {c: F.coalesce(F.col(f"_hot_{c}"), F.col(c)) for c in columns}
+    return first.join(cold, "_join", "left").withColumns(merged).drop("_join", *[f"_hot_{c}" for c in columns])
+
+
+__all__ = ["SMALL_ROWS", "SPACES", "count_chars_of", "join_facts", "let", "number_rows", "split_words", "whole_text"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans.table_queries.base import Query
 
-from . import mixing, packing, rules, sharding, tokens
+from . import exact, mixing, packing, rules, sharding, tokens, urls
 
 
 def of(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,7 +25,9 @@ QUERIES = {
         mixing.MIX_SQL,
     ),
     "op4_token_counts": Query(of("documents", tokens.count_tokens)),
+    "op5_grace_dedup": Query(of("documents", exact.exact_copies), exact.EXACT_SQL),
     "op6_feistel_shards": Query(of("documents", sharding.shard_digest)),
+    "op7_bloom_urls": Query(of("pages", urls.url_digest), urls.URL_SQL),
     "op8_binary_packing": Query(of("documents", packing.packing_digest)),
     "op10_quality_rules": Query(
         lambda spark, sf_dir: rules.quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

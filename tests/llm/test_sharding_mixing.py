@@ -76,7 +76,7 @@ def test_counts_are_inverse_poisson(spark):
         copies = brute_copies(i, t, rate["" if s is None else f"={s}"])
         want.update({(i, t, copies, c): 1 for c in range(copies)} if copies else {})
     assert Counter((r["doc_id"], r["text"], r["copies"], r["copy"]) for r in rows) == want
-    assert rate["=s6"] == 0 and abs(rate["=s2"] - 1200 * 0.05 / 9.95) < 1e-9 and mixing.RATE_PER_DRAW > 100
+    assert rate["=s6"] == 0 and abs(rate["=s2"] - 1200 * 0.05 / 0.95) < 1e-9 and mixing.RATE_PER_DRAW > 100
     keys = [r["shuffle_key"] for r in rows]
     assert keys == sorted(keys)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
