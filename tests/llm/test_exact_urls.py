@@ -113,7 +113,7 @@ def test_urls_without_rules_lists_or_pages(spark):
 
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
-    keys, others = rng.integers(0, 1 << 63, 20_000), rng.integers(0, 1 << 63, 20_000)
+    keys, others = (rng.integers(0, 2**64 - 1, 20_000, dtype=np.uint64) for _ in range(2))
     blocks = 20_000 * urls.BITS_PER_KEY // 512
     table = np.zeros((blocks, 8), np.uint64)
     np.bitwise_or.at(table, urls._blocks(keys, blocks), urls._words(keys))
