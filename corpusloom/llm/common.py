@@ -33,12 +33,14 @@ def count_chars_of(text: Column, chars: str) -> Column:
 def number_rows(df: DataFrame, order: list[Column], output: str) -> DataFrame:
     """Gapless numbers from 0 in the given order, for tables of any size.
 
-    One range shuffle: rows are sorted inside ranges, written once with their
+    The rows are written first, as finding the ranges reads them once more.
+    Then one range shuffle: rows are sorted inside ranges, written with their
     place in the range, and the sizes of the earlier ranges are added. Rows
     that tie in ``order`` get numbers in an unspecified order.
     """
     placed = cut_lineage(
-        df.repartitionByRange(*order)
+        cut_lineage(df)
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
     )

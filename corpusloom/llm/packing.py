@@ -8,6 +8,8 @@ sequence crosses documents or holds padding.
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import number_rows, whole_text
-from .tokens import Pieces
+from .tokens import Pieces, WordPieces
 
 MAX_TOKENS = 2048
 END_TOKEN = 1
@@ -38,13 +40,15 @@ def binary_pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
     return out
 
 
-def _id_bytes(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
+def _id_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)
 def writing(name: str) -> Pieces:
-    return Pieces(name, _id_bytes)
+    """``word_*`` tokenizers drop white space and case; others are byte-level."""
+    kind = WordPieces if os.path.basename(name).startswith("word_") else Pieces
+    return kind(name, _id_bytes)
 
 
 PIECES_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"

@@ -71,10 +71,27 @@ class Pieces:
     """
 
     def __init__(self, name: str, of) -> None:
-        self.tokenizer, self.of, self.known = load(name), of, {}
+        self.tokenizer, self.of = load(name), of
+        self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def _encode(self, texts: list[str]) -> list:
-        return [self.of(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.of(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _split(self, text: str) -> list[str]:
+        return _PLAIN.findall(text)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Make all ``pieces`` known; what was used least lately is forgotten, half at a time."""
+        new = {p for p in pieces if p not in self.known}
+        if not new:
+            return
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.older, self.known, new = self.known, {}, set(pieces)
+        again = [p for p in new if p in self.older]
+        self.known.update((p, self.older[p]) for p in again)
+        unseen = list(new.difference(again))
+        self.known.update(zip(unseen, self._encode(unseen)))
 
     def each(self, texts: Iterable[str]) -> Iterator[list]:
         """For each text, the values of its pieces in order."""
@@ -82,17 +99,62 @@ class Pieces:
             if _ODD.search(text):
                 yield self._encode([text])
                 continue
-            pieces = _PLAIN.findall(text)
+            pieces = self._split(text)
+            self._learn(pieces)
             known = self.known
-            new = list({p for p in pieces if p not in known})
-            if new:
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(pieces))
-                known.update(zip(new, self._encode(new)))
             yield [known[p] for p in pieces]
 
 
+# Letters that a lower-casing, composing tokenizer takes one by one, and marks that never join them.
+_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,!?;:]*)")
+
+
+class WordPieces(Pieces):
+    """For tokenizers that drop white space and case.
+
+    A word of plain letters, perhaps with marks behind it, is one or two
+    pre-tokens, and normalising it is lower-casing it. Its letters can go to
+    the tokenizer's model directly, in the byte-level spelling.
+    """
+
+    def __init__(self, name: str, of) -> None:
+        super().__init__(name, of)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.spelling = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters: dict[int, str] = {}
+        self.stems: dict[str, list[int]] = {}
+
+    def _split(self, text: str) -> list[str]:
+        return text.split()
+
+    def _stem(self, letters: str) -> list[int]:
+        ids = self.stems.get(letters)
+        if ids is None:
+            spelled = letters
+            if not letters.isascii():
+                for c in set(map(ord, letters)).difference(self.letters):
+                    self.letters[c] = self.spelling.pre_tokenize_str(chr(c))[0][0]
+                spelled = letters.translate(self.letters)
+            if len(self.stems) >= REMEMBERED // 2:
+                self.stems.clear()
+            ids = self.stems[letters] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return ids
+
+    def _encode(self, texts: list[str]) -> list:
+        out, others = [None] * len(texts), []
+        for k, text in enumerate(texts):
+            if found := _WORD.fullmatch(text):
+                letters, marks = found.groups()
+                ids = self._stem(letters.lower())
+                out[k] = self.of(ids + self._stem(marks) if marks else ids)
+            else:
+                others.append(k)
+        for k, value in zip(others, super()._encode([texts[k] for k in others])):
+            out[k] = value
+        return out
+
+
 @lru_cache(maxsize=4)
 def counting(name: str) -> Pieces:
     return Pieces(name, len)

@@ -57,7 +57,7 @@ def test_repeated_and_null_ids_and_no_rows(spark):
 def test_pieces_forgotten_when_there_are_many(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     pieces = tokens.Pieces("byte_bpe_50k.json", len)
-    texts = ["a b c d e", "b c f", "a a a", "e d"]
+    texts = ["a b c d e", "b c f", "a a a", "e d", "a b c d e"]
     assert [sum(v) for v in pieces.each(texts)] == expected_counts(texts)
 
 
@@ -95,3 +95,13 @@ def test_packing_without_rows(spark):
     assert packing.packing_digest(documents(spark, ["a"]).limit(0)).count() == 0
     rows = packing.packing_digest(documents(spark, [None, "a", "a"], ids=[None, 4, 4])).collect()
     assert sorted((r["doc_id"] or -1, r["length"]) for r in rows) == [(-1, 1), (4, 2), (4, 2)]
+
+
+def test_words_equal_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    letters = "".join(chr(c) for c in range(0xC0, 0x250)) + "Ab"
+    texts = ODD_TEXTS + [c + letters[k - 1] + "x." for k, c in enumerate(letters)] + [f"Wörd{k % 7}, WORD!? Été;" for k in range(50)]
+    pieces = tokens.WordPieces("word_bpe_49k.json", list)
+    t = library("word_bpe_49k.json")
+    for text, found in zip(texts, pieces.each([x or "" for x in texts])):
+        assert sum(found, []) == t.encode(text or "", add_special_tokens=False).ids, text
