@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans.table_queries.base import Query
 
-from . import exact, mixing, packing, pii, rules, sharding, tokens, urls
+from . import exact, mixing, near, packing, pii, rules, sharding, tokens, urls
 
 
 def of(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_probminhash": Query(of("documents", near.near_copies)),
     "op2_weak_pii": Query(of("documents", pii.find_personal_data)),
     "op3_poisson_mixing": Query(
         of("documents", lambda d: mixing.mix_sources(d).select("doc_id", "text", "source", "copies", "copy", "shuffle_key")),

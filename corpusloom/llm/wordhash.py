@@ -1,0 +1,80 @@
+"""Words of whole batches of texts as hashes, without a Python loop over words."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from .common import SPACES
+
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[ord(c) for c in SPACES]] = True
+
+# Texts are handled together up to so many bytes; a longer text is handled alone.
+PART_BYTES = 4 << 20
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    out = np.full(n, of, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+def parts(texts: pa.Array) -> Iterator[slice]:
+    """Ranges of rows whose texts have about ``PART_BYTES`` together."""
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
+    start = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        if size and size + n > PART_BYTES:
+            yield slice(start, k)
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin (one more at the end).
+
+    A word's hash is a polynomial over its bytes, read off from running sums
+    of the whole buffer. ``texts`` has no nulls.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # a space goes before each text, so that words never run from one text into the next
+    place = np.arange(len(data)) + np.repeat(np.arange(1, len(texts) + 1), np.diff(offsets))
+    spaced = np.full(len(data) + len(texts) + 1, 32, np.uint8)
+    spaced[place] = data
+    begins = offsets + np.arange(len(texts) + 1)
+    space = IS_SPACE[spaced]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[0::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(spaced) + 1, np.uint64)
+        np.cumsum((spaced.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(spaced)), out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * _powers(INVERSE, len(spaced))[starts])
+    return hashes, np.searchsorted(starts, begins)
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` neighbouring words (of whatever texts)."""
+    count = max(len(words) - n + 1, 0)
+    out = np.zeros(count, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = out * np.uint64(BASE) + words[k : k + count]
+    return mix(out)
