@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans.table_queries.base import Query
 
-from . import exact, mixing, near, packing, pii, rules, sharding, tokens, urls
+from . import exact, mixing, near, packing, pii, rules, sharding, substring, tokens, urls
 
 
 def of(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +31,7 @@ QUERIES = {
     "op6_feistel_shards": Query(of("documents", sharding.shard_digest)),
     "op7_bloom_urls": Query(of("pages", urls.url_digest), urls.URL_SQL),
     "op8_binary_packing": Query(of("documents", packing.packing_digest)),
+    "op9_suffix_automata": Query(of("documents", substring.remove_repeats)),
     "op10_quality_rules": Query(
         lambda spark, sf_dir: rules.quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     ),
