@@ -134,16 +134,28 @@ def replicate(
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .withColumn("shuffle_key", order)
         .drop("_source", "_draws", "_sums", "_identity")
-        .repartitionByRange("shuffle_key")
-        .sortWithinPartitions("shuffle_key")
+        .transform(_in_order)
     )
 
 
+def _in_order(copies: DataFrame) -> DataFrame:
+    """Sorted by ``shuffle_key``. As it is spread evenly, its first digits tell the range; nothing is sampled."""
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leading = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    return copies.repartitionById(n, F.floor(leading * n / (1 << 32)).cast("int")).sortWithinPartitions("shuffle_key")
+
+
 def mix_sources(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """:func:`replicate` with the rates of :func:`source_rates` for ``docs``."""
     return replicate(docs, source_rates(docs, **how), seed=seed)
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The mixture with the columns of ``docs``, whatever they are called."""
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
+    return mix_sources(rows, **how).select("_row.*")
+
+
 MIX_SQL = f"""
 WITH docs AS (SELECT *, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS ident FROM documents),
 counts AS (SELECT source, count(*) AS n_docs FROM docs GROUP BY source),
