@@ -24,13 +24,15 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
+BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
+
 # The list is learned from at most this many labelled documents, chosen by a hash of the id.
 MAX_LABELLED = 20_000
 
 MAX_RULES = 8
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.9  # of a rule, on rows it was not grown on
-MIN_COVERED = 3  # junk rows that a rule must find there
+MIN_COVERED = 2  # junk rows that a rule must find there
 CUTS = 24  # thresholds tried for each statistic
 
 FEATURES = (
@@ -203,23 +205,36 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]]) -> list[Rule]:
                 break
             chosen.append(best)
             covered &= grown_bits[best]
-        rule, junk_found, fine_found = _pruned(chosen, prune_on, rules)
-        if rule is None or junk_found < MIN_COVERED or junk_found < MIN_PRECISION * (junk_found + fine_found):
+        if not chosen:
             break
-        rules.append(rule)
+        rule, junk_found, fine_found = _pruned(chosen, prune_on, rules)
+        good = rule and junk_found >= MIN_COVERED and junk_found >= MIN_PRECISION * (junk_found + fine_found)
+        if good:
+            rules.append(rule)
+        # what a rule covers is set aside, also when the rule is not good enough
         found = junk | fine
-        for c in rule.conditions:
+        for c in rule.conditions if good else chosen:
             found &= grown_bits[c]
         junk, fine = junk & ~found, fine & ~found
     return rules
 
 
+def _tightest(conditions: list[Condition]) -> tuple[Condition, ...]:
+    """The same conjunction with one threshold for each statistic and direction."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in conditions:
+        key = (c.feature, c.above)
+        if key not in out or (c.threshold > out[key].threshold) == c.above:
+            out[key] = c
+    return tuple(out.values())
+
+
 def _pruned(chosen: list[Condition], rows, earlier: list[Rule]) -> tuple[Rule | None, int, int]:
     """The start of the conjunction that is worth most on ``rows``, with the junk and fine rows it covers."""
     left = [r for r in rows if not any(rule.holds(r[0]) for rule in earlier)]
     best: tuple[float, int, Rule | None, int, int] = (0.0, 0, None, 0, 0)
     for size in range(1, len(chosen) + 1):
-        rule = Rule(tuple(chosen[:size]))
+        rule = Rule(_tightest(chosen[:size]))
         hit = [is_junk for r, is_junk in left if rule.holds(r)]
         p = sum(hit)
         n = len(hit) - p
@@ -231,7 +246,8 @@ def _pruned(chosen: list[Condition], rows, earlier: list[Rule]) -> tuple[Rule |
 def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[dict, bool]]:
     """At most ``most`` labelled rows, one for each id, chosen by a hash of the id.
 
-    Ids with different labels and null labels are left out.
+    Ids with different labels and null labels are left out, and so are texts
+    that the base rule rejects anyway.
     """
     clear = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -243,7 +259,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLE
         .limit(most)
     )
     found = (
-        stats.join(F.broadcast(clear), "doc_id")
+        stats.where(f"NOT ({BASE_FAILED})")
+        .join(F.broadcast(clear), "doc_id")
         .groupBy("doc_id", "_order", "_low")
         .agg(F.min(F.struct(*FEATURES)).alias("s"))
         .orderBy("_order")
@@ -253,14 +270,11 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLE
 
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """``base_failed``, ``rule`` (what rejected the text, else null) and ``kept``."""
-    base = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
-    )
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in rules:
         verdict = verdict.when(rule.expression(), F.lit(str(rule)))
     return (
-        stats.withColumn("base_failed", base)
+        stats.withColumn("base_failed", F.expr(BASE_FAILED))
         .withColumn("rule", verdict)
         .withColumn("kept", F.col("rule").isNull())
     )
