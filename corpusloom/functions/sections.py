@@ -125,8 +125,9 @@ def sections_strict(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> C
 
 def sections_loose(text: Column | str, headers: list[str] = CHUNK_HEADERS) -> Column:
     """The same for loose headers. Marks and spelling variants are cut off with the header."""
-    # a header is decided by the start of its piece
-    start = lambda p: F.regexp_extract(p, r"(?sU)^\s*#*\s*(.{0,32})", 1)
+    # a header is decided by the start of its piece, long enough for any header and its variants
+    most = 32 + max(map(len, headers), default=0)
+    start = lambda p: F.regexp_extract(p, rf"(?sU)^\s*#*\s*(.{{0,{most}}})", 1)
     headed = F.transform(
         split_loose(text, headers),
         lambda p: F.struct(normalize_header(start(p)).alias("head"), p.alias("piece")),

@@ -140,12 +140,31 @@ def neighbours(edges: DataFrame, nodes: DataFrame | None = None, keep: tuple[str
 
 
 def path_to_root(nodes: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """All nodes on the way from each node up to the root, read off the path."""
-    return nodes.select(
-        *keep,
-        "id",
-        F.posexplode(F.reverse(paths.ancestors("id"))).alias("step", "on_path"),
+    """All nodes on the way from each node up to the root.
+
+    Above a folder or file are the folders of its path, above any other node,
+    such as a function, its ``parent`` and what is above that. The last one is
+    the root row (its id is empty), where the project has one. A node without
+    a parent, such as a file that the tree leaves out, is a root itself.
+    """
+    has_root = F.lit(False)
+    roots = nodes.where(F.col("id") == "").select(*keep).distinct()
+    if keep:
+        nodes = nodes.join(roots.withColumn("_root", F.lit(True)), [*keep], "left")
+        has_root = F.coalesce("_root", F.lit(False))
+    elif not roots.isEmpty():
+        has_root = F.lit(True)
+    in_tree = F.col("type").isin("directory", "file")
+    to_root = F.when(has_root, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    above = F.when(paths.is_ignored("parent"), F.array("parent")).otherwise(
+        F.concat(F.reverse(paths.ancestors("parent")), to_root)
+    )
+    chain = (
+        F.when(F.col("parent").isNull(), F.array("id"))
+        .when(in_tree, F.concat(F.reverse(paths.ancestors("id")), to_root))
+        .otherwise(F.concat(F.array("id"), above))
     )
+    return nodes.select(*keep, "id", F.posexplode(chain).alias("step", "on_path"))
 
 
 def numbered_children(nodes: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
@@ -221,9 +240,11 @@ def dependency_chain(
             F.lit(None).cast("string").alias("target"),
         ).distinct()
     )
-    seen = frontier
+    seen, before = frontier, None
     hops = 0
     while not frontier.isEmpty():
+        # edges go both ways, so a step leads to the round before, the same round, or to something new
+        recent = frontier if before is None else frontier.unionByName(before)
         hops += 1
         asking = frontier.select("start", "node")
         if hubs:
@@ -234,10 +255,10 @@ def dependency_chain(
             asking.join(ends, ["node", "_salt"] if hubs else ["node"])
             .groupBy("start", F.col("other").alias("node"))
             .agg(F.min("_e").alias("_e"))
-            .join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            .join(recent.select("start", "node"), ["start", "node"], "left_anti")
             .select("start", "node", F.lit(hops).alias("hops"), "_e.source", "_e.target")
         )
-        frontier = cut_lineage(reached)
+        before, frontier = frontier, cut_lineage(reached)
         seen = seen.unionByName(frontier)
         if hops % ROUNDS_PER_MERGE == 0:
             seen = cut_lineage(seen)

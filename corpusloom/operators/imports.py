@@ -239,6 +239,9 @@ def containment_edges(
             F.transform(F.sequence(F.lit(1), count), lambda i: text.substr(i, F.lit(n))),
         ).otherwise(F.array().cast("array<string>"))
 
+    # pieces of the lengths that some name is looked up by
+    asked_lengths = needles.select(F.least(F.length("needle"), F.lit(3)).alias("n")).distinct().collect()
+    lengths = sorted(r["n"] for r in asked_lengths if r["n"] is not None)
     target = F.col(path)
     grams = files.select(
         *keep,
@@ -246,7 +249,8 @@ def containment_edges(
         F.explode(
             F.array_distinct(
                 F.concat(
-                    F.array(F.lit("")), pieces(target, 1), pieces(target, 2), pieces(target, 3)
+                    F.array().cast("array<string>"),
+                    *[pieces(target, n) if n else F.array(F.lit("")) for n in lengths],
                 )
             )
         ).alias("gram"),
@@ -263,7 +267,7 @@ def containment_edges(
     )
     # only pieces that some name uses are counted and joined
     used = parts.select(*keep, "gram").distinct()
-    grams = grams.join(used, [*keep, "gram"], "left_semi")
+    grams = cut_lineage(grams.join(used, [*keep, "gram"], "left_semi"))
     counts = grams.groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("files"))
     rarest = (
         parts.join(counts, [*keep, "gram"], "left")

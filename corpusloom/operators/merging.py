@@ -33,6 +33,9 @@ CONTEXT_PARTS = [
 ]
 WORKFLOW_TITLE = "WORKFLOW SUMMARIES:\n"
 CONTEXT_TITLE = "ADDITIONAL FILE CONTEXT:\n"
+NO_CONTENT = (
+    "Project analysis completed with limited information available for comprehensive summary generation."
+)
 
 
 def greedy_fold(items: Column | str, used: Column, budget: Column) -> Column:
@@ -67,7 +70,11 @@ def greedy_text(text: Column | str, budget: int) -> Column:
 
 
 def budget_sentences(
-    sentences: DataFrame, group: list[str], by: list[str], round_sentences: int = ROUND_SENTENCES
+    sentences: DataFrame,
+    group: list[str],
+    by: list[str],
+    round_sentences: int = ROUND_SENTENCES,
+    unless_overlong: bool = False,
 ) -> DataFrame:
     """Greedy sentence budget per group, for groups of any size.
 
@@ -75,8 +82,13 @@ def budget_sentences(
     A round takes the next few thousand sentences of each group that can
     still fit, folds them in order and notes what is left. Sentences too
     large for what is left can never fit later, so the following rounds see
-    only small ones; groups that are through drop out. No task ever holds
-    more than one round of a group. Result: ``group, used, kept``.
+    only small ones; groups that are through drop out. No round holds more
+    than ``round_sentences`` of a group. Result: ``group, used, kept``.
+
+    Sentences of a few characters count as no tokens and are taken as long as
+    the budget is not used up, however many there are. With
+    ``unless_overlong`` a group may end once its joined text is longer than
+    the budget allows, for callers that then do not use the text.
     """
     position = F.struct(*by)
     todo = cut_lineage(sentences.select(*group, position.alias("_at"), "sentence", "tokens", "budget"))
@@ -105,8 +117,9 @@ def budget_sentences(
         )
         folded = cut_lineage(folded)
         done = folded if done is None else done.unionByName(folded)
-        # more kept sentences than this cannot fit the budget once joined
-        full = (F.col("used") >= F.col("budget")) | (F.size("kept") > 4 * F.col("budget") + 4)
+        full = F.col("used") >= F.col("budget")
+        if unless_overlong:  # joined by spaces, so many are over the budget together
+            full = full | (F.size("kept") > 4 * F.col("budget") + 4)
         state = folded.where(F.col("_more") & ~full)
         if state.isEmpty():
             break
@@ -189,6 +202,7 @@ def combine_sections(
         sentence.withColumn("tokens", token_count("sentence")),
         [*keys, "section"],
         ["chunk_index", "pos"],
+        unless_overlong=True,  # such a section gets its default
     )
     texts = kept.groupBy(*keys).pivot("section", list(SECTION_BUDGETS)).agg(
         F.first(F.array_join("kept", " "))
@@ -237,7 +251,8 @@ def project_context(
 
     Texts over the limit keep their first part, so never more than the limit
     is needed. The total length is a plain sum; only rows that start inside
-    the limit are brought together.
+    the limit are brought together. Every project has a row: one whose files
+    show no part has the bare title, and one without any text a fixed sentence.
     """
     limit = 4 * max_tokens + 4
     parts = results.where(F.col("requirements") != "").select(
@@ -297,4 +312,12 @@ def project_context(
     ).otherwise(F.lit(0))
     tokens = F.floor((F.col("_chars") + frame) / 4)
     cut = F.when(tokens > max_tokens, F.substring(text, 1, max_tokens * 3 // 4)).otherwise(text)
-    return joined.join(totals, [*keep]).select(*keep, tokens.alias("tokens"), cut.alias("context"))
+    shown_projects = joined.join(totals, [*keep]).select(*keep, tokens.alias("tokens"), cut.alias("context"))
+    projects = results.groupBy(*keep).agg(F.max(F.coalesce(F.col("requirements") != "", F.lit(False))).alias("_any"))
+    other = F.when(F.col("_any"), F.lit(CONTEXT_TITLE)).otherwise(F.lit(NO_CONTENT))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keep]
+    return projects.alias("p").join(shown_projects.alias("s"), same, "left").select(
+        *[f"p.{c}" for c in keep],
+        F.coalesce("s.tokens", F.floor(F.length(other) / 4)).alias("tokens"),
+        F.coalesce("s.context", other).alias("context"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.functions.strings import col
+from corpusloom.functions.strings import col, let
 
 from .skew import salted_join
 
@@ -74,11 +74,13 @@ class _TopK:
 
     def add(self, ids: np.ndarray, vecs: np.ndarray, keys: np.ndarray | None) -> None:
         step = max(1, _MATRIX_CELLS // max(1, len(self.q)))
-        found = [self.best]
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
-            found.append(self._scan(ids[part], vecs[part], None if keys is None else keys[part]))
-        merged = pd.concat([f for f in found if len(f)] or [self.best])
+            self._merge(self._scan(ids[part], vecs[part], None if keys is None else keys[part]))
+
+    def _merge(self, found: pd.DataFrame) -> None:
+        """Keep k rows per query after every step, so many equal vectors never pile up."""
+        merged = pd.concat([f for f in (self.best, found) if len(f)] or [self.best])
         merged = merged.sort_values(["q", "d2", "doc_id"], kind="stable")
         self.best = merged[merged.groupby("q").cumcount() < self.k]
         full = self.best.groupby("q")["d2"].agg(["size", "max"])
@@ -308,7 +310,7 @@ def nearest(
     """Exact nearest documents: ``query_id, doc_id, rank, distance, score``.
 
     With ``filter_key``, a column both sides have, a query only meets
-    documents with its own value. ``mode="pre"`` filters before ranking.
+    documents with its own value; null meets nothing. ``mode="pre"`` filters before ranking.
     ``mode="post"`` ranks the nearest 2k first and may return fewer than k.
     """
     if metric not in vectors.METRICS:
@@ -319,6 +321,8 @@ def nearest(
     key = [] if filter_key is None or post else [F.col(filter_key).alias("key")]
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vec"), *key)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vector).alias("vec"), *key)
+    if key:
+        q, d = q.where(F.col("key").isNotNull()), d.where(F.col("key").isNotNull())
     depth = 2 * k if post else k
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "doc_id"))
     hits = _nearest(q, d, depth).withColumn("rank", rank).where(F.col("rank") <= depth)
@@ -422,17 +426,31 @@ def hashed_embedding(
 ) -> DataFrame:
     """Deterministic embeddings by feature hashing of words, unit length.
 
-    Stands in for a hosted model, so retrieval works without one. A text
-    without words becomes the zero vector.
+    Stands in for a hosted model, so retrieval works without one. A word
+    counts at the place given by the first 32 bits of its MD5. A text without
+    words becomes the zero vector.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+")
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
-    out = unit.transform(counts.transform(words.transform(df)))
-    return out.withColumn(output, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
+    words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
+    places = F.transform(
+        words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int")
+    )
+
+    def unit(found: Column) -> Column:
+        counts = F.transform(
+            F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(found) - F.size(F.array_remove(found, k))
+        )
+
+        def scaled(n: Column) -> Column:
+            squares = F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)
+            return let(
+                F.sqrt(F.greatest(squares, F.lit(1)).cast("double")), lambda norm: F.transform(n, lambda x: x / norm)
+            )
+
+        return let(counts, scaled)
+
+    zero = F.array_repeat(F.lit(0.0), dimension)
+    found = F.when(F.col(text).isNull(), zero).otherwise(let(places, unit))
+    return df.withColumn(output, found.cast("array<float>"))
 
 
 def embed(df: DataFrame, embed_fn, text: str = "text", output: str = "embedding") -> DataFrame:

@@ -54,16 +54,27 @@ def project_graph(files: DataFrame, root: str | None = None) -> tuple[DataFrame,
     read them.
     """
     facts = cut_lineage(symbols.symbols(files))
-    parsed = files.where("language IN ('Python', 'JavaScript')").select(*KEEP, "rel_path")
-    tree = graph.hierarchy(files, root=root)
-    nodes = graph.merge_nodes(tree, parsed, facts)
+    return graph_nodes(files, facts, root), graph_edges(files, facts, root)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    return files.where("language IN ('Python', 'JavaScript')").select(*KEEP, "rel_path")
+
+
+def graph_nodes(files: DataFrame, facts: DataFrame | None = None, root: str | None = None) -> DataFrame:
+    """The nodes alone; needs no edges."""
+    facts = symbols.symbols(files) if facts is None else facts
+    return graph.merge_nodes(graph.hierarchy(files, root=root), _parsed(files), facts)
+
+
+def graph_edges(files: DataFrame, facts: DataFrame, root: str | None = None) -> DataFrame:
+    """Edges of the tree, to functions, by imports and by calls, from written symbols."""
     found = facts.where("kind = 'import'").selectExpr(
         *KEEP, "rel_path AS src_path", "pos AS import_pos", "name AS import_name"
     )
-    edges = graph.all_edges(
-        graph.hierarchy_edges(tree),
+    return graph.all_edges(
+        graph.hierarchy_edges(graph.hierarchy(files, root=root)),
         graph.function_edges(facts),
-        imports.containment_edges(found, parsed),
+        imports.containment_edges(found, _parsed(files)),
         symbols.call_edges(facts),
     )
-    return nodes, edges

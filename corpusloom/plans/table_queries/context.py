@@ -122,10 +122,11 @@ def context_totals(spark, sf_dir):
 
 
 def hashed_embedding(spark, sf_dir):
-    """Unit vectors of documents made without a model; no SQL form."""
+    """Unit vectors of documents made without a model, each number rounded to four digits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = retrieval.hashed_embedding(docs, dimension=WIDTH)
-    return out.select("doc_id", F.size("embedding").alias("width"), vectors.is_zero("embedding").alias("zero"))
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("int"))
+    return out.select("doc_id", vectors.is_zero("embedding").alias("zero"), F.md5(F.array_join(rounded, ",")).alias("md5"))
 
 
 TEMPLATE = "Write six sections."
@@ -241,7 +242,21 @@ GROUP BY b.query_id""",
         + """ SELECT query_id, count(DISTINCT file_path) AS total_files, count(*) AS total_chunks,
   round(avg(score), 6) AS avg_score FROM named GROUP BY query_id""",
     ),
-    "hashed_embedding": Query(hashed_embedding),
+    "hashed_embedding": Query(
+        hashed_embedding,
+        f"""WITH places AS (
+  SELECT doc_id, list_transform(
+    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: w <> ''),
+    lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % {WIDTH})::INT) AS p FROM documents),
+counts AS (
+  SELECT d.doc_id, k.k, count(u.x) AS n
+  FROM (SELECT doc_id FROM documents) d CROSS JOIN (SELECT unnest(range({WIDTH})) AS k) k
+  LEFT JOIN (SELECT doc_id, unnest(p) AS x FROM places) u ON u.doc_id = d.doc_id AND u.x = k.k GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(greatest(sum(n * n), 1)) AS norm FROM counts GROUP BY doc_id)
+SELECT doc_id, sum(n) = 0 AS zero,
+  md5(string_agg(round((n / norm)::FLOAT::DOUBLE * 10000)::INT, ',' ORDER BY k)) AS md5
+FROM counts JOIN norms USING (doc_id) GROUP BY doc_id""",
+    ),
     "prompt_table": Query(
         prompt_table,
         f"""SELECT doc_id,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
 from corpusloom.operators import graph
-from corpusloom.plans.analysis import project_graph
+from corpusloom.plans.analysis import graph_nodes, project_graph
 
 from .base import SQL_DEPENDENCIES, Query, code_files, sql_text, table
 from .code import SQL_PYTHON, dependency_table, javascript_files, python_files
@@ -76,8 +76,12 @@ def _graph_files(spark, sf_dir):
 
 
 def project_nodes(spark, sf_dir):
-    nodes, _ = project_graph(_graph_files(spark, sf_dir))
-    return nodes
+    return graph_nodes(_graph_files(spark, sf_dir))
+
+
+def path_to_root_graph(spark, sf_dir):
+    nodes = graph_nodes(_graph_files(spark, sf_dir), root="proj")
+    return graph.path_to_root(nodes).select("project_id", "id", "step", "on_path")
 
 
 def project_edges(spark, sf_dir):
@@ -112,6 +116,13 @@ tree AS (
   GROUP BY project_id, id)"""
 _IMPORTANT = "regexp_matches(lower(name), 'main|run|start|init|entry|execute')"
 
+_SQL_NODES = f"""
+SELECT project_id, id, name, type, parent, false AS important FROM tree
+UNION ALL SELECT project_id, rel_path, rel_path, 'file', NULL, false FROM dropped
+UNION ALL SELECT DISTINCT project_id, rel_path || ':' || name, name,
+  CASE WHEN {_IMPORTANT} THEN 'important_function' ELSE 'function' END, rel_path, {_IMPORTANT}
+FROM all_facts WHERE kind = 'function'"""
+
 QUERIES = {
     "hierarchy": Query(hierarchy, f"WITH {_SQL_TREE} SELECT id, name, type, parent, depth FROM tree"),
     "child_order": Query(
@@ -140,14 +151,21 @@ walk AS (
   SELECT w.start, e.other, w.hops + 1 FROM walk w JOIN ends e ON e.node = w.node WHERE w.hops < 30)
 SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node""",
     ),
-    "project_nodes": Query(
-        project_nodes,
-        f"""WITH {_SQL_GRAPH}
-SELECT project_id, id, name, type, parent, false AS important FROM tree
-UNION ALL SELECT project_id, rel_path, rel_path, 'file', NULL, false FROM dropped
-UNION ALL SELECT DISTINCT project_id, rel_path || ':' || name, name,
-  CASE WHEN {_IMPORTANT} THEN 'important_function' ELSE 'function' END, rel_path, {_IMPORTANT}
-FROM all_facts WHERE kind = 'function'""",
+    "project_nodes": Query(project_nodes, f"WITH {_SQL_GRAPH} {_SQL_NODES}"),
+    "path_to_root_graph": Query(
+        path_to_root_graph,
+        f"""WITH RECURSIVE {_SQL_GRAPH},
+nodes AS ({_SQL_NODES}),
+linked AS (
+  SELECT project_id, id, CASE WHEN parent IS NULL AND (project_id, id) NOT IN (SELECT project_id, rel_path FROM dropped)
+    THEN '' ELSE parent END AS parent FROM nodes
+  UNION ALL SELECT DISTINCT project_id, '', NULL FROM code_files),
+walk AS (
+  SELECT project_id, id, 0 AS step, id AS on_path, parent FROM linked
+  UNION ALL
+  SELECT w.project_id, w.id, w.step + 1, n.id, n.parent
+  FROM walk w JOIN linked n ON n.project_id = w.project_id AND n.id = w.parent)
+SELECT project_id, id, step, on_path FROM walk""",
     ),
     "project_edges": Query(
         project_edges,

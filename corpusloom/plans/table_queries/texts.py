@@ -42,7 +42,7 @@ _SENTENCES = SQL_SENTENCES.format("text")
 def path_checks(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     url = F.regexp_replace("url", "^https?://[^/]*/en/", "https://github.com/")
-    windows = F.concat(F.lit("C:\\"), F.translate(F.substring("url", 9, 500), "/", "\\"))
+    windows = F.concat(F.lit("C:\\"), F.translate(F.substring("url", F.lit(9), F.length("url")), "/", "\\"))
     return pages.select(
         "page_id",
         paths.clean_folder_name("url").alias("folder"),

@@ -39,8 +39,18 @@ def test_scan_sees_underscore_names(spark, tree):
         "pkg/__init__.py": "Python", "pkg/_private.py": "Python", "pkg/util.py": "Python",
         "web/app.js": "JavaScript", "notes.md": "",
     }
-    with_books = {r.rel_path for r in files.scan_folder(spark, f"file://{tree}", workbooks=True).collect()}
-    assert "node_modules/book.xlsm" in with_books and "node_modules/dep.js" not in with_books
+    with_books = {r.rel_path: r for r in files.scan_folder(spark, f"file://{tree}", workbooks=True).collect()}
+    book = with_books["node_modules/book.xlsm"]
+    assert (book.text, book.error) == (None, "binary workbook") and "node_modules/dep.js" not in with_books
+
+
+def test_files_that_cannot_be_read_have_a_row(spark, tree, monkeypatch):
+    (tree / "web/lost.js").symlink_to(tree / "nowhere.js")
+    (tree / "web/long.js").write_bytes(b"x" * 500)
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 400)
+    rows = {r.rel_path: r for r in files.scan_folder(spark, str(tree), "p").collect()}
+    assert {p for p, r in rows.items() if r.error} == {"web/lost.js", "web/long.js"}
+    assert len(rows) == 7 and rows["web/lost.js"].text is None and rows["web/app.js"].error is None
 
 
 def test_empty_folder_is_an_error(spark, tmp_path):
@@ -55,8 +65,12 @@ def test_archives(spark, tmp_path):
         z.writestr("other/skip.py", "")
         z.writestr("top.py", "")
     (tmp_path / "broken.zip").write_bytes(b"no zip")
-    got = {r.rel_path: r.text for r in files.scan_archives(spark, str(tmp_path)).collect()}
-    assert got == {"main.py": "x = 1", "sub/__init__.py": ""}
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("app/main.py", "y = 2")
+    rows = files.scan_archives(spark, str(tmp_path)).collect()
+    got = {r.rel_path: r.text for r in rows if r.error is None}
+    assert got == {"a/main.py": "x = 1", "a/sub/__init__.py": "", "b/main.py": "y = 2"}
+    assert [r.rel_path for r in rows if r.error] == ["broken.zip"] and len(rows) == 4
     listed = files.read_contents(files.list_files(spark, str(tmp_path)))
     errors = files.expand_archives(listed).where("error IS NOT NULL").collect()
     assert [r.zip_path for r in errors] == ["broken.zip"]
