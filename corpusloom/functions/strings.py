@@ -95,7 +95,3 @@ def ellipsis(c: Column | str, limit: int = 150) -> Column:
         .when(F.length(c) <= limit, c)
         .otherwise(F.concat(F.substring(c, 1, limit), F.lit("...")))
     )
-
-
-def title_words(c: Column | str) -> Column:
-    return F.initcap(col(c))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +19,6 @@ MAX_SECTION_TOKENS = 1_000
 # Fixed value: characters per token in the estimate.
 CHARS_PER_TOKEN = 4
 
-TokenCounter = Callable[[Column], Column]
-
 
 def token_count(text: Column | str) -> Column:
     """Estimated tokens: a quarter of the code points, rounded down."""

@@ -30,12 +30,16 @@ def diagram_edges(diagrams: DataFrame, keys: list[str], code: str = "generated_c
     and a node without one is labelled by its id.
     """
     labelled = r"(\w+)\[([^\]]*)\]"
-    labels = F.arrays_zip(
-        find_all(code, labelled, 1).alias("id"), find_all(code, labelled, 2).alias("label")
+    uses = F.arrays_zip(find_all(code, labelled, 1).alias("id"), find_all(code, labelled, 2).alias("label"))
+    # the first label of each node, looked up by a join: a list of labels on every line would be quadratic
+    labels = (
+        diagrams.select(*keys, F.posexplode(uses).alias("_at", "_use"))
+        .groupBy(*keys, F.col("_use.id").alias("_id"))
+        .agg(F.min_by("_use.label", "_at").alias("_label"))
+    )
+    rows = diagrams.select(*keys, F.posexplode(F.split(code, "\n")).alias("line_no", "_line")).where(
+        F.col("_line").rlike(EDGE)
     )
-    rows = diagrams.select(
-        *keys, labels.alias("_labels"), F.posexplode(F.split(code, "\n")).alias("line_no", "_line")
-    ).where(F.col("_line").rlike(EDGE))
     rows = rows.withColumns(
         {
             "src": F.regexp_extract("_line", EDGE, 1),
@@ -44,14 +48,13 @@ def diagram_edges(diagrams: DataFrame, keys: list[str], code: str = "generated_c
         }
     )
 
-    def label(node: str):
-        hits = F.filter("_labels", lambda x: x["id"] == F.col(node))
-        return F.coalesce(F.try_element_at(hits, F.lit(1))["label"], F.col(node))
+    def with_label(rows: DataFrame, node: str) -> DataFrame:
+        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+        joined = rows.alias("r").join(labels.alias("l"), [*same, F.col(f"r.{node}") == F.col("l._id")], "left")
+        return joined.select("r.*", F.coalesce("l._label", f"r.{node}").alias(f"{node}_label"))
 
-    return rows.select(
-        *keys, "line_no", "src", "arrow", "dst",
-        label("src").alias("src_label"), label("dst").alias("dst_label"),
-    )
+    out = with_label(with_label(rows, "src"), "dst")
+    return out.select(*keys, "line_no", "src", "arrow", "dst", "src_label", "dst_label")
 
 
 def cached_hashes(cache: DataFrame) -> DataFrame:

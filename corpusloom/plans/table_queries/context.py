@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
 from corpusloom.operators import reports, retrieval
+from corpusloom.sources import vectors as store
 
-from .base import Query, md5_of, table
+from .base import Query, md5_of, new_folder, table
 
 WIDTH = 64
 K = 10
@@ -24,6 +25,32 @@ def _mixed(spark, sf_dir):
     return rows.select("vec_id", "label", vec.alias("embedding"))
 
 
+def vector_roundtrip(spark, sf_dir):
+    """Written, replaced, appended to and read back with a filter; a missing table and another width are empty."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.concat(F.lit("c"), "vec_id").alias("content"), "embedding",
+        F.concat(F.lit("l"), "label").alias("language"), F.concat(F.lit("v"), F.col("vec_id") % 3).alias("team"),
+    )
+    path = new_folder(spark)
+    before = store.load_vectors(spark, path, WIDTH).count()
+    made = store.vector_documents(rows, {"language": "language", "team": "team"})
+    store.append_vectors(made, path, WIDTH)
+    store.replace_vectors(made.where("id % 2 = 0"), path, WIDTH)
+    store.append_vectors(made.where("id % 2 = 1"), path, WIDTH)
+    store.append_vectors(_mixed(spark, sf_dir).where("label < 2").select(
+        F.col("vec_id").alias("id"), F.lit("x").alias("content"), "embedding", F.lit("l3").alias("language"),
+        F.lit(None).cast("string").alias("file_path"), F.create_map(F.lit("team"), F.lit("v1")).alias("meta"),
+        F.lit(0.0).alias("created_at"),
+    ), path, WIDTH)
+    other = store.load_vectors(spark, path, WIDTH + 1).count()
+    found = store.load_vectors(spark, path, WIDTH, {"language": "l3", "team": "v1"})
+    return found.select(
+        F.col("id").alias("vec_id"), "content", F.size("embedding").alias("width"),
+        (F.col("created_at").isNotNull() & F.try_element_at("meta", F.lit("timestamp")).isNotNull()).alias("stamped"),
+        F.lit(before + other).alias("strangers"),
+    )
+
+
 def zero_dim_filter(spark, sf_dir):
     return retrieval.clean_vectors(_mixed(spark, sf_dir), dimension=WIDTH).select("vec_id", "label")
 
@@ -241,6 +268,11 @@ GROUP BY b.query_id""",
         _SQL_FILES
         + """ SELECT query_id, count(DISTINCT file_path) AS total_files, count(*) AS total_chunks,
   round(avg(score), 6) AS avg_score FROM named GROUP BY query_id""",
+    ),
+    "vector_roundtrip": Query(
+        vector_roundtrip,
+        f"""SELECT vec_id, 'c' || vec_id AS content, {WIDTH} AS width, true AS stamped, 0 AS strangers
+FROM embeddings WHERE label = 3 AND vec_id % 3 = 1""",
     ),
     "hashed_embedding": Query(
         hashed_embedding,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.operators import chunks, corpus, rules
 from corpusloom.operators.rules import Rule
+from corpusloom.sources import files
 
-from .base import SQL_MIXED_FILES, Query, md5_of, mixed_files, sql_text, table
+from .base import SQL_MIXED_FILES, Query, md5_of, mixed_files, new_folder, sql_text, table
 
 _ANCESTORS = """list_transform(range(1, len(string_split(rel_path, '/')) + 1),
       lambda n: array_to_string(list_slice(string_split(rel_path, '/'), 1, n), '/'))"""
@@ -40,6 +41,54 @@ def file_language_stats(spark, sf_dir):
     return corpus.quick_stats(kept, ["language"])
 
 
+def archive_entries(spark, sf_dir):
+    """A zip of every document, made by Spark, and its entries; every seventh one is broken."""
+
+    def packed(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            made = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as out:
+                    out.writestr("app/_main.py", text)
+                    out.writestr("app/sub/n.txt", str(doc_id))
+                    out.writestr("other.py", "")
+                made.append(b"no zip" if doc_id % 7 == 0 else buffer.getvalue())
+            yield batch[["doc_id"]].assign(content=made)
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    zips = docs.mapInPandas(packed, "doc_id long, content binary").select(
+        F.concat(F.lit("d"), "doc_id", F.lit(".zip")).alias("rel_path"), "content"
+    )
+    entries = files.expand_archives(zips)
+    return entries.select(
+        "zip_path", "entry_path", "rel_path", F.md5("content").alias("md5"), F.col("error").isNotNull().alias("failed")
+    )
+
+
+def corpus_scan(spark, sf_dir):
+    """Every document as a file in a folder of its source, and the corpus table of these folders."""
+    root = new_folder(spark)
+
+    def write(batches):
+        for batch in batches:
+            for source, doc_id, text in zip(batch["source"], batch["doc_id"], batch["text"]):
+                name = ["_init.py", "a.js", "b.css", ".env"][doc_id % 4]
+                system, path = files._filesystem(f"{root}/{source}/d{doc_id}")
+                system.create_dir(path, recursive=True)
+                with system.open_output_stream(f"{path}/{name}") as out:
+                    out.write(text.encode())
+            yield batch[["doc_id"]]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs.mapInPandas(write, "doc_id long").count()
+    found = files.scan_folder(spark, root, "p")
+    return found.select("project_id", "rel_path", "language", md5_of("text"), F.col("error").isNull().alias("read"))
+
+
 def size_router(spark, sf_dir):
     sized = corpus.add_size(table(spark, sf_dir, "documents"), small=200, large=2000)
     return sized.groupBy("size_class").agg(
@@ -214,6 +263,20 @@ def rule_summary(spark, sf_dir):
 
 
 QUERIES = {
+    "archive_entries": Query(
+        archive_entries,
+        """SELECT 'd' || doc_id || '.zip' AS zip_path, e.entry AS entry_path,
+  CASE WHEN e.entry LIKE 'app/%' THEN substr(e.entry, 5) END AS rel_path,
+  md5(CASE e.entry WHEN 'app/_main.py' THEN text WHEN 'app/sub/n.txt' THEN doc_id::VARCHAR WHEN 'other.py' THEN '' END) AS md5,
+  e.entry IS NULL AS failed
+FROM documents JOIN (VALUES ('app/_main.py'), ('app/sub/n.txt'), ('other.py'), (NULL)) e(entry)
+  ON (e.entry IS NULL) = (doc_id % 7 = 0)""",
+    ),
+    "corpus_scan": Query(
+        corpus_scan,
+        """SELECT 'p' AS project_id, source || '/d' || doc_id || '/' || n AS rel_path, l AS language, md5(text) AS md5, true AS read
+FROM documents JOIN (VALUES (0, '_init.py', 'Python'), (1, 'a.js', 'JavaScript')) k(m, n, l) ON doc_id % 4 = m""",
+    ),
     "file_tags": Query(
         file_tags,
         f"""WITH {SQL_TAGGED}

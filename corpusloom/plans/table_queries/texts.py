@@ -9,10 +9,11 @@ from corpusloom.functions import sections as S
 from corpusloom.functions.diagram_text import is_drawable, type_mismatch
 from corpusloom.functions.strings import ellipsis
 from corpusloom.operators import diagrams, reports, summaries
+from corpusloom.sources import diagrams as cache
 from corpusloom.sources import workbooks
 from corpusloom.streaming import ingest
 
-from .base import Query, md5_of, sql_strip, table, worded_lines
+from .base import Query, md5_of, new_folder, sql_strip, table, worded_lines
 
 # --- cuts and checks ---
 
@@ -291,6 +292,17 @@ def diagram_checks(spark, sf_dir):
     )
 
 
+def diagram_cache_roundtrip(spark, sf_dir):
+    """Checked diagrams, the valid ones written to the cache and read back."""
+    code = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("lang") == "de", "no graph").otherwise(F.col("generated_code"))
+    rows = _diagram_code(spark, sf_dir).select("doc_id", code.alias("output"), F.lit("Requirement Diagram").alias("target_graph"))
+    valid = diagrams.keep_valid(diagrams.check_outputs(rows)).withColumn("content_hash", F.md5(F.col("doc_id").cast("string")))
+    path = new_folder(spark)
+    cache.write_diagrams(valid, path)
+    back = cache.read_diagrams(spark, path)
+    return back.select("content_hash", "target_graph", md5_of("generated_code"))
+
+
 _SQL_DIAGRAMS = _SQL_WORDED + """,
 arrows AS (
   SELECT doc_id, lang, rows, i, 'N' || i AS src, CASE WHEN i % 3 = 0 THEN '---' ELSE '-->' END AS arrow,
@@ -488,6 +500,12 @@ FROM pages p LEFT JOIN placed t ON t.page_id = p.page_id GROUP BY p.page_id""",
         diagram_edges,
         f"""WITH {_SQL_DIAGRAMS}
 SELECT doc_id, i + 1 AS line_no, src, arrow, dst, src_label, dst_label FROM arrows""",
+    ),
+    "diagram_cache_roundtrip": Query(
+        diagram_cache_roundtrip,
+        f"""WITH {_SQL_DIAGRAMS}
+SELECT md5(doc_id::VARCHAR) AS content_hash, 'Requirement Diagram' AS target_graph, md5(code) AS md5
+FROM diagrams WHERE lang <> 'de' AND doc_id % 3 <> 0""",
     ),
     "diagram_checks": Query(
         diagram_checks,

@@ -61,6 +61,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() <= few else df
 
 
+def is_missing_path(error: Exception) -> bool:
+    """True if a read failed because there is nothing at the path, and for no other reason."""
+    return getattr(error, "getCondition", lambda: None)() == "PATH_NOT_FOUND"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written table.
 

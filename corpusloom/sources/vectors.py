@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.vectors import DEFAULT_DIMENSION
 from corpusloom.operators.retrieval import clean_vectors, matches_filters
+from corpusloom.session import is_missing_path
 
 # Keys most searches filter by are columns, so filters on them reach the
 # Parquet scan; the rest of the metadata is a map.
@@ -84,7 +85,9 @@ def load_vectors(
     empty = spark.createDataFrame([], SCHEMA)
     try:
         stored = spark.read.schema(T.StructType([*SCHEMA, T.StructField("dimension", T.IntegerType())])).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return empty
     if not stored.where(F.col("dimension") != dimension).isEmpty():
         return empty

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from corpusloom.session import is_missing_path
 from corpusloom.functions.tokens import content_hash
 from corpusloom.operators.chunks import store_chunks
 
@@ -70,7 +71,9 @@ def read_hashes(spark: SparkSession, path: str) -> DataFrame:
     schema = "content_hash string, batch_id long"
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
