@@ -196,3 +196,16 @@ def test_watermark_dedup(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("recent_copies").count() == 2
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from corpusloom.session import cut_lineage, ensure_checkpoint_dir, scratch
+
+    before = set(os.listdir(ensure_checkpoint_dir(spark)))
+    with scratch(spark):
+        cut_lineage(spark.range(5)).write.parquet(str(tmp_path / "kept"))
+        assert len(set(os.listdir(ensure_checkpoint_dir(spark))) - before) == 1
+    assert set(os.listdir(ensure_checkpoint_dir(spark))) == before
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
