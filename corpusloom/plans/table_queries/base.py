@@ -75,7 +75,7 @@ mixed_files AS (
   FROM documents)"""
 
 
-# --- documents as source files: the first word of each line becomes a statement ---
+# --- documents as source files: the first word of each line becomes a statement, the line a comment ---
 
 # language tag of a text -> language, extension, statement before and after the word, comment mark
 CODE_KINDS = {
@@ -104,11 +104,9 @@ def first_word(text: Column) -> Column:
 
 
 def worded_lines(text: Column) -> Column:
-    """``array<struct<word, line>>`` of the lines that have a word."""
-    rows = F.transform(
-        F.split(text, "\n"), lambda l: F.struct(first_word(l).alias("word"), l.alias("line"))
-    )
-    return F.filter(rows, lambda r: r["word"] != "")
+    """``array<struct<word, line>>`` of all lines; the word of one without a letter a-z is ``x``."""
+    word = lambda l: F.coalesce(F.nullif(first_word(l), F.lit("")), F.lit("x"))
+    return F.transform(F.split(text, "\n"), lambda l: F.struct(word(l).alias("word"), l.alias("line")))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +137,8 @@ SQL_CODE_FILES = f"""
 worded AS (
   SELECT doc_id, lang, source, text,
     regexp_extract(lower(text), '([a-z]+)', 1) AS head,
-    list_filter(list_transform(string_split(text, chr(10)),
-      lambda l: {{'word': regexp_extract(lower(l), '([a-z]+)', 1), 'line': l}}), lambda r: r.word <> '') AS rows
+    list_transform(string_split(text, chr(10)),
+      lambda l: {{'word': coalesce(nullif(regexp_extract(lower(l), '([a-z]+)', 1), ''), 'x'), 'line': l}}) AS rows
   FROM documents),
 code_files AS (
   SELECT *, source AS project_id, {sql_by_kind(0)} AS language, {sql_by_kind(1)} AS ext,

@@ -86,8 +86,8 @@ def _worded(spark, sf_dir):
 
 
 _SQL_WORDED = """worded AS (
-  SELECT doc_id, lang, source, text, list_filter(list_transform(string_split(text, chr(10)),
-    lambda l: {'word': regexp_extract(lower(l), '([a-z]+)', 1), 'line': l}), lambda r: r.word <> '') AS rows
+  SELECT doc_id, lang, source, text, list_transform(string_split(text, chr(10)),
+    lambda l: {'word': coalesce(nullif(regexp_extract(lower(l), '([a-z]+)', 1), ''), 'x'), 'line': l}) AS rows
   FROM documents)"""
 
 
@@ -177,6 +177,11 @@ def csharp_summary(spark, sf_dir):
     return text.select("doc_id", F.md5(summaries.csharp_summary("t")).alias("md5"))
 
 
+def _plain(line):
+    """A line as the text of a comment, without marks that would end it or mean something."""
+    return F.translate(line, "\"'`{}()<>@=", " " * 11)
+
+
 CONFIG_EXTENSIONS = {"en": ".yml", "fr": ".http", "de": ".sln", "es": ".csproj"}
 
 
@@ -187,14 +192,14 @@ def config_summary(spark, sf_dir):
         .when(F.col("lang") == "fr", _joined(rows, lambda r: F.concat(F.lit("GET /"), r["word"], F.lit("\nHost: "), r["line"])))
         .when(
             F.col("lang") == "de",
-            _joined(rows, lambda r: F.concat(F.lit('Project("{A-1}") = "'), r["word"], F.lit('", "x"'))),
+            _joined(rows, lambda r: F.concat(F.lit('Project("{A-1}") = "'), r["word"], F.lit('", "x"\n# '), _plain(r["line"]))),
         )
         .otherwise(
             _joined(
                 rows,
                 lambda r: F.concat(
                     F.lit('<ProjectReference Include="'), r["word"], F.lit('" /><PackageReference Include="'),
-                    r["word"], F.lit('" Version="1.0" />'),
+                    r["word"], F.lit('" Version="1.0" /><!-- '), _plain(r["line"]), F.lit(" -->"),
                 ),
             )
         )
@@ -224,7 +229,8 @@ def angular_summary(spark, sf_dir):
         F.col("rows"),
         lambda r, i: F.concat(
             F.element_at(F.array(F.lit("@Component"), F.lit("@Injectable"), F.lit("@NgModule")), i % 3 + 1),
-            F.lit("({ selector: 'app-"), r["word"], F.lit("' })\nexport class "), r["word"], F.lit("Part {}"),
+            F.lit("({ selector: 'app-"), r["word"], F.lit("' })\nexport class "), r["word"], F.lit("Part {} // "),
+            _plain(r["line"]),
         ),
     )
     files = _worded(spark, sf_dir).select("doc_id", text.alias("t"))
@@ -266,7 +272,7 @@ def _diagram_code(spark, sf_dir):
         ),
     )
     code = F.concat(F.lit("graph TD\n"), F.array_join(later, "\n"))
-    return _worded(spark, sf_dir).where(F.size("rows") > 1).select("doc_id", "lang", code.alias("generated_code"))
+    return _worded(spark, sf_dir).select("doc_id", "lang", code.alias("generated_code"))
 
 
 def diagram_edges(spark, sf_dir):
@@ -307,7 +313,7 @@ _SQL_DIAGRAMS = _SQL_WORDED + """,
 arrows AS (
   SELECT doc_id, lang, rows, i, 'N' || i AS src, CASE WHEN i % 3 = 0 THEN '---' ELSE '-->' END AS arrow,
     'N' || (i + 1) AS dst, rows[i + 1].word AS src_label, rows[i + 2].word AS dst_label
-  FROM (SELECT *, unnest(range(0, len(rows) - 1)) AS i FROM worded WHERE len(rows) > 1)),
+  FROM (SELECT *, unnest(range(0, len(rows) - 1)) AS i FROM worded)),
 diagrams AS (
   SELECT doc_id, lang, 'graph TD' || chr(10) || string_agg('    ' || src
     || CASE WHEN i = 0 THEN '[' || src_label || ']' ELSE '' END || ' ' || arrow || ' ' || dst
@@ -515,7 +521,12 @@ SELECT doc_id, md5(CASE WHEN lang IN ('en', 'fr') THEN code
     ELSE 'Error: Insufficient graph definition for '
       || CASE WHEN doc_id % 2 = 0 THEN 'Requirement Diagram' ELSE 'Entity Relationship Diagram' END END) AS md5,
   lang IN ('en', 'fr') AS drawable, true AS mismatch
-FROM diagrams""",
+FROM diagrams
+UNION ALL
+SELECT doc_id, md5(CASE WHEN lang = 'en' THEN 'graph TD'
+    ELSE 'Error: Insufficient graph definition for '
+      || CASE WHEN doc_id % 2 = 0 THEN 'Requirement Diagram' ELSE 'Entity Relationship Diagram' END END), false, true
+FROM worded WHERE len(rows) < 2""",
     ),
     "cache_hit": Query(
         cache_hit, f"WITH {_SQL_CACHE} SELECT * FROM requests WHERE content_hash IN (SELECT content_hash FROM cached)"
