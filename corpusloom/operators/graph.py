@@ -198,6 +198,37 @@ def number_within(df: DataFrame, group: list[str], by: list[str], output: str) -
     )
 
 
+def connected_components(links: DataFrame) -> DataFrame:
+    """``node, class`` of all nodes in links ``a, b``: the smallest node that can be reached.
+
+    For reachability between all nodes at once, where a walk from every start
+    would give the square of a component. Labels go to neighbours, then each
+    label is replaced by its own label, so long chains shrink by half in each
+    round.
+    """
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = cut_lineage(links.select("a", "b").unionByName(turned).distinct())
+    labels = cut_lineage(
+        edges.groupBy("a").agg(F.min("b").alias("near")).select(
+            F.col("a").alias("node"), F.least("a", "near").alias("class")
+        )
+    )
+    while True:
+        heard = edges.join(labels.toDF("a", "heard"), "a").groupBy("b").agg(F.min("heard").alias("heard"))
+        nearer = cut_lineage(
+            labels.join(heard.withColumnRenamed("b", "node"), "node", "left").select(
+                "node", F.least("class", "heard").alias("class"), F.col("class").alias("old")
+            )
+        )
+        further = nearer.select(F.col("node").alias("class"), F.col("class").alias("next"))
+        jumped = cut_lineage(
+            nearer.join(further, "class", "left").select("node", F.coalesce("next", "class").alias("class"), "old")
+        )
+        labels = jumped.select("node", "class")
+        if jumped.where("class <> old").isEmpty():
+            return labels
+
+
 def dependency_chain(
     edges: DataFrame,
     starts: DataFrame,

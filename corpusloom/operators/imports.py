@@ -12,7 +12,7 @@ from corpusloom.functions.sections import overview_body, overview_head
 from corpusloom.functions.strings import col
 from corpusloom.session import cut_lineage
 
-from .skew import hot_from_counts, salted_join
+from .skew import ROWS_PER_SALT, hot_from_counts, salted_join
 
 
 @dataclass(frozen=True)
@@ -171,6 +171,7 @@ def resolve_imports(
     order: str | None = None,
     keep: tuple[str, ...] = ("project_id",),
     syntaxes: list[ImportSyntax] | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Dependencies: one row per file and different target.
 
@@ -203,7 +204,7 @@ def resolve_imports(
         "language",
         F.posexplode(options).alias("rank", "name"),
     )
-    found = salted_join(asked, name_lookup(files, path, order, keep), [*keep, "name"])
+    found = salted_join(asked, name_lookup(files, path, order, keep), [*keep, "name"], rows_per_salt=rows_per_salt)
     first = found.groupBy(*keep, "src_path", "import_pos").agg(
         F.min_by(F.struct("target_path", "import_name", "language"), "rank").alias("hit")
     )
@@ -285,6 +286,13 @@ def containment_edges(
     )
 
 
+def exact_edges(dependencies: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """An edge from every file to each file that its imports resolve to, for a graph without guesses."""
+    return dependencies.select(
+        *keep, F.col("src_path").alias("source"), F.col("target_path").alias("target"), F.lit("import").alias("type")
+    )
+
+
 def dependents(
     dependencies: DataFrame,
     results: DataFrame,

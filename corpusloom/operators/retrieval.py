@@ -105,7 +105,7 @@ class _TopK:
         return pd.DataFrame({"q": qi, "doc_id": ids[xi], "d2": exact})
 
 
-def _nearest(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _nearest(queries: DataFrame, docs: DataFrame, k: int, max_broadcast: int) -> DataFrame:
     """``query_id, doc_id, d2``: per query the k nearest of each task, unmerged.
 
     Both sides have an id, a ``vec`` and, when filtering, a ``key``.
@@ -113,7 +113,7 @@ def _nearest(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     keyed = "key" in docs.columns
     width = docs.select(F.size("vec")).first()
     row_bytes = 8 * (width[0] if width else 1)
-    most = max(1, min(MAX_BROADCAST_QUERIES, MAX_BROADCAST_BYTES // max(1, row_bytes)))
+    most = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // max(1, row_bytes)))
     head = queries.limit(most + 1).toPandas()
     id_type = docs.schema["doc_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
@@ -306,12 +306,14 @@ def nearest(
     doc_vector: str = "embedding",
     filter_key: str | None = None,
     mode: str = "pre",
+    max_broadcast: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """Exact nearest documents: ``query_id, doc_id, rank, distance, score``.
 
     With ``filter_key``, a column both sides have, a query only meets
     documents with its own value; null meets nothing. ``mode="pre"`` filters before ranking.
     ``mode="post"`` ranks the nearest 2k first and may return fewer than k.
+    More queries than ``max_broadcast`` are handled by blocks; the hits are the same.
     """
     if metric not in vectors.METRICS:
         raise ValueError(f"metric must be one of {vectors.METRICS}")
@@ -325,7 +327,7 @@ def nearest(
         q, d = q.where(F.col("key").isNotNull()), d.where(F.col("key").isNotNull())
     depth = 2 * k if post else k
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "doc_id"))
-    hits = _nearest(q, d, depth).withColumn("rank", rank).where(F.col("rank") <= depth)
+    hits = _nearest(q, d, depth, max_broadcast).withColumn("rank", rank).where(F.col("rank") <= depth)
     if post:
         q_keys = queries.select(F.col(query_id).alias("query_id"), F.col(filter_key).alias("_want"))
         d_keys = docs.select(F.col(doc_id).alias("doc_id"), F.col(filter_key).alias("_has"))

@@ -37,6 +37,17 @@ def import_resolution(spark, sf_dir):
     return dependency_table(spark, sf_dir)
 
 
+def import_resolution_salted(spark, sf_dir):
+    """The same with names that more than ten files import spread over several tasks."""
+    files = code_files(spark, sf_dir)
+    return imports.resolve_imports(imports.extract_imports(files), files, rows_per_salt=10)
+
+
+def import_edges_exact(spark, sf_dir):
+    edges = imports.exact_edges(dependency_table(spark, sf_dir))
+    return edges.groupBy("project_id", "source").agg(F.count(F.lit(1)).alias("edges"), F.min("target").alias("first"))
+
+
 def import_edges(spark, sf_dir):
     files = code_files(spark, sf_dir)
     found = imports.extract_imports(files)
@@ -174,6 +185,9 @@ reverse AS (
     coalesce(s.head, 'Imports this file.') AS reason
   FROM dependencies d JOIN results s ON s.project_id = d.project_id AND s.rel_path = d.src_path)"""
 
+_SQL_RESOLVED = f"""WITH {SQL_DEPENDENCIES}
+SELECT project_id, src_path, file_name, target_path, reason FROM dependencies"""
+
 QUERIES = {
     "import_extraction": Query(
         import_extraction,
@@ -182,10 +196,13 @@ SELECT project_id, src_path, language, import_pos,
   CASE WHEN language IN ('JavaScript', 'TypeScript') THEN './' || word ELSE word END AS import_name
 FROM code_imports""",
     ),
-    "import_resolution": Query(
-        import_resolution,
+    "import_resolution": Query(import_resolution, _SQL_RESOLVED),
+    "import_resolution_salted": Query(import_resolution_salted, _SQL_RESOLVED),
+    "import_edges_exact": Query(
+        import_edges_exact,
         f"""WITH {SQL_DEPENDENCIES}
-SELECT project_id, src_path, file_name, target_path, reason FROM dependencies""",
+SELECT project_id, src_path AS source, count(*) AS edges, min(target_path) AS first
+FROM dependencies GROUP BY project_id, src_path""",
     ),
     "import_edges": Query(
         import_edges,

@@ -101,6 +101,21 @@ def knn_self(spark, sf_dir):
     return _rounded(retrieval.nearest(rows, rows, k=3, query_id="vec_id", doc_id="vec_id"))
 
 
+def knn_cells(spark, sf_dir):
+    """The same by cells around pivots, the way for more queries than tasks can hold."""
+    rows = table(spark, sf_dir, "embeddings")
+    return _rounded(retrieval.nearest(rows, rows, k=3, query_id="vec_id", doc_id="vec_id", max_broadcast=50))
+
+
+def knn_key_blocks(spark, sf_dir):
+    """Every vector among those of its label, by blocks of a label."""
+    rows = table(spark, sf_dir, "embeddings")
+    hits = retrieval.nearest(
+        rows, rows, k=3, query_id="vec_id", doc_id="vec_id", filter_key="label", max_broadcast=50
+    )
+    return _rounded(hits)
+
+
 def knn_filtered_search(spark, sf_dir):
     """Metadata filters as given by a caller, on the map column."""
     docs = table(spark, sf_dir, "embeddings").withColumn(
@@ -204,6 +219,13 @@ files AS (
     arg_min(label, rank) AS label, list('text ' || vec_id ORDER BY rank) AS contents
   FROM named GROUP BY query_id, file_path)"""
 
+_SQL_SELF = """WITH scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS d
+  FROM embeddings q JOIN embeddings d ON {on})
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank,
+  round(1 / (1 + d), 6) AS score
+FROM scored QUALIFY rank <= 3"""
+
 QUERIES = {
     "zero_dim_filter": Query(
         zero_dim_filter, "SELECT vec_id, label FROM embeddings WHERE label NOT IN (0, 1)"
@@ -227,15 +249,9 @@ QUERIES = {
         + """ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank, round(score, 6) AS score
 FROM hits WHERE want = label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 10""",
     ),
-    "knn_self": Query(
-        knn_self,
-        """WITH scored AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS d
-  FROM embeddings q CROSS JOIN embeddings d)
-SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank,
-  round(1 / (1 + d), 6) AS score
-FROM scored QUALIFY rank <= 3""",
-    ),
+    "knn_self": Query(knn_self, _SQL_SELF.format(on="true")),
+    "knn_cells": Query(knn_cells, _SQL_SELF.format(on="true")),
+    "knn_key_blocks": Query(knn_key_blocks, _SQL_SELF.format(on="q.label = d.label")),
     "knn_filtered_search": Query(
         knn_filtered_search,
         _sql_hits(5, on="e.label = 3") + " SELECT query_id, vec_id, rank, round(score, 6) AS score FROM hits",

@@ -68,6 +68,19 @@ def reachability(spark, sf_dir):
     return walk.select("start", "node", "hops")
 
 
+def reachability_hubs(spark, sf_dir):
+    """The same walk with nodes of more than 20 edges spread over several tasks."""
+    starts = code_files(spark, sf_dir).groupBy("project_id").agg(F.min("rel_path").alias("p"))
+    starts = starts.select(F.concat_ws("/", "project_id", "p").alias("node"))
+    walk = graph.dependency_chain(_dependency_edges(spark, sf_dir), starts, rows_per_salt=20)
+    return walk.select("start", "node", "hops")
+
+
+def components(spark, sf_dir):
+    links = _dependency_edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return graph.connected_components(links).select("node", F.col("class").alias("component"))
+
+
 def _graph_files(spark, sf_dir):
     """German and Spanish files as Python, the others as JavaScript."""
     python = python_files(spark, sf_dir).where(F.col("rel_path").rlike("^(de|es)/"))
@@ -123,7 +136,23 @@ UNION ALL SELECT DISTINCT project_id, rel_path || ':' || name, name,
   CASE WHEN {_IMPORTANT} THEN 'important_function' ELSE 'function' END, rel_path, {_IMPORTANT}
 FROM all_facts WHERE kind = 'function'"""
 
+_SQL_WALK = f"""WITH RECURSIVE {_SQL_EDGES},
+walk AS (
+  SELECT project_id || '/' || min(rel_path) AS start, project_id || '/' || min(rel_path) AS node, 0 AS hops
+  FROM code_files GROUP BY project_id
+  UNION
+  SELECT w.start, e.other, w.hops + 1 FROM walk w JOIN ends e ON e.node = w.node WHERE w.hops < 30)"""
+
 QUERIES = {
+    "components": Query(
+        components,
+        f"""WITH RECURSIVE {_SQL_EDGES},
+reach AS (
+  SELECT node, node AS other FROM ends
+  UNION
+  SELECT r.node, e.other FROM reach r JOIN ends e ON e.node = r.other)
+SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    ),
     "hierarchy": Query(hierarchy, f"WITH {_SQL_TREE} SELECT id, name, type, parent, depth FROM tree"),
     "child_order": Query(
         child_order,
@@ -143,12 +172,14 @@ FROM (SELECT id, unnest(range(1, len(string_split(id, '/')) + 1)) AS n FROM tree
     ),
     "reachability": Query(
         reachability,
-        f"""WITH RECURSIVE {_SQL_EDGES},
-walk AS (
-  SELECT project_id || '/' || min(rel_path) AS start, project_id || '/' || min(rel_path) AS node, 0 AS hops
-  FROM code_files GROUP BY project_id
-  UNION
-  SELECT w.start, e.other, w.hops + 1 FROM walk w JOIN ends e ON e.node = w.node WHERE w.hops < 30)
+        _SQL_WALK
+        + """
+SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node""",
+    ),
+    "reachability_hubs": Query(
+        reachability_hubs,
+        _SQL_WALK
+        + """
 SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node""",
     ),
     "project_nodes": Query(project_nodes, f"WITH {_SQL_GRAPH} {_SQL_NODES}"),

@@ -141,18 +141,23 @@ def _turns(spark, sf_dir):
     return turns.withColumn("key_text", items)
 
 
-def greedy_budget(spark, sf_dir):
+def greedy_budget(spark, sf_dir, **rounds):
     turns = table(spark, sf_dir, "conversations")
     rows = turns.select(
         "conv_id", "turn", F.posexplode(S.sentences("text")).alias("pos", "sentence")
     ).where(F.trim("sentence") != "")
     rows = rows.withColumn("tokens", token_count("sentence")).withColumn("budget", F.lit(60))
-    kept = merging.budget_sentences(rows, ["conv_id"], ["turn", "pos"])
+    kept = merging.budget_sentences(rows, ["conv_id"], ["turn", "pos"], **rounds)
     return kept.select(
         "conv_id", "used", F.size("kept").alias("sentences"), F.md5(F.array_join("kept", " ")).alias("md5")
     )
 
 
+def greedy_rounds(spark, sf_dir):
+    """The same in many small rounds."""
+    return greedy_budget(spark, sf_dir, round_sentences=3)
+
+
 def greedy_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(merging.greedy_text("text", 100)).alias("md5"))
@@ -189,6 +194,19 @@ def project_context(spark, sf_dir):
     return out.select("project_id", "tokens", F.md5("context").alias("md5"))
 
 
+def project_context_empty(spark, sf_dir):
+    """Projects by language; German ones have no text, French ones no section."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit("no section "), "doc_id")).when(
+        F.col("lang") != "de", F.concat(F.lit("Overview\nno "), "doc_id")
+    )
+    results = docs.select(
+        F.col("lang").alias("project_id"), F.format_string("%08d", "doc_id").alias("rel_path"),
+        F.concat(F.lit("f"), "doc_id").alias("file_name"), text.alias("requirements"),
+    )
+    return merging.project_context(results, max_tokens=10**6).select("project_id", "tokens", F.md5("context").alias("md5"))
+
+
 _FOLD = """list_reduce(list_prepend({{'used': 0, 'kept': '', 'n': 0, 't': 0, 's': ''}},
     list_transform({items}, lambda x: {{'used': 0, 'kept': '', 'n': 0, 't': length(x)::INT // 4, 's': x}})),
   lambda a, b: CASE WHEN a.used < {budget} AND a.used + b.t <= {budget}
@@ -238,6 +256,13 @@ def _sql_body(alias: str, budget: int, default: str) -> str:
     return f"CASE WHEN {kept} = '' OR length({kept}) // 4 > {budget} THEN '{default}' ELSE {kept} END"
 
 
+_SQL_GREEDY = f"""WITH parts AS (
+  SELECT conv_id, flatten(list(p ORDER BY turn)) AS items
+  FROM (SELECT conv_id, turn, list_filter({SQL_SENTENCES.format('text')}, lambda x: trim(x) <> '') AS p FROM conversations)
+  GROUP BY conv_id),
+folded AS (SELECT conv_id, {_fold('items', 60)} AS f FROM parts)
+SELECT conv_id, f.used AS used, f.n AS sentences, md5(f.kept) AS md5 FROM folded"""
+
 QUERIES = {
     "section_parse": Query(
         section_parse,
@@ -323,15 +348,8 @@ FROM (SELECT *, unnest(list_append([{", ".join(sql_text(h) for h in S.SUMMARY_HE
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
   FROM documents WHERE lang <> 'es')""",
     ),
-    "greedy_budget": Query(
-        greedy_budget,
-        f"""WITH parts AS (
-  SELECT conv_id, flatten(list(p ORDER BY turn)) AS items
-  FROM (SELECT conv_id, turn, list_filter({SQL_SENTENCES.format('text')}, lambda x: trim(x) <> '') AS p FROM conversations)
-  GROUP BY conv_id),
-folded AS (SELECT conv_id, {_fold('items', 60)} AS f FROM parts)
-SELECT conv_id, f.used AS used, f.n AS sentences, md5(f.kept) AS md5 FROM folded""",
-    ),
+    "greedy_budget": Query(greedy_budget, _SQL_GREEDY),
+    "greedy_rounds": Query(greedy_rounds, _SQL_GREEDY),
     "greedy_text": Query(
         greedy_text,
         f"""SELECT doc_id, md5(({_fold(_nonblank(SQL_SENTENCES.format('text')), 100)}).kept) AS md5 FROM documents""",
@@ -356,6 +374,15 @@ SELECT s.conv_id, md5(concat_ws(chr(10) || chr(10),
   'Workflow Summary' || chr(10) || {_sql_body('w', 500, 'Integrates with python file workflows.')})) AS md5
 FROM files s LEFT JOIN overviews o USING (conv_id) LEFT JOIN objectives b USING (conv_id)
 LEFT JOIN cases c USING (conv_id) LEFT JOIN flows w USING (conv_id) LEFT JOIN listed l USING (conv_id)""",
+    ),
+    "project_context_empty": Query(
+        project_context_empty,
+        f"""WITH texts AS (
+  SELECT lang, CASE lang WHEN 'de' THEN {sql_text(merging.NO_CONTENT)} WHEN 'fr' THEN {sql_text(merging.CONTEXT_TITLE)}
+    ELSE {sql_text(merging.CONTEXT_TITLE)} || string_agg(chr(10) || 'f' || doc_id || ':' || chr(10) || '  Overview: no '
+      || doc_id || chr(10), '' ORDER BY doc_id) END AS t
+  FROM documents GROUP BY lang)
+SELECT lang AS project_id, length(t) // 4 AS tokens, md5(t) AS md5 FROM texts""",
     ),
     "project_context": Query(
         project_context,

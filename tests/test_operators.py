@@ -340,14 +340,13 @@ def test_ranking_keeps_k_rows_per_task(spark):
     assert "WindowGroupLimit" in plan_of(retrieval.nearest(queries, docs, k=2))
 
 
-def test_null_keys_meet_nothing_on_either_path(spark, monkeypatch):
+def test_null_keys_meet_nothing_on_either_path(spark):
     rng = random.Random(1)
     rows = [(i, [rng.random() for _ in range(4)], None if i % 2 else i % 4) for i in range(20)]
     docs = frame(spark, rows, "doc_id int, embedding array<double>, g int")
     queries = docs.withColumnRenamed("doc_id", "query_id")
     few = retrieval.nearest(queries, docs, k=2, filter_key="g").collect()
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 5)
-    many = retrieval.nearest(queries, docs, k=2, filter_key="g").collect()
+    many = retrieval.nearest(queries, docs, k=2, filter_key="g", max_broadcast=5).collect()
     assert len(few) == 20 and sorted(few) == sorted(many)
 
 
