@@ -367,6 +367,12 @@ def test_hashed_embedding(spark):
     assert set(rows[3]) == {0.0}
 
 
+def test_components_of_a_chain(spark):
+    links = frame(spark, [(k, k + 1) for k in range(40)] + [(90, 91)], "a int, b int")
+    rows = graph.connected_components(links).collect()
+    assert {(r["node"], r["class"]) for r in rows} == {(k, 0) for k in range(41)} | {(90, 90), (91, 90)}
+
+
 # --- merging ---
 
 
