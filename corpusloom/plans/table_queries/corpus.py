@@ -232,6 +232,37 @@ def rule_matches(spark, sf_dir):
     )
 
 
+def rule_table_matches(spark, sf_dir):
+    """Rules read from a table, here one made of the languages: words that begin like a language's tag."""
+    tags = table(spark, sf_dir, "documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = tags.select(
+        F.lit("tag").alias("domain"), F.ascii("lang").alias("pattern_id"),
+        F.concat(F.lit("\\b"), "lang", F.lit("[a-z]*")).alias("pattern"), F.col("lang").alias("description"),
+        F.array().cast("array<string>").alias("languages"),
+    )
+    found = rules.detect_rules(
+        table(spark, sf_dir, "documents"), ["doc_id"], language=None, rules=rules.rules_from_table(rows)
+    )
+    return found.groupBy("doc_id", "pattern_id", "description").agg(
+        F.count(F.lit(1)).alias("hits"), F.md5(F.min("rule")).alias("first")
+    )
+
+
+def semantic_rules(spark, sf_dir):
+    """Rules of the patterns, and those in outputs that are given for texts with few matches."""
+    docs = table(spark, sf_dir, "documents")
+    rows = F.concat(
+        F.lit('[{"domain": "d", "rule": "'), "lang", F.lit('", "description": "from '), "source",
+        F.lit('"}, {"domain": "e", "rule": "r2"}]'),
+    )
+    output = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("```json\n"), rows, F.lit("\n```")))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Found: "), rows))
+        .when(F.col("doc_id") % 4 == 2, '{"domain": "no list"}')
+    )
+    return rules.all_rules(docs.withColumn("output", output), ["doc_id"], language="lang", rules=TEXT_RULES)
+
+
 def _coded(spark, sf_dir):
     text = F.col("text")
     for word, code in CODE_WORDS:
@@ -337,6 +368,29 @@ FROM store GROUP BY lang""",
         rule_matches,
         f"""WITH {_sql_rules(TEXT_RULES, 'text', 'lang', 'documents')}
 SELECT doc_id, domain, pattern_id, match_pos, rule, description, source FROM hits""",
+    ),
+    "rule_table_matches": Query(
+        rule_table_matches,
+        """WITH found AS (
+  SELECT d.doc_id, ascii(t.lang)::INT AS pattern_id, t.lang AS description,
+    unnest(list_concat(
+      CASE t.lang WHEN 'de' THEN regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}\\p{M}_])(de[a-z]*)', 1) END,
+      CASE t.lang WHEN 'en' THEN regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}\\p{M}_])(en[a-z]*)', 1) END,
+      CASE t.lang WHEN 'es' THEN regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}\\p{M}_])(es[a-z]*)', 1) END,
+      CASE t.lang WHEN 'fr' THEN regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}\\p{M}_])(fr[a-z]*)', 1) END)) AS rule
+  FROM documents d, (SELECT DISTINCT lang FROM documents) t)
+SELECT doc_id, pattern_id, description, count(*) AS hits, md5(min(rule)) AS first
+FROM found GROUP BY doc_id, pattern_id, description""",
+    ),
+    "semantic_rules": Query(
+        semantic_rules,
+        f"""WITH {_sql_rules(TEXT_RULES, 'text', 'lang', 'documents')},
+few AS (
+  SELECT d.* FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id) h USING (doc_id)
+  WHERE coalesce(n, 0) < 3 AND doc_id % 4 < 2)
+SELECT doc_id, domain, pattern_id, match_pos, rule, description, source FROM hits
+UNION ALL SELECT doc_id, 'd', NULL, 0, lang, 'from ' || source, 'semantic' FROM few
+UNION ALL SELECT doc_id, 'e', NULL, 1, 'r2', NULL, 'semantic' FROM few""",
     ),
     "stock_rule_matches": Query(
         stock_rule_matches,
