@@ -73,9 +73,26 @@ def vba_modules(text: Column | str) -> Column:
         )
 
     def modules(found: Column) -> Column:
-        names = F.array_distinct(F.transform(found, lambda b: b["module"]))
-        last = lambda name: F.element_at(F.filter(found, lambda b: b["module"] == name), -1)["rows"]
-        return F.transform(names, lambda name: let(last(name), lambda rows: module(name, rows)))
+        # sorted by name, the first and the last of each name stand next to another one
+        placed = F.transform(
+            found, lambda b, i: F.struct(b["module"].alias("module"), i.alias("i"), b["rows"].alias("rows"))
+        )
+
+        def ends(ranked: Column, step: int) -> Column:
+            def is_end(b: Column, k: Column) -> Column:
+                return ~F.get(ranked, k + step)["module"].eqNullSafe(b["module"])
+
+            return F.filter(ranked, is_end)
+
+        def one_each(ranked: Column) -> Column:
+            pairs = F.zip_with(
+                ends(ranked, -1),
+                ends(ranked, 1),
+                lambda first, last: F.struct(first["i"].alias("i"), last["module"].alias("module"), last["rows"].alias("rows")),
+            )
+            return F.transform(F.array_sort(pairs), lambda b: module(b["module"], b["rows"]))
+
+        return let(F.array_sort(placed), one_each)
 
     return let(blocks, modules)
 

@@ -101,53 +101,55 @@ JS_FUNCTION_WITH_BODY = r"function\s+(\w+)(?=\s*\([^)]*\)\s*\{([^}]*)\})"
 JS_CALL = r"(\w+)\s*\("
 
 
-def _js_facts(text: Column) -> Column:
-    def fact(kind: str, name: Column, caller: Column, pos: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), name.alias("name"), caller.alias("caller"), pos.alias("pos")
-        )
-
-    nobody = F.lit(None).cast("string")
-
-    def calls(names: Column, bodies: Column) -> Column:
-        def of(name: Column) -> Column:
-            body = F.try_element_at(F.filter(bodies, lambda b: b["name"] == name), F.lit(1))["body"]
-            times = F.size(F.filter(names, lambda n: n == name))
-            called = F.flatten(F.array_repeat(find_all(body, JS_CALL, 1), times))
-            return F.coalesce(
-                F.transform(called, lambda c, i: fact("call", c, name, i)),
-                F.array().cast("array<struct<kind:string,name:string,caller:string,pos:int>>"),
-            )
-
-        return F.flatten(F.transform(F.array_distinct(names), of))
-
-    def build(names: Column, bodies: Column) -> Column:
-        imported = F.transform(find_all(text, JS_IMPORT, 1), lambda n, i: fact("import", n, nobody, i))
-        declared = F.transform(names, lambda n, i: fact("function", n, nobody, i))
-        return F.concat(imported, declared, calls(names, bodies))
-
-    bodies = F.zip_with(
-        find_all(text, JS_FUNCTION_WITH_BODY, 1),
-        find_all(text, JS_FUNCTION_WITH_BODY, 2),
-        lambda n, b: F.struct(n.alias("name"), b.alias("body")),
-    )
-    return let(
-        find_all(text, JS_FUNCTION, 1), lambda names: let(bodies, lambda found: build(names, found))
-    )
-
-
 def javascript_symbols(
     files: DataFrame, path: str = "rel_path", text: str = "text", keep: tuple[str, ...] = ("project_id",)
 ) -> DataFrame:
-    """Regex facts of JavaScript files, found inside each row.
+    """Regex facts of JavaScript files.
 
     A function's body is what follows its first header up to the first
     closing brace. A body may hold further headers, so it is matched as a
     look-ahead and the scan goes on right after the header's name. A name
-    declared twice reads its body twice.
+    declared twice reads its body twice. Imports and declarations are found
+    inside each row; bodies are brought to their names by one aggregation, as
+    looking each name up in a list of bodies would be quadratic.
     """
-    source = files.where(F.col("language") == "JavaScript")
-    return source.select(*keep, F.col(path).alias("rel_path"), F.inline(_js_facts(F.col(text))))
+    source = files.where(F.col("language") == "JavaScript").select(
+        *keep, F.col(path).alias("rel_path"), F.col(text).alias("_text")
+    )
+    keys = [*keep, "rel_path"]
+
+    def facts(kind: str, names: Column) -> Column:
+        nobody = F.lit(None).cast("string")
+        return F.transform(
+            names,
+            lambda n, i: F.struct(F.lit(kind).alias("kind"), n.alias("name"), nobody.alias("caller"), i.alias("pos")),
+        )
+
+    names = find_all("_text", JS_FUNCTION, 1)
+    found = source.select(
+        *keys,
+        F.inline(F.concat(facts("import", find_all("_text", JS_IMPORT, 1)), facts("function", names))),
+    )
+    none = F.lit(None).cast("string")
+    uses = F.concat(
+        F.transform(names, lambda n, i: F.struct(n.alias("caller"), i.alias("at"), none.alias("body"))),
+        F.zip_with(
+            find_all("_text", JS_FUNCTION_WITH_BODY, 1),
+            F.transform(find_all("_text", JS_FUNCTION_WITH_BODY, 2), lambda b, i: F.struct(b.alias("b"), i.alias("i"))),
+            lambda n, x: F.struct(n.alias("caller"), x["i"].alias("at"), x["b"].alias("body")),
+        ),
+    )
+    bodies = (
+        source.select(*keys, F.inline(uses))
+        .groupBy(*keys, "caller")
+        .agg(
+            F.count_if(F.col("body").isNull()).cast("int").alias("_times"),
+            F.min(F.when(F.col("body").isNotNull(), F.struct("at", "body")))["body"].alias("_body"),
+        )
+    )
+    called = F.flatten(F.array_repeat(find_all("_body", JS_CALL, 1), F.col("_times")))
+    calls = bodies.select(*keys, "caller", F.posexplode(called).alias("pos", "name"))
+    return found.unionByName(calls.select(*keys, F.lit("call").alias("kind"), "name", "caller", "pos"))
 
 
 def symbols(files: DataFrame, **options) -> DataFrame:
