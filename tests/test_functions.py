@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import diagram_text, jsontext, paths, tokens, vectors
+from corpusloom.functions import arrays, diagram_text, jsontext, paths, tokens, vectors
 from corpusloom.functions import sections as S
 from corpusloom.functions import strings
 
@@ -199,3 +199,11 @@ def test_diagram_checks(spark):
     assert one(spark, diagram_text.is_drawable("t"), t="graph XX\nA --- B") is False
     assert one(spark, diagram_text.is_error("t"), t="Generation Error: Timeout") is True
     assert one(spark, diagram_text.type_mismatch("t", F.lit("Entity Relationship")), t="erDiagram x") is False
+
+
+def test_running_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(arrays, "BLOCK", 4)
+    for n in (0, 1, 3, 4, 5, 8, 21):
+        values = spark.createDataFrame([([k * k + 1 for k in range(n)],)], "v array<long>")
+        sums = values.select(arrays.running_sums(F.col("v"))).first()[0]
+        assert sums == [sum(k * k + 1 for k in range(m)) for m in range(n)]
