@@ -69,16 +69,6 @@ def test_cleaned_texts_have_no_more(spark):
     assert {r["spans"] for r in rows} == {""} and len(rows) == 3
 
 
-def test_running_sums_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(pii, "BLOCK", 4)
-    from pyspark.sql import functions as F
-
-    for n in (0, 1, 3, 4, 5, 8, 21):
-        values = spark.createDataFrame([([k * k + 1 for k in range(n)],)], "v array<long>")
-        sums = values.select(pii.running_sums(F.col("v"))).first()[0]
-        assert sums == [sum(k * k + 1 for k in range(m)) for m in range(n)]
-
-
 def test_reliabilities_find_the_labeler_that_guesses():
     import random
 
