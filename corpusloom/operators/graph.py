@@ -220,13 +220,12 @@ def connected_components(links: DataFrame) -> DataFrame:
                 "node", F.least("class", "heard").alias("class"), F.col("class").alias("old")
             )
         )
+        if nearer.where("class <> old").isEmpty():
+            return labels
         further = nearer.select(F.col("node").alias("class"), F.col("class").alias("next"))
-        jumped = cut_lineage(
-            nearer.join(further, "class", "left").select("node", F.coalesce("next", "class").alias("class"), "old")
+        labels = cut_lineage(
+            nearer.join(further, "class", "left").select("node", F.coalesce("next", "class").alias("class"))
         )
-        labels = jumped.select("node", "class")
-        if jumped.where("class <> old").isEmpty():
-            return labels
 
 
 def dependency_chain(
