@@ -26,7 +26,10 @@ def _mixed(spark, sf_dir):
 
 
 def vector_roundtrip(spark, sf_dir):
-    """Written, replaced, appended to and read back with a filter; a missing table and another width are empty."""
+    """Written, replaced, appended to and read back with a filter; a missing table and another width are empty.
+
+    ``strangers`` also counts what the whole table has more or less than was written.
+    """
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.concat(F.lit("c"), "vec_id").alias("content"), "embedding",
         F.concat(F.lit("l"), "label").alias("language"), F.concat(F.lit("v"), F.col("vec_id") % 3).alias("team"),
@@ -43,11 +46,16 @@ def vector_roundtrip(spark, sf_dir):
         F.lit(0.0).alias("created_at"),
     ), path, WIDTH)
     other = store.load_vectors(spark, path, WIDTH + 1).count()
+    same = ["id", "content", "language", "embedding", F.try_element_at("meta", F.lit("team")).alias("team")]
+    written = made.select(*same, F.lit(1).alias("n"))
+    stored = store.load_vectors(spark, path, WIDTH).select(*same, F.lit(-1).alias("n"))
+    rows = written.unionByName(stored).groupBy("id", "content", "language", "embedding", "team").agg(F.sum("n").alias("n"))
+    wrong = rows.where("n <> 0").count()
     found = store.load_vectors(spark, path, WIDTH, {"language": "l3", "team": "v1"})
     return found.select(
         F.col("id").alias("vec_id"), "content", F.size("embedding").alias("width"),
         (F.col("created_at").isNotNull() & F.try_element_at("meta", F.lit("timestamp")).isNotNull()).alias("stamped"),
-        F.lit(before + other).alias("strangers"),
+        F.lit(before + other + wrong).alias("strangers"),
     )
 
 

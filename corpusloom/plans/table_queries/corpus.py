@@ -70,23 +70,34 @@ def archive_entries(spark, sf_dir):
 
 
 def corpus_scan(spark, sf_dir):
-    """Every document as a file in a folder of its source, and the corpus table of these folders."""
-    root = new_folder(spark)
+    """Every document as a file in a folder of its source, and the corpus table of these folders.
+
+    Those whose file is ignored have one that is not in a second folder; ``read`` also says that these came back.
+    """
+    root, rest = new_folder(spark), new_folder(spark)
+    filesystem = files._filesystem  # the module as a whole cannot be sent to the workers
 
     def write(batches):
         for batch in batches:
             for source, doc_id, text in zip(batch["source"], batch["doc_id"], batch["text"]):
                 name = ["_init.py", "a.js", "b.css", ".env"][doc_id % 4]
-                system, path = files._filesystem(f"{root}/{source}/d{doc_id}")
-                system.create_dir(path, recursive=True)
-                with system.open_output_stream(f"{path}/{name}") as out:
-                    out.write(text.encode())
+                for top, file in [(root, name), (rest, "c.py")][: 1 + (doc_id % 4 > 1)]:
+                    system, path = filesystem(f"{top}/{source}/d{doc_id}")
+                    system.create_dir(path, recursive=True)
+                    with system.open_output_stream(f"{path}/{file}") as out:
+                        out.write(text.encode())
             yield batch[["doc_id"]]
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     docs.mapInPandas(write, "doc_id long").count()
     found = files.scan_folder(spark, root, "p")
-    return found.select("project_id", "rel_path", "language", md5_of("text"), F.col("error").isNull().alias("read"))
+    other = files.scan_folder(spark, rest, "p").select("rel_path", md5_of("text"), F.lit(-1).alias("n"))
+    written = docs.where("doc_id % 4 > 1").select(
+        F.concat("source", F.lit("/d"), "doc_id", F.lit("/c.py")).alias("rel_path"), md5_of("text"), F.lit(1).alias("n")
+    )
+    wrong = written.unionByName(other).groupBy("rel_path", "md5").agg(F.sum("n").alias("n")).where("n <> 0").count()
+    read = F.col("error").isNull() & F.lit(wrong == 0)
+    return found.select("project_id", "rel_path", "language", md5_of("text"), read.alias("read"))
 
 
 def size_router(spark, sf_dir):
