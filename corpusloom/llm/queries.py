@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans.table_queries.base import Query
 
-from . import exact, mixing, near, packing, pii, rules, sharding, substring, tokens, urls
+from . import exact, mixing, near, packing, pii, rules, runs, sharding, substring, tokens, urls
 
 
 def of(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,4 +35,5 @@ QUERIES = {
     "op10_quality_rules": Query(
         lambda spark, sf_dir: rules.quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     ),
+    "op13_square_runs": Query(of("documents", runs.runs_digest)),
 }
