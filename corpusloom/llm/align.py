@@ -2,25 +2,24 @@
 
 Both token sequences spell the same bytes, so the ends of their tokens are two
 sorted lists. The shorter list drives a galloping search in the longer one:
-from the last place found, steps double until they pass the wanted end, and a
-binary search finishes inside the last step. Ends in both lists cut the
-sequences into groups; the differences of their ranks are the ranges of tokens
-that overlap.
+steps double until they pass the wanted end, and a binary search finishes
+inside the last step. Ends in both lists cut the sequences into groups; the
+differences of their ranks are the ranges of tokens that overlap.
 
 An ordinary text is cut at white space, where both tokenizers provably cut
-too, and each different piece is encoded and aligned once per worker; a text's
-alignment is that of its pieces, one after the other. Other texts are encoded
-and aligned as a whole.
+too, and each different piece of a batch is encoded and aligned once; a text's
+alignment is that of its pieces, one after the other. Other texts are one
+piece. All pieces of a batch are searched together, as arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
 
-from .batches import gather, parts, split_pieces
+from .batches import gather, parts, split_pieces, texts_with
 from .common import SPACES, join_facts, whole_text
-from .tokens import REMEMBERED, public_path
+from .tokens import public_path
 
 # An id pair in one number: the first tokenizer's id, then so many bits of the second one's.
 PAIR_BITS = 20
@@ -41,41 +40,64 @@ PAIR_BITS = 20
 SENT_PAIRS = 1_000_000
 
 # Characters about which patterns for white space differ.
-ODD = "[\x1c-\x1f\x85  ᠎ -‏ -  -⁯　﻿]"
+ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+ODD_FIRST = "\x1c\x1d\x1e\x1f\x85\u1680\u2000\u3000\ufeff"  # one for each first byte in UTF-8
+
+# Texts are handled together up to so many bytes.
+PART_BYTES = 12 << 20
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
 
-def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
-    """Ranks in ``a`` and in ``b`` of the numbers in both; each list ascends strictly."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    in_short, in_long = [], []
-    low, n = 0, len(long)
-    for rank, x in enumerate(short):
-        if low >= n:
-            break
-        step, high = 1, low
-        while high < n and long[high] < x:  # gallop
-            low, high, step = high + 1, high + step, 2 * step
-        low = bisect_left(long, x, low, min(high, n))
-        if low < n and long[low] == x:
-            in_short.append(rank)
-            in_long.append(low)
-            low += 1
-    return (in_short, in_long) if short is a else (in_long, in_short)
-
-
-def groups_of(a: Sequence[int], b: Sequence[int], in_a: list[int], in_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids between one common end and the next."""
-    out, i, j = [], 0, 0
-    for p, q in zip(in_a, in_b):
-        out.append(f"{','.join(map(str, a[i : p + 1]))}|{','.join(map(str, b[j : q + 1]))}")
-        i, j = p + 1, q + 1
-    return ";".join(out)
+def common_ends(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``short`` and in ``long`` of the numbers in both; each list ascends strictly.
+
+    ``start`` says for each number of ``short`` where in ``long`` to begin;
+    nothing before that place is as large.
+    """
+    low, n = start.astype(np.int64), len(long)
+    padded = np.append(long, np.iinfo(np.int64).max)
+    high, step = low.copy(), 1
+    going = np.flatnonzero(padded[high] < short)
+    while len(going):  # gallop
+        low[going] = high[going] + 1
+        high[going] = np.minimum(high[going] + step, n)
+        step *= 2
+        going = going[padded[high[going]] < short[going]]
+    going = np.flatnonzero(low < high)
+    while len(going):  # search inside the last step
+        middle = (low[going] + high[going]) >> 1
+        less = padded[middle] < short[going]
+        low[going] = np.where(less, middle + 1, low[going])
+        high[going] = np.where(less, high[going], middle)
+        going = going[low[going] < high[going]]
+    met = np.flatnonzero(padded[low] == short)
+    return met, low[met]
+
+
+@dataclass(frozen=True)
+class Units:
+    """Alignments of several texts: ``symbols`` and ``pairs`` are flat, and ``*_at`` says where each text's begin."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    symbols: np.ndarray
+    symbols_at: np.ndarray
+    pairs: np.ndarray
+    pairs_at: np.ndarray
+    wrong: np.ndarray
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 class Aligned:
-    """Aligns texts of a byte-level BPE of ``tokenizers`` with those of a BPE of ``sentencepiece``."""
+    """Aligns texts of a byte-level BPE of ``tokenizers`` with those of a BPE of ``sentencepiece``.
+
+    A symbol is a token's id as it stands in the groups: with the comma, bar or
+    semicolon behind it.
+    """
 
     def __init__(self, first: str, second: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,12 +114,22 @@ class Aligned:
         letter = {chr(c): c for c in shown} | {
             chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in set(shown))
         }
-        self.bytes_a = {i: bytes(letter[c] for c in s) for s, i in self.first.get_vocab(False).items()}
+        vocabulary = self.first.get_vocab(False)
+        spelled = [b""] * (max(vocabulary.values()) + 1)
+        for shown_as, i in vocabulary.items():
+            spelled[i] = bytes(letter[c] for c in shown_as)
         n = self.second.get_piece_size()
         pieces = [self.second.id_to_piece(i) for i in range(n)]
-        self.bytes_b = [
+        pieced = [
             bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.bytes_a, self.bytes_b = (pa.array(x, pa.large_binary()) for x in (spelled, pieced))
+        self.size_a, self.size_b = (np.array([len(t) for t in x]) for x in (spelled, pieced))
+        self.shift = len(spelled)
+        self.shown = pa.array(
+            [f"{i}{end}" for ids, ends in ((spelled, ",|"), (pieced, ",;")) for end in ends for i in range(len(ids))],
+            pa.large_string(),
+        )
         self.lone = self.second.piece_to_id("▁")
         # No token of the second reaches over a cut: a word mark only begins tokens, and white space is in none.
         joined = [p for i, p in enumerate(pieces) if not self.second.is_byte(i) and not self.second.is_control(i)]
@@ -106,41 +138,57 @@ class Aligned:
         self.cuts = np.zeros(256, bool)
         self.cuts[[ord(c) for c in SPACES if c not in inside]] = True
         self.odd = ODD[:-1] + "▁" + "".join(c for c in SPACES if c in inside) + "]"
-        self.known: dict[str, tuple | None] = {}
+        self.odd_bytes = np.zeros(256, bool)
+        self.odd_bytes[[c.encode()[0] for c in ODD_FIRST + self.odd[len(ODD) - 1 : -1]]] = True
 
-    def _both(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of texts that begin with the space which the second tokenizer adds, or with another kept apart from it."""
+    def _encode(self, texts: list[str]) -> tuple[list, list[list[int]]]:
         a = self.first.encode_batch_fast(texts, add_special_tokens=False)
         b = self.second.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
-        for text, x, y in zip(texts, a, b):
+        for k, text in enumerate(texts):
             if text[:1] != " ":  # the added space is a token of its own, as the text begins with white space
-                y = y[1:] if y and y[0] == self.lone else [-1]
+                b[k] = b[k][1:] if b[k] and b[k][0] == self.lone else [0]
             elif text == " ":  # nothing is added to an empty text
-                y = [self.lone]
-            yield x.ids, y
-
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """``groups, n_a, n_b, n_groups, pairs``; None if a sequence does not spell the text."""
-        if -1 in b or any(i not in self.bytes_a for i in a):
-            return None
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = text.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        in_a, in_b = common_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
-        pairs = [a[p] << PAIR_BITS | b[q] for p, q in zip(in_a, in_b)]
-        return groups_of(a, b, in_a, in_b), len(a), len(b), len(in_a), pairs
-
-    def of(self, texts: list[str]) -> list[tuple | None]:
-        return [self.align(t, a, b) for t, (a, b) in zip(texts, self._both(texts))]
-
-    def pieces(self, texts: list[str]) -> list[tuple | None]:
-        """The same, remembering what has been aligned."""
-        new = [t for t in texts if t not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, texts
-        self.known.update(zip(new, self.of(new)))
-        return [self.known[t] for t in texts]
+                b[k] = [self.lone]
+        return [e.ids for e in a], b
+
+    def align(self, texts: list[str]) -> Units:
+        """Alignments of texts that begin with the space which the second tokenizer adds, or with other white space.
+
+        Texts that a sequence does not spell are ``wrong`` and have no tokens.
+        """
+        lists_a, lists_b = self._encode(texts)
+        wanted = pa.array([t.encode() for t in texts], pa.large_binary())
+        wrong = np.zeros(len(texts), bool)
+        for lists, table in ((lists_a, self.bytes_a), (lists_b, self.bytes_b)):
+            sizes = np.array([len(x) for x in lists])
+            got = pa.LargeListArray.from_arrays(pa.array(_ranges(sizes)), table.take(pa.array(chain.from_iterable(lists), pa.int64())))
+            wrong |= ~pc.equal(pc.binary_join(got, pa.scalar(b"", pa.large_binary())), wanted).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(wrong).tolist():
+            lists_a[k], lists_b[k] = [], []
+        n_a, n_b = (np.array([len(x) for x in lists], np.int64) for lists in (lists_a, lists_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((lists_a, n_a), (lists_b, n_b)))
+        in_a, in_b = self._common(a, b, n_a, n_b)
+        # each group: its tokens of the one, the last with a bar, then its tokens of the other, the last with a semicolon
+        group_a = np.searchsorted(in_a, np.arange(len(a)))
+        group_b = np.searchsorted(in_b, np.arange(len(b)))
+        show_a, show_b = a.copy(), b + 2 * self.shift
+        show_a[in_a] += self.shift
+        show_b[in_b] += len(self.size_b)
+        before_b, before_a = np.concatenate([[0], in_b + 1]), np.append(in_a, len(a) - 1) + 1
+        symbols = np.empty(len(a) + len(b), np.int32)
+        symbols[np.arange(len(a)) + before_b[group_a]] = show_a
+        symbols[np.arange(len(b)) + before_a[group_b]] = show_b
+        owner = np.repeat(np.arange(len(texts)), n_a)[in_a]
+        pairs = a[in_a] << PAIR_BITS | b[in_b]
+        return Units(n_a, n_b, symbols, _ranges(n_a + n_b), pairs, np.searchsorted(owner, np.arange(len(texts) + 1)), wrong)
+
+    def _common(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens whose ends are common; texts follow each other, so a text's ends lie behind the last one's."""
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        if len(a) <= len(b):
+            return common_ends(ends_a, ends_b, np.repeat(_ranges(n_b)[:-1], n_a))
+        in_b, in_a = common_ends(ends_b, ends_a, np.repeat(_ranges(n_a)[:-1], n_b))
+        return in_a, in_b
 
 
 @lru_cache(maxsize=2)
@@ -148,48 +196,47 @@ def aligning(first: str, second: str) -> Aligned:
     return Aligned(first, second)
 
 
-def _flat(found: list[tuple | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Numbers, pairs with their begins, groups, and which have none, of a list of alignments."""
-    empty = ("", 0, 0, 0, [])
-    groups, n_a, n_b, n_groups, pairs = zip(*(f or empty for f in found)) if found else ((), (), (), (), ())
-    begins = np.concatenate([[0], np.cumsum([len(p) for p in pairs], dtype=np.int64)])
-    flat = np.fromiter((x for p in pairs for x in p), np.int64, int(begins[-1]))
-    numbers = np.array([n_a, n_b, n_groups], np.int64).reshape(3, -1)
-    return numbers, (flat, begins), list(groups), np.array([f is None for f in found], bool)
-
-
-def _align_rows(aligned: Aligned, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """For texts with their leading space: numbers, all pairs, where each text's pairs begin, and groups."""
-    whole = pc.match_substring_regex(texts, aligned.odd).to_numpy(zero_copy_only=False)
-    if not aligned.cuttable:
-        whole[:] = True
-    n = len(texts)
-    codes, begins, different = split_pieces(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts), aligned.cuts)
-    numbers, (flat, starts), strings, wrong = _flat(aligned.pieces(different.to_pylist()))
-    sums = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(numbers[:, codes], axis=1)], axis=1)
-    out = sums[:, begins[1:]] - sums[:, begins[:-1]]
-    bad = np.concatenate([[0], np.cumsum(wrong[codes])])
-    bad = bad[begins[1:]] > bad[begins[:-1]]
-    picked, ends = gather(codes, starts)
-    pairs, ends = flat[picked], ends[begins]
-    edges = begins.tolist()
-    groups = [";".join([strings[c] for c in codes[i:j].tolist()]) for i, j in zip(edges, edges[1:])]
-    # the texts that are aligned whole go where they belong
+def _align_rows(aligned: Aligned, texts: pa.Array) -> Iterator:
+    """For texts with their leading space: numbers of tokens and groups, all pairs, whose they are, and groups as bytes."""
+    whole = texts_with(texts, aligned.odd, aligned.odd_bytes) if aligned.cuttable else np.ones(len(texts), bool)
+    cut = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+    codes, begins, different = split_pieces(cut, aligned.cuts)
     odd = np.flatnonzero(whole)
-    own_numbers, (own, own_starts), own_groups, own_wrong = _flat(aligned.of(texts.take(pa.array(odd)).to_pylist()))
-    out[:, odd], bad[odd] = own_numbers, own_wrong
-    for k, g in zip(odd.tolist(), own_groups):
-        groups[k] = g
-    sizes = np.diff(ends)
-    sizes[odd] = np.diff(own_starts)
-    owner = np.concatenate([np.repeat(np.arange(n), np.diff(ends)), np.repeat(odd, np.diff(own_starts))])
-    order = np.argsort(owner, kind="stable") if len(odd) else slice(None)
-    pairs, owner = np.concatenate([pairs, own])[order], owner[order]
-    out[:, bad] = 0
-    for k in np.flatnonzero(bad).tolist():
-        groups[k] = ""
-    keep = ~bad[owner]
-    return out, pairs[keep], owner[keep], groups
+    units = aligned.align(different.to_pylist() + texts.take(pa.array(odd)).to_pylist())
+    # an odd text is one piece, which stands where the text is
+    codes = np.insert(codes, begins[odd], len(different) + np.arange(len(odd)))
+    begins = begins + np.concatenate([[0], np.cumsum(whole)])
+    bad = _ranges(units.wrong[codes])[begins]
+    bad = bad[1:] > bad[:-1]
+    keep = ~np.repeat(bad, np.diff(begins))
+    codes = codes[keep]
+    begins = _ranges(keep)[begins]
+    picked, at = gather(codes, units.pairs_at)
+    pairs_at = at[begins]
+    n_a, n_b = (np.diff(_ranges(x[codes])[begins]) for x in (units.n_a, units.n_b))
+    numbers = np.stack([n_a, n_b, np.diff(pairs_at)])
+    owner = np.repeat(np.arange(len(texts)), numbers[2])
+    pairs = units.pairs[picked]
+    picked, at = gather(codes, units.symbols_at)
+    shown = aligned.shown.take(pa.array(units.symbols[picked]))
+    edges = np.frombuffer(shown.buffers()[1], np.int64)[: len(shown) + 1][at[begins]].tolist()
+    text = memoryview(shown.buffers()[2] or b"")
+    groups = [text[i : max(i, j - 1)] for i, j in zip(edges, edges[1:])]  # without the last semicolon
+    return numbers, pairs, owner, groups
+
+
+def _counted(pairs: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different pairs, how often it has each, and where each text's begin."""
+    if n < 1 << 63 - 2 * PAIR_BITS:  # both fit into one number, which sorts faster
+        key = np.sort(owner << 2 * PAIR_BITS | pairs)
+        owner, pairs = key >> 2 * PAIR_BITS, key & ((1 << 2 * PAIR_BITS) - 1)
+    else:
+        order = np.lexsort((pairs, owner))
+        owner, pairs = owner[order], pairs[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return pairs[first], np.diff(np.append(first, len(pairs))), np.searchsorted(owner[first], np.arange(n + 1))
 
 
 def _aligned(first: str, second: str, digest: bool):
@@ -198,23 +245,20 @@ def _aligned(first: str, second: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = aligning(first, second)
         for batch in batches:
-            for part in parts(batch["_text"]):
+            for part in parts(batch["_text"], PART_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
                 numbers, pairs, owner, groups = _align_rows(aligned, rows["_text"])
-                # a text's equal pairs together: the pair numbers sorted inside each text
-                order = np.lexsort((pairs, owner))
-                pairs, owner = pairs[order], owner[order]
-                first_of = np.flatnonzero(
-                    np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])[: len(pairs)]
-                )
-                times = np.diff(np.append(first_of, len(pairs))).astype(np.int32)
-                lists = pa.array(np.searchsorted(owner[first_of], np.arange(len(rows) + 1)).astype(np.int32))
                 if digest:
-                    groups = [hashlib.sha256(g.encode()).hexdigest() if n else "" for g, n in zip(groups, numbers[0].tolist())]
+                    shown = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(groups, numbers[0].tolist())]
+                else:
+                    shown = [bytes(g).decode() for g in groups]
+                pairs, times, begins = _counted(pairs, owner, len(rows))
+                begins = pa.array(begins.astype(np.int32))
                 yield pa.record_batch(
                     [
-                        rows["doc_id"], *(pa.array(x) for x in numbers), pa.array(numbers[2]), pa.array(groups, pa.string()),
-                        pa.ListArray.from_arrays(lists, pa.array(pairs[first_of])), pa.ListArray.from_arrays(lists, pa.array(times)),
+                        rows["doc_id"], *(pa.array(x) for x in numbers), pa.array(numbers[2]), pa.array(shown, pa.string()),
+                        pa.ListArray.from_arrays(begins, pa.array(pairs)),
+                        pa.ListArray.from_arrays(begins, pa.array(times.astype(np.int32))),
                     ],
                     names,
                 )

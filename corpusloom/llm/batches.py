@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from .common import SPACES
@@ -88,6 +89,16 @@ def split_pieces(texts: pa.Array, space: np.ndarray = IS_SPACE) -> tuple[np.ndar
     return coded.indices.to_numpy().astype(np.int64), np.searchsorted(offsets, begins), coded.dictionary
 
 
+def texts_with(texts: pa.Array, pattern: str, first_bytes: np.ndarray) -> np.ndarray:
+    """Which texts match ``pattern``; only those are searched that hold one of ``first_bytes``."""
+    data, begins = _bytes(texts)
+    hits = np.concatenate([[0], np.cumsum(first_bytes[data], dtype=np.int64)])
+    out = hits[begins[1:]] > hits[begins[:-1]]
+    maybe = np.flatnonzero(out)
+    out[maybe] = pc.match_substring_regex(texts.take(pa.array(maybe)), pattern).to_numpy(zero_copy_only=False)
+    return out
+
+
 def gather(picked: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in a flat array of the items of the ``picked`` rows, and where each picked row's items begin.
 
