@@ -31,7 +31,7 @@ from corpusloom.session import cut_lineage
 
 from .batches import gather, parts, split_pieces, texts_with
 from .common import SPACES, join_facts, whole_text
-from .tokens import public_path
+from .tokens import ODD, ODD_FIRST, first_bytes, public_path
 
 # An id pair in one number: the first tokenizer's id, then so many bits of the second one's.
 PAIR_BITS = 20
@@ -39,10 +39,6 @@ PAIR_BITS = 20
 # Counts of up to so many id pairs (of 40 bytes in memory) are sent to every task; more are joined by a shuffle.
 SENT_PAIRS = 1_000_000
 
-# Characters about which patterns for white space differ.
-ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
-ODD_FIRST = "\x1c\x1d\x1e\x1f\x85\u1680\u2000\u3000\ufeff"  # one for each first byte in UTF-8
-
 # Texts are handled together up to so many bytes.
 PART_BYTES = 12 << 20
 
@@ -138,8 +134,7 @@ class Aligned:
         self.cuts = np.zeros(256, bool)
         self.cuts[[ord(c) for c in SPACES if c not in inside]] = True
         self.odd = ODD[:-1] + "▁" + "".join(c for c in SPACES if c in inside) + "]"
-        self.odd_bytes = np.zeros(256, bool)
-        self.odd_bytes[[c.encode()[0] for c in ODD_FIRST + self.odd[len(ODD) - 1 : -1]]] = True
+        self.odd_bytes = first_bytes(ODD_FIRST + self.odd[len(ODD) - 1 : -1])
 
     def _encode(self, texts: list[str]) -> tuple[list, list[list[int]]]:
         a = self.first.encode_batch_fast(texts, add_special_tokens=False)

@@ -8,8 +8,6 @@ sequence crosses documents or holds padding.
 
 from __future__ import annotations
 
-import os
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import parts
 from .common import number_rows, whole_text
-from .tokens import Pieces, WordPieces
+from .tokens import pieces_of
 
 MAX_TOKENS = 2048
 END_TOKEN = 1
@@ -40,44 +39,44 @@ def binary_pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
     return out
 
 
-def _id_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-@lru_cache(maxsize=4)
-def writing(name: str) -> Pieces:
-    """``word_*`` tokenizers drop white space and case; others are byte-level."""
-    kind = WordPieces if os.path.basename(name).startswith("word_") else Pieces
-    return kind(name, _id_bytes)
+@lru_cache(maxsize=1 << 14)
+def _cuts(n: int, most: int) -> np.ndarray:
+    return np.array(binary_pieces(n, most), np.int64).reshape(-1, 2)
 
 
 PIECES_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
 def _decompose(name: str, most: int, end_token: int):
-    end = np.array([end_token], "<u4").tobytes()
     names = [c.split()[0] for c in PIECES_SCHEMA.split(", ")]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, rows, held = writing(name), [], 0
+        pieces = pieces_of(name)
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["_text"].to_pylist()
-            for doc_id, parts in zip(ids, pieces.each(texts)):
-                parts.append(end)
-                tokens = b"".join(parts)
-                n = len(tokens) // 4
-                for start, length in binary_pieces(n, most):
-                    rows.append((doc_id, start, length, tokens[4 * start : 4 * (start + length)], n))
-                held += len(tokens)
-                if held > BATCH_BYTES:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
+            for part in parts(batch["_text"]):
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids, begins = pieces.ids(rows["_text"])
+                ids = np.insert(ids, begins[1:], end_token).astype("<u4")
+                tokens = np.diff(begins) + 1
+                cuts = [_cuts(n, most) for n in tokens.tolist()]
+                owner = np.repeat(np.arange(len(rows)), [len(c) for c in cuts])
+                start, length = np.concatenate(cuts).T
+                ends = np.concatenate([[0], np.cumsum(length)])  # pieces in order are all ids
+                low = 0
+                while low < len(owner):  # an Arrow array of bytes holds up to 2 GB
+                    high = max(low + 1, int(np.searchsorted(ends, ends[low] + BATCH_BYTES // 4, "right")) - 1)
+                    data = ids[ends[low] : ends[high]]
+                    offsets = (4 * (ends[low : high + 1] - ends[low])).astype(np.int32)
+                    some = slice(low, high)
+                    yield pa.record_batch(
+                        [
+                            rows["doc_id"].take(pa.array(owner[some])), pa.array(start[some]), pa.array(length[some]),
+                            pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                            pa.array(tokens[owner[some]]),
+                        ],
+                        names,
+                    )
+                    low = high
 
     return run
 

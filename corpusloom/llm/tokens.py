@@ -1,25 +1,31 @@
 """Token counts and token ids that equal a tokenizer's own, for texts of any length.
 
 Ordinary texts are cut at white space where the tokenizer's own splitting is
-known to cut too, and each different piece is encoded once per worker. Huge
-texts become overlapping chunks, dealt out as rows of their own; each chunk is
-encoded with offsets, neighbours are spliced at a place where both have a
-pre-token boundary, and where there is none the overlap is widened.
+known to cut too, and each different piece of a batch is encoded once; the ids
+of a text are gathered from those of its pieces. Huge texts become overlapping
+chunks, dealt out as rows of their own; each chunk is encoded with offsets,
+neighbours are spliced at a place where both have a pre-token boundary, and
+where there is none the overlap is widened.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corpusloom.session import cut_lineage
 
+from .batches import gather, parts, split_pieces, split_words, texts_with
 from .common import whole_text
 
 # A text of more characters than this is counted in chunks.
@@ -27,13 +33,20 @@ HUGE = 60_000
 CHUNK = 20_000
 OVERLAP = 256
 
-# Different pieces that a worker remembers.
-REMEMBERED = 400_000
+# Different stems of words that a worker remembers.
+REMEMBERED = 200_000
 
-# White space that both Python and the tokenizers' patterns know as such. Other white
-# space and control characters are left to the tokenizer, as patterns differ about them.
-_PLAIN = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
+# White space and control characters about which patterns differ. They are left to the
+# tokenizer, as is what may be a special token.
+ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+ODD_FIRST = "\x1c\x1d\x1e\x1f\x85\u1680\u2000\u3000\ufeff"  # one for each first byte in UTF-8
+
+
+def first_bytes(chars: str) -> np.ndarray:
+    """Which bytes begin one of ``chars`` in UTF-8."""
+    out = np.zeros(256, bool)
+    out[[c.encode()[0] for c in chars]] = True
+    return out
 
 
 def public_path(name: str) -> str:
@@ -48,8 +61,6 @@ def public_path(name: str) -> str:
 @lru_cache(maxsize=4)
 def load(name: str):
     """The tokenizer, one for each worker."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -60,7 +71,7 @@ def load(name: str):
 
 
 class Pieces:
-    """Encodes texts piece by piece and remembers the pieces.
+    """Encodes a batch of texts, each different piece once.
 
     A byte-level pre-tokenizer only puts a single leading space into a token
     with other characters, and looks at most one character ahead of a run of
@@ -70,39 +81,40 @@ class Pieces:
     other white space, or with what may be a special token, are encoded whole.
     """
 
-    def __init__(self, name: str, of) -> None:
-        self.tokenizer, self.of = load(name), of
-        self.known: dict[str, object] = {}
-        self.older: dict[str, object] = {}
-
-    def _encode(self, texts: list[str]) -> list:
-        return [self.of(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, text: str) -> list[str]:
-        return _PLAIN.findall(text)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Make all ``pieces`` known; what was used least lately is forgotten, half at a time."""
-        new = {p for p in pieces if p not in self.known}
-        if not new:
-            return
-        if len(self.known) + len(new) > REMEMBERED // 2:
-            self.older, self.known, new = self.known, {}, set(pieces)
-        again = [p for p in new if p in self.older]
-        self.known.update((p, self.older[p]) for p in again)
-        unseen = list(new.difference(again))
-        self.known.update(zip(unseen, self._encode(unseen)))
-
-    def each(self, texts: Iterable[str]) -> Iterator[list]:
-        """For each text, the values of its pieces in order."""
-        for text in texts:
-            if _ODD.search(text):
-                yield self._encode([text])
-                continue
-            pieces = self._split(text)
-            self._learn(pieces)
-            known = self.known
-            yield [known[p] for p in pieces]
+    split = staticmethod(split_pieces)
+
+    def __init__(self, name: str) -> None:
+        self.tokenizer = load(name)
+        self.odd, self.odd_bytes = ODD + "|<\\|", first_bytes(ODD_FIRST + "<")
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return self._whole(texts)
+
+    def _pieces(self, texts: pa.Array) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids of the different pieces, the number of each piece, and where each text's pieces begin."""
+        whole = texts_with(texts, self.odd, self.odd_bytes)
+        codes, begins, different = self.split(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts))
+        odd = np.flatnonzero(whole)
+        ids = self._encode(different.to_pylist()) + self._whole(texts.take(pa.array(odd)).to_pylist())
+        codes = np.insert(codes, begins[odd], len(different) + np.arange(len(odd)))  # an odd text is one piece
+        return ids, codes, begins + np.concatenate([[0], np.cumsum(whole)])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text."""
+        ids, codes, begins = self._pieces(texts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[begins])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's begin (one more at the end)."""
+        ids, codes, begins = self._pieces(texts)
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(starts[-1]))
+        picked, ends = gather(codes, starts)
+        return flat[picked], ends[begins]
 
 
 # Letters that a lower-casing, composing tokenizer takes one by one, and marks that never join them.
@@ -117,17 +129,16 @@ class WordPieces(Pieces):
     the tokenizer's model directly, in the byte-level spelling.
     """
 
-    def __init__(self, name: str, of) -> None:
-        super().__init__(name, of)
+    split = staticmethod(split_words)
+
+    def __init__(self, name: str) -> None:
+        super().__init__(name)
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.spelling = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters: dict[int, str] = {}
         self.stems: dict[str, list[int]] = {}
 
-    def _split(self, text: str) -> list[str]:
-        return text.split()
-
     def _stem(self, letters: str) -> list[int]:
         ids = self.stems.get(letters)
         if ids is None:
@@ -136,39 +147,41 @@ class WordPieces(Pieces):
                 for c in set(map(ord, letters)).difference(self.letters):
                     self.letters[c] = self.spelling.pre_tokenize_str(chr(c))[0][0]
                 spelled = letters.translate(self.letters)
-            if len(self.stems) >= REMEMBERED // 2:
+            if len(self.stems) >= REMEMBERED:
                 self.stems.clear()
             ids = self.stems[letters] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
         return ids
 
-    def _encode(self, texts: list[str]) -> list:
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         out, others = [None] * len(texts), []
         for k, text in enumerate(texts):
             if found := _WORD.fullmatch(text):
                 letters, marks = found.groups()
                 ids = self._stem(letters.lower())
-                out[k] = self.of(ids + self._stem(marks) if marks else ids)
+                out[k] = ids + self._stem(marks) if marks else ids
             else:
                 others.append(k)
-        for k, value in zip(others, super()._encode([texts[k] for k in others])):
+        for k, value in zip(others, self._whole([texts[k] for k in others])):
             out[k] = value
         return out
 
 
 @lru_cache(maxsize=4)
-def counting(name: str) -> Pieces:
-    return Pieces(name, len)
+def pieces_of(name: str) -> Pieces:
+    """``word_*`` tokenizers drop white space and case; others are byte-level."""
+    return (WordPieces if os.path.basename(name).startswith("word_") else Pieces)(name)
 
 
 def _count(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = counting(name)
+        pieces = pieces_of(name)
         for batch in batches:
-            counts = [sum(values) for values in pieces.each(batch["_text"].to_pylist())]
-            yield pa.record_batch(
-                [batch["doc_id"], batch["n_bytes"], pa.array(counts, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens"],
-            )
+            for part in parts(batch["_text"]):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.record_batch(
+                    [rows["doc_id"], rows["n_bytes"], pa.array(pieces.counts(rows["_text"]))],
+                    ["doc_id", "n_bytes", "n_tokens"],
+                )
 
     return run
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import ODD_TEXTS, documents
 
@@ -54,11 +55,11 @@ def test_repeated_and_null_ids_and_no_rows(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
 
 
-def test_pieces_forgotten_when_there_are_many(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    pieces = tokens.Pieces("byte_bpe_50k.json", len)
-    texts = ["a b c d e", "b c f", "a a a", "e d", "a b c d e"]
-    assert [sum(v) for v in pieces.each(texts)] == expected_counts(texts)
+def test_counts_equal_the_library():
+    texts = [x or "" for x in ODD_TEXTS + LONG_TEXTS]
+    assert tokens.Pieces("byte_bpe_50k.json").counts(pa.array(texts)).tolist() == expected_counts(texts)
+    assert tokens.Pieces("byte_bpe_50k.json").counts(pa.array(texts, pa.large_string())).tolist() == expected_counts(texts)
+    assert tokens.Pieces("byte_bpe_50k.json").counts(pa.array(texts).slice(3, 9)).tolist() == expected_counts(texts[3:12])
 
 
 def test_binary_pieces():
@@ -101,7 +102,20 @@ def test_words_equal_the_library(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     letters = "".join(chr(c) for c in range(0xC0, 0x250)) + "Ab"
     texts = ODD_TEXTS + [c + letters[k - 1] + "x." for k, c in enumerate(letters)] + [f"Wörd{k % 7}, WORD!? Été;" for k in range(50)]
-    pieces = tokens.WordPieces("word_bpe_49k.json", list)
     t = library("word_bpe_49k.json")
-    for text, found in zip(texts, pieces.each([x or "" for x in texts])):
-        assert sum(found, []) == t.encode(text or "", add_special_tokens=False).ids, text
+    flat, begins = tokens.pieces_of("word_bpe_49k.json").ids(pa.array([x or "" for x in texts]))
+    for text, i, j in zip(texts, begins, begins[1:]):
+        assert flat[i:j].tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_pieces_leave_in_several_batches(monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_BYTES", 64)
+    texts = ["one two three four five six seven eight"] * 5 + ["x " * 5000]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], ["doc_id", "_text"])
+    out = list(packing._decompose("word_bpe_49k.json", 2048, 1)(iter([batch])))
+    assert len(out) > 5
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert all(len(r["ids"]) == 4 * r["length"] for r in rows)
+    for k, text in enumerate(texts):
+        ids = b"".join(r["ids"] for r in rows if r["doc_id"] == k)
+        assert np.frombuffer(ids, "<u4").tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids + [1]
