@@ -15,7 +15,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[ord(c) for c in SPACES]] = True
 
 # Texts are handled together up to so many bytes; a longer text is handled alone.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 
 
 def parts(texts: pa.Array, most: int = PART_BYTES) -> Iterator[slice]:
@@ -46,11 +46,29 @@ def _strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+# Kinds of bytes that say where words may be cut further: letters, digits and marks of ASCII. The
+# apostrophe, control characters and parts of other characters are of no kind and not cut off.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[ord("'")] = 0
+
+
+def kind_changes(data: np.ndarray, lone_digits: bool) -> np.ndarray:
+    """Whether the byte before is of another kind, for each byte; with ``lone_digits`` digits also differ from digits."""
+    kind = _KIND[data]
+    out = np.zeros(len(data), bool)
+    out[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | ((kind[1:] == 2) if lone_digits else False))
+    return out
+
+
+def split_words(texts: pa.Array, lower: bool = False, kinds: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Number of each word, where each text's words begin (one more at the end), and the different words.
 
     The numbers are places in the array of different words, which may also
-    hold white space. ``lower`` turns A-Z into a-z.
+    hold white space. ``lower`` turns A-Z into a-z; with ``kinds`` words are
+    cut where letters, digits and marks meet, and digits stand alone.
     """
     data, begins = _bytes(texts)
     if lower:
@@ -58,6 +76,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     data = np.ascontiguousarray(data)
     word = ~IS_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
+    if kinds:
+        edge[:-1] = kind_changes(data, True)
     edge[begins] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]]))) + 1
@@ -69,11 +89,14 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return coded.indices.to_numpy()[0::2].astype(np.int64), np.searchsorted(starts, begins), coded.dictionary
 
 
-def split_pieces(texts: pa.Array, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def split_pieces(
+    texts: pa.Array, space: np.ndarray = IS_SPACE, kinds: bool = False
+) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The same for pieces: white space and what follows it up to the next white space.
 
     A text is cut before each white space that follows something else, so its
-    pieces in order are the text. ``space`` says which bytes are white space.
+    pieces in order are the text. ``space`` says which bytes are white space;
+    with ``kinds`` pieces are also cut where letters, digits and marks meet.
     """
     data, begins = _bytes(texts)
     data = np.ascontiguousarray(data)
@@ -82,6 +105,8 @@ def split_pieces(texts: pa.Array, space: np.ndarray = IS_SPACE) -> tuple[np.ndar
     blank = space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = blank[1:] & ~blank[:-1]
+    if kinds:
+        cut[:-1] |= kind_changes(data, False)
     cut[begins] = True
     cut[-1] = True
     offsets = np.flatnonzero(cut)

@@ -33,8 +33,8 @@ HUGE = 60_000
 CHUNK = 20_000
 OVERLAP = 256
 
-# Different stems of words that a worker remembers.
-REMEMBERED = 200_000
+# Different pieces of words that a worker remembers.
+REMEMBERED = 300_000
 
 # White space and control characters about which patterns differ. They are left to the
 # tokenizer, as is what may be a special token.
@@ -117,20 +117,17 @@ class Pieces:
         return flat[picked], ends[begins]
 
 
-# Letters that a lower-casing, composing tokenizer takes one by one, and marks that never join them.
-_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,!?;:]*)")
+# Letters that a lower-casing, composing tokenizer takes one by one.
+_LETTERS = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0148\u014a-\u017e]+")
 
 
 class WordPieces(Pieces):
     """For tokenizers that drop white space and case.
 
-    A word of plain letters, perhaps with marks behind it, is one or two
-    pre-tokens, and normalising it is lower-casing it. Its letters can go to
-    the tokenizer's model directly, in the byte-level spelling.
+    Letters alone are one pre-token, and normalising them is lower-casing them.
+    They can go to the tokenizer's model directly, in the byte-level spelling.
     """
 
-    split = staticmethod(split_words)
-
     def __init__(self, name: str) -> None:
         super().__init__(name)
         from tokenizers.pre_tokenizers import ByteLevel
@@ -139,31 +136,28 @@ class WordPieces(Pieces):
         self.letters: dict[int, str] = {}
         self.stems: dict[str, list[int]] = {}
 
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        return split_words(texts, lower=True, kinds=True)
+
     def _stem(self, letters: str) -> list[int]:
-        ids = self.stems.get(letters)
-        if ids is None:
-            spelled = letters
-            if not letters.isascii():
-                for c in set(map(ord, letters)).difference(self.letters):
-                    self.letters[c] = self.spelling.pre_tokenize_str(chr(c))[0][0]
-                spelled = letters.translate(self.letters)
-            if len(self.stems) >= REMEMBERED:
-                self.stems.clear()
-            ids = self.stems[letters] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-        return ids
+        spelled = letters
+        if not letters.isascii():
+            for c in set(map(ord, letters)).difference(self.letters):
+                self.letters[c] = self.spelling.pre_tokenize_str(chr(c))[0][0]
+            spelled = letters.translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        out, others = [None] * len(texts), []
-        for k, text in enumerate(texts):
-            if found := _WORD.fullmatch(text):
-                letters, marks = found.groups()
-                ids = self._stem(letters.lower())
-                out[k] = ids + self._stem(marks) if marks else ids
-            else:
-                others.append(k)
-        for k, value in zip(others, self._whole([texts[k] for k in others])):
-            out[k] = value
-        return out
+        stems, match = self.stems, _LETTERS.fullmatch
+        new = [t for t in texts if t not in stems]
+        if len(stems) + len(new) > REMEMBERED:
+            stems.clear()
+            new = texts
+        plain = [t for t in new if match(t)]
+        stems.update((t, self._stem(t.lower())) for t in plain)
+        others = [t for t in new if t not in stems]
+        stems.update(zip(others, self._whole(others)))
+        return [stems[t] for t in texts]
 
 
 @lru_cache(maxsize=4)
