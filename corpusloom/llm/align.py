@@ -40,7 +40,7 @@ PAIR_BITS = 20
 SENT_PAIRS = 1_000_000
 
 # Texts are handled together up to so many bytes.
-PART_BYTES = 12 << 20
+PART_BYTES = 5 << 20
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
