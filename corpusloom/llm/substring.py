@@ -6,8 +6,8 @@ eight words in it with the smallest hash, so equal windows have equal anchors.
 Neighbouring windows with one anchor make a segment.
 
 1. Anchors are counted over the corpus. A window whose anchor occurs once is
-   unique. If an anchor's segments are the same everywhere, all its windows are
-   repeated.
+   unique. If an anchor's segments are the same everywhere, by 128 bits of hash
+   that is no polynomial of their bytes or words, all its windows are repeated.
 2. The other segments are dealt out by anchor to shards of bounded size. A
    task builds the suffix automaton of its shard, the reference, and streams
    the segments through it: the matching statistic of a place is the length
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
 
+from .batches import mix, parts, split_words, string_hashes, window_hashes
 from .common import join_facts, whole_text
-from .wordhash import BASE, INVERSE, _powers, gram_hashes, mix, parts, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -43,6 +43,8 @@ ANCHOR = 8
 SHARD_WORDS = 40_000
 # An anchor with more texts than this is counted window by window.
 MANY_TEXTS = 2000
+# Texts are handled together up to so many bytes.
+PART_BYTES = 4 << 20
 
 UNIFORM, MIXED, MANY = 1, 2, 3
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -58,7 +60,7 @@ def segments(words: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.nda
     if n_windows <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    grams = gram_hashes(words, ANCHOR)
+    grams = window_hashes(words, ANCHOR)
     choice = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1)
     anchor = choice.argmin(axis=1) + np.arange(n_windows)
     inside = np.flatnonzero(owner[:n_windows] == owner[window - 1 :])
@@ -70,29 +72,33 @@ def segments(words: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.nda
     return owner[first], first, last, grams[anchor[new]]
 
 
-def range_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hashes of the words from ``first`` up to ``end``."""
+def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of all words in order, and where each text's words begin (one more at the end)."""
+    codes, begins, different = split_words(texts)
+    return string_hashes(different)[codes], string_hashes(different, 1)[codes], begins
+
+
+def range_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``first`` up to ``end``, mixed after each word; ranges are short."""
     with np.errstate(over="ignore"):
-        salted = mix(words + np.uint64(salt * 2 + 1))
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(salted * _powers(BASE, max(len(words), 1))[: len(words)], out=sums[1:])
-        plain = (sums[end] - sums[first]) * _powers(INVERSE, len(words) + 1)[first]
-        return mix(plain + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out = mix((end - first).astype(np.uint64) + np.uint64(1))
+        for k in range(int((end - first).max(initial=0))):
+            on = np.flatnonzero(first + k < end)
+            out[on] = mix((out[on] ^ words[first[on] + k]) + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def _anchors(window: int):
-    kind = pa.struct([("h", pa.int64()), ("c", pa.int64())])
+    kind = pa.struct([("h", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch["_text"]):
+            for part in parts(batch["_text"], PART_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
-                words, begins = word_hashes(rows["_text"])
+                words, others, begins = word_values(rows["_text"])
                 text, first, last, anchor = segments(words, begins, window)
-                content = range_hashes(words, first, last + window)
-                values = pa.StructArray.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], fields=list(kind)
-                )
+                content = [range_hashes(w, first, last + window) for w in (words, others)]
+                values = pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in (anchor, *content)], fields=list(kind))
                 ends = np.searchsorted(text, np.arange(len(rows) + 1)).astype(np.int32)
                 yield pa.record_batch(
                     [rows["doc_id"], rows["node"], pa.ListArray.from_arrays(pa.array(ends), values)],
@@ -130,9 +136,9 @@ def _split(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch["_text"]):
+            for part in parts(batch["_text"], PART_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
-                hashes, begins = word_hashes(rows["_text"])
+                hashes, others, begins = word_values(rows["_text"])
                 text, first, last, anchor = segments(hashes, begins, window)
                 ends = np.searchsorted(text, np.arange(len(rows) + 1))
                 out, size = [], 0
@@ -167,7 +173,7 @@ def _split(window: int):
                             size += len(content)
                             continue
                         at = np.arange(a, b + 1) + begins[k]
-                        pairs = (range_hashes(hashes[at[0] : at[-1] + window], at - at[0], at - at[0] + window, s) for s in (1, 2))
+                        pairs = (range_hashes(w, at, at + window) for w in (hashes, others))
                         for place, x, y in zip(range(a, b + 1), *(p.view(np.int64).tolist() for p in pairs)):
                             out.append({"uid": uid, "place": place, "h": x, "h2": y, "weight": weight, "kind": 2})
                             size += 50
@@ -304,13 +310,14 @@ def remove_repeats(
     Null and empty texts have no words. A text that other rows have, too, is
     repeated as a whole if it has a window at all. Ids play no part, so null
     and repeated ids make no difference; neither do other columns, and an
-    empty table stays empty.
+    empty table stays empty. A very long text is held whole by one task, with
+    about a hundred bytes for each of its words.
     """
     text = whole_text(F.col("text"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("_text")
     )
-    found = rows.mapInArrow(_anchors(window), "doc_id long, node binary, anchors array<struct<h: long, c: long>>")
+    found = rows.mapInArrow(_anchors(window), "doc_id long, node binary, anchors array<struct<h: long, c: long, d: long>>")
     nodes = cut_lineage(
         found.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_id"), F.first("anchors").alias("anchors")
@@ -319,9 +326,12 @@ def remove_repeats(
     each = nodes.select("node", "n", F.inline("anchors")).withColumn("key", F.col("h").cast("string").cast("binary"))
     counted = cut_lineage(
         each.groupBy("key")
-        .agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("texts"), F.min("c").alias("low"), F.max("c").alias("high"))
+        .agg(
+            F.sum("n").alias("times"), F.count(F.lit(1)).alias("texts"),
+            ((F.min("c") == F.max("c")) & (F.min("d") == F.max("d"))).alias("same"),
+        )
         .where("times > 1")
-        .withColumn("kind", F.when(F.col("low") == F.col("high"), UNIFORM).when(F.col("texts") <= many_texts, MIXED).otherwise(MANY))
+        .withColumn("kind", F.when(F.col("same"), UNIFORM).when(F.col("texts") <= many_texts, MIXED).otherwise(MANY))
         .select("key", "texts", "kind")
     )
     total = nodes.agg(F.sum(F.size("anchors"))).first()[0] or 0

@@ -60,6 +60,23 @@ def test_against_all_windows(spark, shard_words, many):
     assert not wrong, [(k, texts[k][:60], got[k], want[k]) for k in wrong[:3]]
 
 
+def test_words_and_passages_that_sums_confuse(spark):
+    """Thue-Morse words of letters, and passages of two words in that order, have equal polynomial hashes."""
+    signs = [k.bit_count() & 1 for k in range(2048)]
+    common = [f"w{k}" for k in range(34)]
+    texts = []
+    for n in (1024, 2048):
+        for flip in (0, 1):
+            letters = "".join("ab"[s ^ flip] for s in signs[:n])
+            texts.append(" ".join([*common, letters]))
+            texts.append(" ".join([letters, *common]))
+            texts.append(" ".join([f"x{n}{flip}"] + [("yes", "no")[s ^ flip] for s in signs[:n]]))
+    for many in (2000, 0):
+        rows = substring.remove_repeats(documents(spark, texts), many_texts=many).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows}
+        assert got == dict(enumerate(brute(texts, 35)))
+
+
 def test_short_windows_and_repeated_ids(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(60)]
