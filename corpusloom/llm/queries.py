@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans.table_queries.base import Query
 
-from . import align, exact, mixing, near, packing, pii, rules, runs, sharding, substring, tokens, urls
+from . import align, exact, mixing, near, packing, pii, rules, runs, setjoin, sharding, substring, tokens, urls
 
 
 def of(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,6 +35,7 @@ QUERIES = {
     "op10_quality_rules": Query(
         lambda spark, sf_dir: rules.quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     ),
+    "op11_skipping_jaccard": Query(of("documents", setjoin.similar_sets)),
     "op12_galloping_alignment": Query(of("documents", align.alignment_digest)),
     "op13_square_runs": Query(of("documents", runs.runs_digest)),
 }
