@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.session import cut_lineage
 
-from .skew import ROWS_PER_SALT, hot_keys
+from .skew import ROWS_PER_SALT, hot_keys, salted_join
 
 # A function whose name contains one of these is important.
 IMPORTANT_NAMES = ["main", "run", "start", "init", "entry", "execute"]
@@ -198,34 +198,86 @@ def number_within(df: DataFrame, group: list[str], by: list[str], output: str) -
     )
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, nodes: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """``node, class`` of all nodes in links ``a, b``: the smallest node that can be reached.
 
     For reachability between all nodes at once, where a walk from every start
     would give the square of a component. Labels go to neighbours, then each
     label is replaced by its own label, so long chains shrink by half in each
-    round.
+    round. The many links of a hub are shared out by a salt, and its one label
+    is repeated for each. ``nodes``, a table with a column ``node``, adds those
+    without links: each is a class of its own.
     """
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = cut_lineage(links.select("a", "b").unionByName(turned).distinct())
+    hubs = hot_keys(edges, ["a"], rows_per_salt).collect()
+    kind = edges.schema["a"].dataType.simpleString()
+    hot = edges.sparkSession.createDataFrame(hubs, f"a {kind}, _salts int")
     labels = cut_lineage(
         edges.groupBy("a").agg(F.min("b").alias("near")).select(
             F.col("a").alias("node"), F.least("a", "near").alias("class")
         )
     )
     while True:
-        heard = edges.join(labels.toDF("a", "heard"), "a").groupBy("b").agg(F.min("heard").alias("heard"))
+        told = salted_join(edges, labels.toDF("a", "heard"), ["a"], hot=hot)
+        heard = told.groupBy("b").agg(F.min("heard").alias("heard"))
         nearer = cut_lineage(
             labels.join(heard.withColumnRenamed("b", "node"), "node", "left").select(
                 "node", F.least("class", "heard").alias("class"), F.col("class").alias("old")
             )
         )
         if nearer.where("class <> old").isEmpty():
-            return labels
+            break
         further = nearer.select(F.col("node").alias("class"), F.col("class").alias("next"))
         labels = cut_lineage(
-            nearer.join(further, "class", "left").select("node", F.coalesce("next", "class").alias("class"))
+            salted_join(nearer, further, ["class"], "left", rows_per_salt).select(
+                "node", F.coalesce("next", "class").alias("class")
+            )
+        )
+    if nodes is None:
+        return labels
+    alone = nodes.select("node").distinct().join(labels, "node", "left_anti")
+    return labels.unionByName(alone.select("node", F.col("node").alias("class")))
+
+
+def tree_to_root(
+    nodes: DataFrame, id: str = "id", parent: str = "parent", keep: tuple[str, ...] = (), rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """``id, root, depth, cyclic`` of every node of a forest given by the parent of each node.
+
+    Ids may be of any type and say nothing about the tree. Each round replaces
+    a node's pointer by the pointer of what it points to, so the way to the root
+    is walked in doubling steps: as many rounds as the depth has binary digits,
+    whatever its shape. ``root`` is the last id on the way up; a parent that
+    has no row of its own is one. Nodes that never come to an end lie on a
+    cycle or below one: ``cyclic``, with null root and depth. Trees of
+    different ``keep`` are apart; ids must be unique inside each.
+    """
+    up = F.coalesce(F.col(parent), F.col(id))
+    rows = nodes.select(
+        *keep, F.col(id).alias("id"), up.alias("up"),
+        F.col(parent).isNotNull().cast("long").alias("steps"), F.col(parent).isNull().alias("done"),
+    )
+    current = cut_lineage(rows)
+    total, reach = current.count(), 1
+    while reach <= 2 * total:
+        active = current.where("NOT done")
+        if active.isEmpty():
+            break
+        further = current.select(
+            *keep, F.col("id").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("done").alias("_done")
         )
+        moved = salted_join(active, further, [*keep, "up"], "left", rows_per_salt).select(
+            *keep, "id", F.coalesce("_up", "up").alias("up"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_done", F.lit(True)).alias("done"),
+        )
+        current = cut_lineage(current.where("done").unionByName(moved))
+        reach *= 2
+    done = F.col("done")
+    return current.select(
+        *keep, "id", F.when(done, F.col("up")).alias("root"), F.when(done, F.col("steps")).alias("depth"),
+        (~done).alias("cyclic"),
+    )
 
 
 def dependency_chain(

@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors
 from corpusloom.functions.strings import col, let
 
-from .skew import salted_join
+from corpusloom.session import cut_lineage
+
+from .skew import first_rows, salted_join
 
 # Queries are sent to every task up to this many rows and this many bytes.
 # More are handled by blocks instead.
 MAX_BROADCAST_QUERIES = 4_096
 MAX_BROADCAST_BYTES = 64 << 20
 
-# Rows per side of one block pair, and pivots that documents are sorted to.
-BLOCK_ROWS = 4_096
-MAX_PIVOTS = 256
+# One side of a block pair has at most so many rows and bytes. Every vector is sent to as many
+# block pairs as there are blocks on the other side, so blocks are as large as a task can hold.
+BLOCK_ROWS = 65_536
+BLOCK_BYTES = 64 << 20
+
+# Pivots that documents are sorted to: the square root of their number, between these bounds.
+# All pivots together are sent to every task and stay under MAX_BROADCAST_BYTES.
+MIN_PIVOTS, MAX_PIVOTS = 64, 8_192
 
 # Size of one distance matrix and of one exact re-check.
 _MATRIX_CELLS = 2_000_000
@@ -105,7 +112,7 @@ class _TopK:
         return pd.DataFrame({"q": qi, "doc_id": ids[xi], "d2": exact})
 
 
-def _nearest(queries: DataFrame, docs: DataFrame, k: int, max_broadcast: int) -> DataFrame:
+def _nearest(queries: DataFrame, docs: DataFrame, k: int, max_broadcast: int, block_rows: int | None = None) -> DataFrame:
     """``query_id, doc_id, d2``: per query the k nearest of each task, unmerged.
 
     Both sides have an id, a ``vec`` and, when filtering, a ``key``.
@@ -120,7 +127,10 @@ def _nearest(queries: DataFrame, docs: DataFrame, k: int, max_broadcast: int) ->
     fields = f"query_id {query_type}, doc_id {id_type}, d2 double"
     if len(head) <= most:
         return _nearest_broadcast(head, docs, k, keyed, fields)
-    return (_nearest_by_key if keyed else _nearest_by_cell)(queries, docs, k, fields)
+    block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
+    if keyed:
+        return _nearest_by_key(queries, docs, k, fields, block_rows)
+    return _nearest_by_cell(queries, docs, k, fields, block_rows, MAX_BROADCAST_BYTES // row_bytes)
 
 
 def _nearest_broadcast(
@@ -175,7 +185,7 @@ def _pair_up(left: DataFrame, right: DataFrame, group: list[str], k: int, fields
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, fields)
 
 
-def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str) -> DataFrame:
+def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str, block_rows: int) -> DataFrame:
     """Many queries with a filter key: blocks of bounded size inside each key.
 
     Each pair of a query block and a document block of a key is one small
@@ -184,7 +194,7 @@ def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str) ->
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+        return df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
     sizes = blocks(queries, "q_blocks").join(blocks(docs, "d_blocks"), "key")
 
@@ -208,7 +218,9 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _nearest_by_cell(queries: DataFrame, docs: DataFrame, k: int, fields: str) -> DataFrame:
+def _nearest_by_cell(
+    queries: DataFrame, docs: DataFrame, k: int, fields: str, block_rows: int, pivots_that_fit: int
+) -> DataFrame:
     """Many queries: documents in cells around pivots, and only cells that can matter.
 
     Every document belongs to its nearest pivot. The number of documents and
@@ -216,10 +228,12 @@ def _nearest_by_cell(queries: DataFrame, docs: DataFrame, k: int, fields: str) -
     from above; the triangle inequality bounds the distance to any document
     of a cell from below. A query visits the cells whose lower bound does not
     pass its upper bound, so the result is exact. Cells are cut into blocks
-    of bounded size, whatever share of the documents they hold.
+    of bounded size, whatever share of the documents they hold. Documents with
+    their cells and queries with theirs are each computed once and written.
     """
     spark = docs.sparkSession
-    sample = docs.orderBy(F.xxhash64("doc_id")).limit(MAX_PIVOTS).select("vec").toPandas()
+    n_pivots = max(1, min(max(MIN_PIVOTS, round(docs.count() ** 0.5)), MAX_PIVOTS, pivots_that_fit))
+    sample = docs.orderBy(F.xxhash64("doc_id")).limit(n_pivots).select("vec").toPandas()
     pivots = spark.sparkContext.broadcast(_matrix(sample["vec"]))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
@@ -233,16 +247,16 @@ def _nearest_by_cell(queries: DataFrame, docs: DataFrame, k: int, fields: str) -
                 cell = far.argmin(axis=1)
                 yield batch.assign(cell=cell.astype(np.int32), radius=far[np.arange(len(far)), cell])
 
-    placed = docs.select("doc_id", "vec").mapInPandas(
-        assign, f"doc_id {id_type}, vec {vec_type}, cell int, radius double"
+    placed = cut_lineage(
+        docs.select("doc_id", "vec").mapInPandas(assign, f"doc_id {id_type}, vec {vec_type}, cell int, radius double")
     )
     # at most one row per pivot
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")
     ).toPandas()
-    cells["blocks"] = np.ceil(cells["n"] / BLOCK_ROWS).astype(int)
+    cells["blocks"] = np.ceil(cells["n"] / block_rows).astype(int)
     known = spark.sparkContext.broadcast(cells)
-    query_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    query_blocks = max(1, -(-queries.count() // block_rows))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = known.value
@@ -269,17 +283,18 @@ def _nearest_by_cell(queries: DataFrame, docs: DataFrame, k: int, fields: str) -
                 }
             )
 
-    visits = (
-        queries.select("query_id", "vec")
-        .mapInPandas(visit, f"query_id {query_type}, vec {query_vec_type}, cell int, blocks int")
-        .select(
-            "query_id",
-            "vec",
-            "cell",
-            F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("db"),
+    visiting = cut_lineage(
+        queries.select("query_id", "vec").mapInPandas(
+            visit, f"query_id {query_type}, vec {query_vec_type}, cell int, blocks int"
         )
     )
+    visits = visiting.select(
+        "query_id",
+        "vec",
+        "cell",
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("db"),
+    )
     sizes = spark.createDataFrame(
         [(int(c), int(b)) for c, b in zip(cells["cell"], cells["blocks"])], "cell int, blocks int"
     )
@@ -306,15 +321,20 @@ def nearest(
     doc_vector: str = "embedding",
     filter_key: str | None = None,
     mode: str = "pre",
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    max_broadcast: int | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Exact nearest documents: ``query_id, doc_id, rank, distance, score``.
 
     With ``filter_key``, a column both sides have, a query only meets
     documents with its own value; null meets nothing. ``mode="pre"`` filters before ranking.
     ``mode="post"`` ranks the nearest 2k first and may return fewer than k.
-    More queries than ``max_broadcast`` are handled by blocks; the hits are the same.
+    More queries than ``max_broadcast`` (by default ``MAX_BROADCAST_QUERIES``)
+    are handled by blocks of up to ``block_rows`` (by default what ``BLOCK_ROWS``
+    and ``BLOCK_BYTES`` allow); the hits are the same. Hits are ranked in two
+    levels, as every task or block pair may return k of a query.
     """
+    max_broadcast = MAX_BROADCAST_QUERIES if max_broadcast is None else max_broadcast
     if metric not in vectors.METRICS:
         raise ValueError(f"metric must be one of {vectors.METRICS}")
     if mode not in ("pre", "post"):
@@ -327,7 +347,8 @@ def nearest(
         q, d = q.where(F.col("key").isNotNull()), d.where(F.col("key").isNotNull())
     depth = 2 * k if post else k
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "doc_id"))
-    hits = _nearest(q, d, depth, max_broadcast).withColumn("rank", rank).where(F.col("rank") <= depth)
+    hits = first_rows(_nearest(q, d, depth, max_broadcast, block_rows), ["query_id"], ["d2", "doc_id"], depth)
+    hits = hits.withColumn("rank", rank)
     if post:
         q_keys = queries.select(F.col(query_id).alias("query_id"), F.col(filter_key).alias("_want"))
         d_keys = docs.select(F.col(doc_id).alias("doc_id"), F.col(filter_key).alias("_has"))

@@ -23,9 +23,11 @@ CSHARP_METHODS = [
         "Loads configuration from JSON files and environment variables.",
     ),
 ]
+# Words that are taken out of what is said of C# methods, and how such methods are found.
 CSHARP_SCRUB = ["macro", "xlsm", "Excel", "sheet"]
 CSHARP_METHOD = r"public\s+static\s+[\w<>,\[\]]+\s+(\w+)\s*\(([^\)]*)\)\s*\{[\s\S]*?\}"
 
+# Fixed value: the request lines that count.
 HTTP_METHODS = "GET|POST|PUT|DELETE|PATCH"
 TOP_TAGS = 5
 

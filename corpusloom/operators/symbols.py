@@ -156,12 +156,15 @@ def symbols(files: DataFrame, **options) -> DataFrame:
     return python_symbols(files, **options).unionByName(javascript_symbols(files, **options))
 
 
-def call_edges(facts: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """Calls of functions declared in the same file, as often as they occur.
+# A call is repeated in pieces of so many, as an array in one row has its bounds.
+_REPEATS = 10_000
+
+
+def counted_call_edges(facts: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """Calls of functions declared in the same file, one row for each caller and name, with how many ``times``.
 
     Both sides are counted first, so the join meets a name once per caller of
-    its own file; a call met m times to a name declared n times gives m * n
-    edges.
+    its own file; a call met m times to a name declared n times counts m * n.
     """
     calls = (
         facts.where(F.col("kind") == "call")
@@ -173,12 +176,19 @@ def call_edges(facts: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> Dat
         .groupBy(*keep, "rel_path", "name")
         .agg(F.count(F.lit(1)).alias("_declared"))
     )
-    edges = calls.join(functions, [*keep, "rel_path", "name"])
-    times = (F.col("_calls") * F.col("_declared")).cast("int")
-    return edges.select(
+    return calls.join(functions, [*keep, "rel_path", "name"]).select(
         *keep,
         F.concat_ws(":", "rel_path", "caller").alias("source"),
         F.concat_ws(":", "rel_path", "name").alias("target"),
         F.lit("call").alias("type"),
-        F.explode(F.sequence(F.lit(1), times)).alias("_n"),
-    ).drop("_n")
+        (F.col("_calls") * F.col("_declared")).alias("times"),
+    )
+
+
+def call_edges(facts: DataFrame, keep: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """The same with a row for each time."""
+    edges = counted_call_edges(facts, keep).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {_REPEATS}")))
+    )
+    of_piece = F.least(F.lit(_REPEATS).cast("long"), F.col("times") - F.col("_piece") * _REPEATS).cast("int")
+    return edges.withColumn("_n", F.explode(F.array_repeat(F.lit(0), of_piece))).drop("_n", "_piece", "times")

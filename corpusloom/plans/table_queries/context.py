@@ -112,14 +112,16 @@ def knn_self(spark, sf_dir):
 def knn_cells(spark, sf_dir):
     """The same by cells around pivots, the way for more queries than tasks can hold."""
     rows = table(spark, sf_dir, "embeddings")
-    return _rounded(retrieval.nearest(rows, rows, k=3, query_id="vec_id", doc_id="vec_id", max_broadcast=50))
+    return _rounded(
+        retrieval.nearest(rows, rows, k=3, query_id="vec_id", doc_id="vec_id", max_broadcast=50, block_rows=64)
+    )
 
 
 def knn_key_blocks(spark, sf_dir):
     """Every vector among those of its label, by blocks of a label."""
     rows = table(spark, sf_dir, "embeddings")
     hits = retrieval.nearest(
-        rows, rows, k=3, query_id="vec_id", doc_id="vec_id", filter_key="label", max_broadcast=50
+        rows, rows, k=3, query_id="vec_id", doc_id="vec_id", filter_key="label", max_broadcast=50, block_rows=64
     )
     return _rounded(hits)
 

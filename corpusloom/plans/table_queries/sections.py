@@ -195,10 +195,11 @@ def project_context(spark, sf_dir):
 
 
 def project_context_empty(spark, sf_dir):
-    """Projects by language; German ones have no text, French ones no section."""
+    """Projects by language; German ones have no text, French ones no section. Each text is one long line."""
     docs = table(spark, sf_dir, "documents")
-    text = F.when(F.col("lang") == "fr", F.concat(F.lit("no section "), "doc_id")).when(
-        F.col("lang") != "de", F.concat(F.lit("Overview\nno "), "doc_id")
+    line = F.translate("text", "\t\n\x0b\x0c\r", "     ")
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit("no section "), "doc_id", F.lit(" "), line)).when(
+        F.col("lang") != "de", F.concat(F.lit("Overview\nno "), "doc_id", F.lit(" "), line)
     )
     results = docs.select(
         F.col("lang").alias("project_id"), F.format_string("%08d", "doc_id").alias("rel_path"),
@@ -379,9 +380,10 @@ LEFT JOIN cases c USING (conv_id) LEFT JOIN flows w USING (conv_id) LEFT JOIN li
         project_context_empty,
         f"""WITH texts AS (
   SELECT lang, CASE lang WHEN 'de' THEN {sql_text(merging.NO_CONTENT)} WHEN 'fr' THEN {sql_text(merging.CONTEXT_TITLE)}
-    ELSE {sql_text(merging.CONTEXT_TITLE)} || string_agg(chr(10) || 'f' || doc_id || ':' || chr(10) || '  Overview: no '
-      || doc_id || chr(10), '' ORDER BY doc_id) END AS t
-  FROM documents GROUP BY lang)
+    ELSE {sql_text(merging.CONTEXT_TITLE)} || string_agg(chr(10) || 'f' || doc_id || ':' || chr(10) || '  Overview: '
+      || {sql_strip("'no ' || doc_id || ' ' || line")} || chr(10), '' ORDER BY doc_id) END AS t
+  FROM (SELECT *, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS line FROM documents)
+  GROUP BY lang)
 SELECT lang AS project_id, length(t) // 4 AS tokens, md5(t) AS md5 FROM texts""",
     ),
     "project_context": Query(

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.vectors import DEFAULT_DIMENSION
 from corpusloom.operators.retrieval import clean_vectors, matches_filters
-from corpusloom.session import is_missing_path
+
+from . import snapshots
 
 # Keys most searches filter by are columns, so filters on them reach the
 # Parquet scan; the rest of the metadata is a map.
@@ -49,15 +50,20 @@ def vector_documents(
 
 def append_vectors(
     documents: DataFrame, path: str, dimension: int = DEFAULT_DIMENSION, mode: str = "append"
-) -> None:
-    """Write valid vectors. The width is a partition, so it is known without reading rows."""
+) -> int:
+    """Write valid vectors as a new version of the table and return its number.
+
+    What the table held stays until the new version is complete, and can still
+    be loaded afterwards. The width stands in the version's manifest, so it is
+    known without reading rows.
+    """
     kept = clean_vectors(documents, dimension=dimension)
-    kept.withColumn("dimension", F.lit(dimension)).write.mode(mode).partitionBy("dimension").parquet(path)
+    return snapshots.commit(kept, path, mode, {"dimension": dimension})
 
 
-def replace_vectors(documents: DataFrame, path: str, dimension: int = DEFAULT_DIMENSION) -> None:
-    """A new run: what the table held before goes."""
-    append_vectors(documents, path, dimension, mode="overwrite")
+def replace_vectors(documents: DataFrame, path: str, dimension: int = DEFAULT_DIMENSION) -> int:
+    """A new run: what the table held before is no longer in it."""
+    return append_vectors(documents, path, dimension, mode="overwrite")
 
 
 def clear_vectors(spark: SparkSession, path: str, dimension: int = DEFAULT_DIMENSION) -> None:
@@ -78,20 +84,14 @@ def load_vectors(
     path: str,
     dimension: int = DEFAULT_DIMENSION,
     filters: dict[str, object] | None = None,
+    version: int | None = None,
 ) -> DataFrame:
-    """The table, or an empty one when there is none or its width is another."""
-    from pyspark.errors import AnalysisException
-
-    empty = spark.createDataFrame([], SCHEMA)
-    try:
-        stored = spark.read.schema(T.StructType([*SCHEMA, T.StructField("dimension", T.IntegerType())])).parquet(path)
-    except AnalysisException as error:
-        if not is_missing_path(error):
-            raise
-        return empty
-    if not stored.where(F.col("dimension") != dimension).isEmpty():
-        return empty
-    return stored.where(filter_condition(filters or {})).drop("dimension")
+    """The latest or the given version; an empty table when there is none or its width is another."""
+    parts = snapshots.parts(spark, path, version)
+    if not parts or any(p["dimension"] != dimension for p in parts):
+        return spark.createDataFrame([], SCHEMA)
+    stored = spark.read.schema(SCHEMA).parquet(*[p["folder"] for p in parts])
+    return stored.where(filter_condition(filters or {}))
 
 
 def write_jdbc(documents: DataFrame, url: str, table: str, **options: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -23,16 +23,19 @@ def first_copies(documents: DataFrame, key: str, text: str = "text") -> DataFram
 
 
 def new_documents(
-    documents: DataFrame, key: str, text: str = "text", seen: DataFrame | None = None
+    documents: DataFrame, key: str, text: str = "text", seen: DataFrame | None = None, observed: Observation | None = None
 ) -> DataFrame:
     """Documents whose content is not in ``seen`` (``content_hash``), one per content.
 
     ``key`` must be unique. The join that fetches the texts is on it, so no
-    hash can make a task large.
+    hash can make a task large. ``observed`` receives the number of
+    ``documents`` when the result is read.
     """
     chosen = first_copies(documents, key, text)
     if seen is not None:
         chosen = chosen.join(seen.select("content_hash"), "content_hash", "left_anti")
+    if observed is not None:
+        documents = documents.observe(observed, F.count(F.lit(1)).alias("documents"))
     return documents.join(chosen, key)
 
 
@@ -46,23 +49,30 @@ def drop_recent_copies(
 
 def ingest_batch(
     batch: DataFrame, batch_id: int, chunk_path: str, hash_path: str, key: str, keep: list[str], text: str, **limits
-) -> None:
-    """Store one micro-batch. Running it again gives the same tables.
+) -> dict[str, int]:
+    """Store one micro-batch and tell what was ``added``, ``skipped`` and how many ``extra_chunks`` there are.
 
-    Every batch owns one partition of both tables and overwrites it, and
-    hashes of its own earlier attempt are not counted as seen.
+    Running it again gives the same tables: every batch owns one partition of
+    both tables and overwrites it, and hashes of its own earlier attempt are
+    not counted as seen. The counts are taken while the rows are written.
     """
     spark = batch.sparkSession
     seen = read_hashes(spark, hash_path).where(F.col("batch_id") != batch_id)
-    fresh = new_documents(batch, key, text, seen)
+    read, stored = Observation(), Observation()
+    fresh = new_documents(batch, key, text, seen, read)
 
     def store(rows: DataFrame, path: str) -> None:
         rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_id").parquet(path)
 
-    store(store_chunks(fresh, [key, *keep], text, **limits), chunk_path)
-    store(fresh.select("content_hash"), hash_path)
+    chunks = store_chunks(fresh, [key, *keep], text, **limits)
+    first = F.count_if(F.col("chunk_index") == 0)
+    store(chunks.observe(stored, first.alias("added"), F.count(F.lit(1)).alias("chunks")), chunk_path)
+    counts = stored.get
+    added, chunks = counts["added"], counts["chunks"]
+    store(new_documents(batch, key, text, seen).select("content_hash"), hash_path)
+    return {"added": added, "skipped": read.get["documents"] - added, "extra_chunks": chunks - added}
 
 
 def read_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -279,6 +279,18 @@ def brute_force(q, d, k, q_keys=None, d_keys=None):
     return out
 
 
+def block_pairs(monkeypatch):
+    """The document sides of the block paths, as they are entered."""
+    seen, original = [], retrieval._pair_up
+
+    def spy(left, right, group, k, fields):
+        seen.append(right)
+        return original(left, right, group, k, fields)
+
+    monkeypatch.setattr(retrieval, "_pair_up", spy)
+    return seen
+
+
 @pytest.mark.parametrize("blocks", [False, True])
 @pytest.mark.parametrize("keyed", [False, True])
 def test_nearest_equals_brute_force(spark, monkeypatch, blocks, keyed):
@@ -289,11 +301,15 @@ def test_nearest_equals_brute_force(spark, monkeypatch, blocks, keyed):
     q_keys, d_keys = [i % 2 for i in range(40)], [0 if j < 200 else 1 for j in range(300)]
     docs = frame(spark, [(j, v.tolist(), d_keys[j]) for j, v in enumerate(d)], "doc_id long, embedding array<float>, g int")
     queries = frame(spark, [(i, v.tolist(), q_keys[i]) for i, v in enumerate(q)], "query_id long, embedding array<float>, g int")
-    if blocks:
-        monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 10)
-        monkeypatch.setattr(retrieval, "BLOCK_ROWS", 64)
-        monkeypatch.setattr(retrieval, "MAX_PIVOTS", 16)
-    hits = retrieval.nearest(queries, docs, k=7, filter_key="g" if keyed else None).collect()
+    monkeypatch.setattr(retrieval, "MAX_PIVOTS", 16)
+    groups = block_pairs(monkeypatch)
+    few = {"max_broadcast": 10, "block_rows": 16} if blocks else {}
+    hits = retrieval.nearest(queries, docs, k=7, filter_key="g" if keyed else None, **few).collect()
+    if blocks:  # several blocks on either side have met
+        for side in ("qb", "db"):
+            assert groups[0].select(side).distinct().count() > 1
+    else:
+        assert not groups
     got = {}
     for r in sorted(hits, key=lambda r: r.rank):
         got.setdefault(r.query_id, []).append(r.doc_id)
@@ -307,21 +323,13 @@ def test_cells_leave_out_far_documents(spark, monkeypatch):
     d = np.concatenate([rng.normal(size=(60, 4)) + 100 * c for c in range(3)])
     docs = frame(spark, [(j, v.tolist()) for j, v in enumerate(d)], "doc_id long, embedding array<double>")
     queries = frame(spark, [(j, v.tolist()) for j, v in enumerate(d[:60])], "query_id long, embedding array<double>")
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 10)
     monkeypatch.setattr(retrieval, "MAX_PIVOTS", 12)
-    seen = []
-    original = retrieval._pair_up
-
-    def spy(left, right, group, k, fields):
-        seen.append({r.doc_id for r in right.select("doc_id").collect()})
-        return original(left, right, group, k, fields)
-
-    monkeypatch.setattr(retrieval, "_pair_up", spy)
+    groups = block_pairs(monkeypatch)
     got = {}
-    for r in retrieval.nearest(queries, docs, k=5).orderBy("rank").collect():
+    for r in retrieval.nearest(queries, docs, k=5, max_broadcast=10).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
     assert got == brute_force(d[:60], d, 5)
-    assert seen[0] <= set(range(60))
+    assert {r.doc_id for r in groups[0].select("doc_id").collect()} <= set(range(60))
 
 
 def test_post_filter_may_return_fewer(spark):
