@@ -9,8 +9,8 @@ corpus come last (by a table of counts of fixed size), and only as many as can
 hold the first common n-gram of a similar pair go into the index. A list, kept
 in order of size, is walked in blocks; a block is skipped as a whole if its
 smallest position and its sizes rule out enough common n-grams behind the one
-at hand. What is left is compared by a small histogram of each set, whose
-differences never exceed the sets' own difference.
+at hand. What is left is compared by a histogram of each set, whose differences
+never exceed the sets' own difference.
 
 *Derived answers.* Sets that are highly similar to a representative are kept as
 their difference to it. The difference of two of them follows from these small
@@ -37,6 +37,7 @@ from corpusloom.session import cut_lineage
 
 from .batches import mix, parts, split_words, string_hashes, window_hashes
 from .common import join_facts, whole_text
+from .urls import build_filter, may_contain
 
 WORDS = 3
 # Linked: common * 100 >= 90 * union. As alike as that to a representative: common * 100 >= 75 * union.
@@ -53,7 +54,14 @@ ROWS_PER_SALT = 2000
 # Entries of a list that are skipped together, and pairs that are looked at together.
 SKIP, PAIRS = 16, 1 << 18
 
-BINS = 32  # of a histogram, each a count modulo 16
+# A histogram has a bin for so many elements, a power of two of them and this many at least; its
+# counts are known modulo 256.
+PER_BIN, LEAST_BINS = 80, 16
+# Two sets of a family differ by less than this share of what chance lets histograms differ by.
+CHANCE = 0.6
+
+# Texts whose sets are needed are let through by a filter of at most so many bytes, then joined exactly.
+FILTER_BYTES = 16 << 20
 
 
 # --- sets ---
@@ -144,13 +152,50 @@ def gram_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
 # --- index entries ---
 
 SETS = (
-    "doc_id long, text_key binary, node_key binary, n int, prefix array<long>, blocks array<int>, low long, high long"
+    "doc_id long, text_key binary, node_key binary, n int, prefix array<long>, blocks array<int>, shape binary"
 )
 
 
 def _histogram(grams: np.ndarray) -> np.ndarray:
-    counts = np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 15
-    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8)
+    bins = LEAST_BINS
+    while bins * PER_BIN < len(grams):
+        bins *= 2
+    return np.bincount((grams & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8)
+
+
+class Histograms:
+    """Histograms of several lengths, and lower bounds of how much sets differ."""
+
+    def __init__(self, shapes: list[bytes]) -> None:
+        self.length = np.array([len(s) for s in shapes], np.int64)
+        self.at = np.zeros(len(shapes), np.int64)
+        self.whole: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == n)
+            self.at[own] = np.arange(len(own))
+            rows = np.frombuffer(b"".join(shapes[k] for k in own.tolist()), np.uint8).reshape(-1, n)
+            self.whole[n], self.half[n] = rows, rows[:, : n // 2] + rows[:, n // 2 :]
+
+    def _rows(self, k: np.ndarray, n: int) -> np.ndarray:
+        if (self.length[k] == n).all():
+            return self.whole[n][self.at[k]]
+        out = np.empty((len(k), n), np.uint8)
+        for length, rows in ((n, self.whole.get(n)), (2 * n, self.half.get(2 * n))):
+            own = self.length[k] == length
+            if own.any():
+                out[own] = rows[self.at[k[own]]]
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At least by so many elements two sets differ, and the bins compared. Their lengths are alike."""
+        bins = np.minimum(self.length[i], self.length[j])
+        out = np.zeros(len(i), np.int64)
+        for n in np.unique(bins).tolist():
+            own = np.flatnonzero(bins == n)
+            gap = self._rows(i[own], n) - self._rows(j[own], n)  # modulo 256
+            out[own] = np.minimum(gap, np.uint8(0) - gap).sum(axis=1, dtype=np.int64)
+        return out, bins
 
 
 def _index(counts, words: int, similarity: tuple[int, int], block: int):
@@ -170,15 +215,14 @@ def _index(counts, words: int, similarity: tuple[int, int], block: int):
                 sizes.append(n)
                 prefixes.append(grams[first])
                 blocks.append(-(-table[at[first]] // block))
-                shapes.append(_histogram(grams))
+                shapes.append(_histogram(grams).tobytes())
             begins = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
-            shape = np.concatenate(shapes).view("<i8").reshape(-1, 2)
             yield pa.record_batch(
                 [
                     rows["doc_id"], rows["text_key"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
                     pa.ListArray.from_arrays(begins, pa.array(np.concatenate(prefixes).view(np.int64))),
                     pa.ListArray.from_arrays(begins, pa.array(np.concatenate(blocks).astype(np.int32))),
-                    pa.array(shape[:, 0]), pa.array(shape[:, 1]),
+                    pa.array(shapes, pa.binary()),
                 ],
                 names,
             )
@@ -187,7 +231,7 @@ def _index(counts, words: int, similarity: tuple[int, int], block: int):
 
 
 def index_entries(nodes: DataFrame) -> DataFrame:
-    """``list, pos, node, n, low, high``: one row for each node and list; large lists are pairs of blocks."""
+    """``list, pos, node, n``: one row for each node and list; large lists are pairs of blocks."""
     entry = F.explode(
         F.zip_with(
             F.sequence(F.lit(0), F.size("prefix") - 1),
@@ -195,12 +239,12 @@ def index_entries(nodes: DataFrame) -> DataFrame:
             lambda k, e: F.struct(k.alias("pos"), e["prefix"].alias("gram"), F.greatest(e["blocks"], F.lit(1)).alias("blocks")),
         )
     )
-    flat = nodes.where("n > 0").select("node", "n", "low", "high", entry.alias("_e"))
+    flat = nodes.where("n > 0").select("node", "n", entry.alias("_e"))
     block = F.pmod(F.xxhash64("node"), F.col("_e.blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_e.blocks") - 1))
     large = flat.where("_e.blocks > 1").select("*", block.alias("_block"), other.alias("_other"))
     pair = F.xxhash64("_e.gram", F.least("_block", "_other"), F.greatest("_block", "_other"))
-    columns = [F.col("_e.pos").alias("pos"), "node", "n", "low", "high"]
+    columns = [F.col("_e.pos").alias("pos"), "node", "n"]
     small = flat.where("_e.blocks = 1").select(F.col("_e.gram").alias("list"), *columns)
     return small.unionByName(large.select(pair.alias("list"), *columns))
 
@@ -223,12 +267,15 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _shared(table: pa.Table) -> dict[str, np.ndarray]:
-    """Columns of the lists that hold several rows."""
+    """Columns of the lists that hold several rows; histograms as they are."""
     lists = table["list"].to_numpy()
     more = np.zeros(len(lists), bool)
     more[1:] = lists[1:] == lists[:-1]
     more[:-1] |= more[1:]
-    return {c: table[c].to_numpy()[more] for c in table.column_names}
+    out = {c: table[c].to_numpy()[more] for c in table.column_names if c != "shape"}
+    if "shape" in table.column_names:
+        out["shape"] = table["shape"].filter(pa.array(more)).to_pylist()
+    return out
 
 
 def list_pairs(rows: dict[str, np.ndarray], similarity: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -270,33 +317,56 @@ def list_pairs(rows: dict[str, np.ndarray], similarity: tuple[int, int]) -> Iter
         yield i[fits], j[fits]
 
 
-def _shapes(rows: dict[str, np.ndarray]) -> np.ndarray:
-    packed = np.ascontiguousarray(np.stack([rows["low"], rows["high"]], axis=1)).view(np.uint8).reshape(-1, BINS // 2)
-    return np.concatenate([packed & 15, packed >> 4], axis=1).view(np.int8)
+ENTRY = "list long, pos int, node long, n int"
 
 
-def _apart(shapes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """A lower bound of the number of elements that two sets differ by; counts are known modulo 16."""
-    gap = np.abs(shapes[i] - shapes[j])
-    return np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64)
+def _compatible(similarity: tuple[int, int]):
+    """Entries for which sizes and positions leave a partner in their list."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_lists(batches):
+            rows = _shared(table)
+            met = np.zeros(len(rows["n"]), bool)
+            for i, j in list_pairs(rows, similarity):
+                met[i] = met[j] = True
+            if met.any():
+                yield pa.record_batch([pa.array(v[met]) for v in rows.values()], list(rows))
 
-LIVE = "list long, pos int, node long, n int, low long, high long, centre long"
+    return run
+
+
+def _sizes(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return (rows["n"][i] + rows["n"][j]).astype(np.int64)
+
+
+LIVE = f"{ENTRY}, shape binary, centre long"
 
 
 def _live(similarity: tuple[int, int], family: tuple[int, int]):
-    """Entries with a likely partner in their list, and the most connected entry among their partners and themselves."""
+    """Entries with a likely partner in their list, and the most connected one among their partners and themselves.
+
+    A likely partner is one whose histogram does not rule out a link. To be
+    connected, histograms also have to be nearer than chance brings them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches):
             rows = _shared(table)
-            shapes, near = _shapes(rows), []
-            for i, j in list_pairs(rows, family):
-                likely = _apart(shapes, i, j) <= most_apart((rows["n"][i] + rows["n"][j]).astype(np.int64), family)
-                near.append((i[likely], j[likely]))
-            i, j = (np.concatenate(x) for x in zip(*near)) if near else (np.zeros(0, int),) * 2
-            if not len(i):
+            shapes, near = Histograms(rows["shape"]), []
+            live = np.zeros(len(rows["n"]), bool)
+            for i, j in list_pairs(rows, similarity):
+                apart, bins = shapes.apart(i, j)
+                sizes = _sizes(rows, i, j)
+                likely = apart <= most_apart(sizes, similarity)
+                live[i[likely]] = live[j[likely]] = True
+                # the mean difference of two counts of a bin that have nothing to do with each other, for all bins
+                chance = CHANCE * np.sqrt(2 / np.pi * sizes * bins)
+                close = apart <= np.minimum(most_apart(sizes, family), chance)
+                live[i[close]] = live[j[close]] = True
+                near.append((i[close], j[close]))
+            if not live.any():
                 continue
+            i, j = (np.concatenate(x) for x in zip(*near))
             size = len(rows["n"])
             degree = np.bincount(i, minlength=size) + np.bincount(j, minlength=size)
             rank = np.empty(size, np.int64)
@@ -305,13 +375,14 @@ def _live(similarity: tuple[int, int], family: tuple[int, int]):
             np.maximum.at(best, i, rank[j])
             np.maximum.at(best, j, rank[i])
             centre = rows["node"][np.argsort(rank)][best]
-            live = degree > 0
-            yield pa.record_batch([pa.array(rows[c][live]) for c in list(rows)] + [pa.array(centre[live])], [*rows, "centre"])
+            columns = [pa.array(rows[c][live]) for c in ("list", "pos", "node", "n")]
+            shape = pa.array(rows["shape"], pa.binary()).filter(pa.array(live))
+            yield pa.record_batch([*columns, shape, pa.array(centre[live])], [c.split()[0] for c in LIVE.split(", ")])
 
     return run
 
 
-CLASSED = "list long, pos int, node long, n int, low long, high long, class long, family long"
+CLASSED = f"{ENTRY}, shape binary, class long, family long"
 
 
 def _across(similarity: tuple[int, int]):
@@ -320,12 +391,12 @@ def _across(similarity: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches):
             rows = _shared(table)
-            shapes, node = _shapes(rows), rows["node"]
+            shapes, node = Histograms(rows["shape"]), rows["node"]
             for i, j in list_pairs(rows, similarity):
                 other = rows["class"][i] != rows["class"][j]
                 other &= (rows["family"][i] != rows["family"][j]) & (rows["family"][i] != node[j]) & (rows["family"][j] != node[i])
                 i, j = i[other], j[other]
-                likely = _apart(shapes, i, j) <= most_apart((rows["n"][i] + rows["n"][j]).astype(np.int64), similarity)
+                likely = shapes.apart(i, j)[0] <= most_apart(_sizes(rows, i, j), similarity)
                 i, j = i[likely], j[likely]
                 pairs = np.unique(np.sort(np.stack([node[i], node[j]], axis=1), axis=1), axis=0)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -336,15 +407,39 @@ def _across(similarity: tuple[int, int]):
 # --- verification ---
 
 
+def _let_through(table):
+    """Rows whose ``h`` the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_contain(batch["h"].to_numpy().view(np.uint64), table.value))).select(["text_key", "_text"])
+
+    return run
+
+
+def needed_texts(rows: DataFrame, involved: DataFrame) -> DataFrame:
+    """The columns of ``involved`` with ``text``, of ``rows`` whose ``text_key`` is among them; one row for each.
+
+    A filter of bounded size keeps most other texts from being sent; of equal
+    texts each task sends on one.
+    """
+    keys = involved.select(F.col("text_key").alias("key"))
+    table = rows.sparkSession.sparkContext.broadcast(build_filter(keys, keys.count(), FILTER_BYTES))
+    hashed = rows.select(F.xxhash64("text_key").alias("h"), "text_key", "_text")
+    some = hashed.mapInArrow(_let_through(table), "text_key binary, _text string")
+    return some.groupBy("text_key").agg(F.first("_text").alias("text")).join(involved, "text_key")
+
+
 def _sets_of(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows(batches, "text"):
             sets = pa.array([s.tobytes() for s in shingle_sets(rows["text"], words)], pa.binary())
-            yield pa.record_batch([rows["node"], sets], ["node", "grams"])
+            yield pa.record_batch([rows["node"], rows["a"], sets], ["node", "a", "grams"])
 
     return run
 
 
+SETS_OF = "node long, a long, grams binary"
 DIFFERENCES = "a long, b long, n_a int, n_b int, apart int, difference binary"
 
 
@@ -372,23 +467,22 @@ def _differences(most: Callable):
     return run
 
 
-def differences(pairs: DataFrame, sets: DataFrame, keep: tuple[int, int]) -> DataFrame:
-    """``DIFFERENCES`` of the pairs ``a, b``.
+def differences(members: DataFrame, sets: DataFrame, keep: tuple[int, int]) -> DataFrame:
+    """``DIFFERENCES`` of pairs ``a, b`` that bring the set of ``b`` as ``grams``.
 
     Each pair sends one set to its ``a``, whose own set goes there once; an
     ``a`` with many pairs is split, and a copy of its set goes to each part.
     """
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = cut_lineage(members.groupBy("a").agg(F.count(F.lit(1)).alias("_rows")))
     hot = F.broadcast(hot_from_counts(counts, ["a"], "_rows", ROWS_PER_SALT))
     salts = F.coalesce("_salts", F.lit(1))
-    hubs = hot_from_counts(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_rows")), ["b"], "_rows", ROWS_PER_SALT)
-    members = salted_join(pairs, sets.toDF("b", "grams"), ["b"], hot=hubs).join(hot, "a", "left")
-    members = members.select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("_salt"), "b", "grams")
-    centres = counts.select("a").join(sets.toDF("a", "grams"), "a").join(hot, "a", "left")
+    dealt = members.join(hot, "a", "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("_salt"), "b", "grams")
+    centres = counts.select("a").join(sets.select(F.col("node").alias("a"), "grams"), "a").join(hot, "a", "left")
     centres = centres.select(
         "a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), F.lit(None).cast("long").alias("b"), "grams"
     )
-    together = members.unionByName(centres).repartition("a", "_salt").sortWithinPartitions("a", "_salt", "b")
+    together = dealt.unionByName(centres).repartition("a", "_salt").sortWithinPartitions("a", "_salt", "b")
     return together.mapInArrow(_differences(lambda n: int(most_apart(n, keep))), DIFFERENCES)
 
 
@@ -407,7 +501,7 @@ def _derived(similarity: tuple[int, int]):
 
     def run(key, table):  # without hints, from which Spark would guess the kind of function
         nodes, sizes = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-        label = np.unique(table["class"].to_numpy(), return_inverse=True)[1]
+        different, label = np.unique(table["class"].to_numpy(), return_inverse=True)
         block = table["block"].to_numpy()
         grams = [np.frombuffer(d or b"", np.uint64) for d in table["difference"].to_pylist()]
         length = np.array([len(g) for g in grams])
@@ -417,11 +511,10 @@ def _derived(similarity: tuple[int, int]):
         holders = np.repeat(np.arange(len(nodes)), length)[order]
         begins = np.searchsorted(element[order], np.arange(element.max() + 2 if len(element) else 1))
         edges = np.concatenate([[0], np.cumsum(length)])
-        home = table["home"][0].as_py()
-        own = np.unique(table["class"].to_numpy()).searchsorted(home)
+        home = next(iter(np.flatnonzero(different == table["home"][0].as_py())), -1)  # may be in other blocks
         first, second = key[1].as_py(), key[2].as_py()
         a, b = [], []
-        for k in np.flatnonzero(label != own).tolist():
+        for k in np.flatnonzero(label != home).tolist():
             if block[k] not in (first, second):
                 continue
             there = second if block[k] == first else first
@@ -479,25 +572,21 @@ def node_classes(
     rows: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int], family: tuple[int, int], block: int
 ) -> DataFrame:
     """``node, class`` of the nodes that are linked to another."""
-    live = cut_lineage(
-        index_entries(nodes)
-        .repartition("list")
-        .sortWithinPartitions("list", "n")
-        .mapInArrow(_live(similarity, family), LIVE)
-    )
-    votes = live.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("_n"))
-    votes = cut_lineage(votes)
+    by_list = lambda entries: entries.repartition("list").sortWithinPartitions("list", "n")
+    entries = cut_lineage(by_list(index_entries(nodes)).mapInArrow(_compatible(similarity), ENTRY))
+    shaped = entries.join(nodes.select("node", "shape"), "node").select("list", "pos", "node", "n", "shape")
+    live = cut_lineage(by_list(shaped).mapInArrow(_live(similarity, family), LIVE))
+    votes = cut_lineage(live.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("_n")))
     score = votes.groupBy("centre").agg(F.sum("_n").alias("_score"))
     chosen = salted_join(votes, score, ["centre"]).groupBy("node").agg(
         F.max(F.struct("_score", (-F.col("centre")).alias("first"))).alias("_best")
     )
-    pairs = cut_lineage(chosen.select((-F.col("_best.first")).alias("a"), F.col("node").alias("b")).where("a <> b"))
-    # of equal texts each task sends on one; Spark would move a semi-join below the grouping
-    texts = rows.groupBy("text_key").agg(F.first("_text").alias("text"))
-    involved = chosen.select("node").join(nodes.select("node", "text_key"), "node")
-    sets = cut_lineage(texts.join(involved, "text_key").select("node", "text").mapInArrow(_sets_of(words), "node long, grams binary"))
+    centre = F.nullif(-F.col("_best.first"), F.col("node")).alias("a")
+    involved = cut_lineage(chosen.select("node", centre).join(nodes.select("node", "text_key"), "node"))
+    sets = cut_lineage(needed_texts(rows, involved).select("node", "a", "text").mapInArrow(_sets_of(words), SETS_OF))
 
-    answers = cut_lineage(differences(pairs, sets, family))
+    members = sets.where("a IS NOT NULL").select("a", F.col("node").alias("b"), "grams")
+    answers = cut_lineage(differences(members, sets, family))
     links = linked(answers, similarity)
     families = answers.where("difference IS NOT NULL")
     labels = connected_components(links)
@@ -512,8 +601,9 @@ def node_classes(
         .withColumn("family", F.coalesce("family", "node"))
         .select(*(c.split()[0] for c in CLASSED.split(", ")))
     )
-    across = classed.repartition("list").sortWithinPartitions("list", "n").mapInArrow(_across(similarity), "a long, b long")
-    more = cut_lineage(linked(differences(cut_lineage(across.distinct()), sets, family), similarity))
+    across = cut_lineage(by_list(classed).mapInArrow(_across(similarity), "a long, b long").distinct())
+    found = salted_join(across, sets.select(F.col("node").alias("b"), "grams"), ["b"], rows_per_salt=ROWS_PER_SALT)
+    more = cut_lineage(linked(differences(found, sets, family), similarity))
     return labels if more.isEmpty() else connected_components(links.unionByName(more))
 
 
@@ -546,7 +636,7 @@ def similar_sets(
     )
     counts = spark.sparkContext.broadcast(gram_counts(rows.select("_text"), words))
     sets = cut_lineage(rows.mapInArrow(_index(counts, words, similarity, block), SETS))
-    shape = [F.first(c).alias(c) for c in ("text_key", "n", "prefix", "blocks", "low", "high")]
+    shape = [F.first(c).alias(c) for c in ("text_key", "n", "prefix", "blocks", "shape")]
     nodes = cut_lineage(
         sets.where("n > 0")
         .groupBy("node_key")

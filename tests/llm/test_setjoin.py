@@ -128,6 +128,21 @@ def test_long_text(spark):
     assert found(documents(spark, texts)) == brute_force(range(3), texts)
 
 
+def test_histograms_never_differ_by_more_than_the_sets():
+    r = np.random.default_rng(8)
+    sets = []
+    for n in (1, 40, 1200, 1290, 1300, 2500, 2600, 5000):
+        base = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (1.0, 0.95, 0.5):
+            sets.append(np.unique(np.concatenate([base[: int(n * share)], r.integers(0, 1 << 63, n - int(n * share)).astype(np.uint64)])))
+    shapes = setjoin.Histograms([setjoin._histogram(s).tobytes() for s in sets])
+    i, j = np.array([(a, b) for a in range(len(sets)) for b in range(len(sets)) if max(shapes.length[[a, b]]) <= 2 * min(shapes.length[[a, b]])]).T
+    apart, bins = shapes.apart(i, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (apart <= true).all() and (apart[i == j] == 0).all() and set(bins.tolist()) >= {16, 32, 64}
+    assert (apart > 0.3 * true).mean() > 0.5
+
+
 @pytest.mark.parametrize("skip", [1, 3, 16])
 def test_list_pairs_leave_out_nothing(monkeypatch, skip):
     monkeypatch.setattr(setjoin, "SKIP", skip)
