@@ -13,6 +13,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 # A table of parameters (rates, hot keys) is sent to every task only up to this many rows.
 SMALL_ROWS = 100_000
+# and only up to this many bytes.
+SMALL_BYTES = 32 << 20
 
 
 def whole_text(text: Column) -> Column:
@@ -30,6 +32,12 @@ def count_chars_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
+def is_small(rows: DataFrame, row_bytes: Column) -> bool:
+    """Whether a table may be sent to every task; ``row_bytes`` is what is large in a row."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()
+    return n <= SMALL_ROWS and size + 64 * n <= SMALL_BYTES
+
+
 def number_rows(df: DataFrame, order: list[Column], output: str) -> DataFrame:
     """Gapless numbers from 0 in the given order, for tables of any size.
 
@@ -85,4 +93,4 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: i
     return first.join(cold, "_join", "left").withColumns(merged).drop("_join", *[f"_hot_{c}" for c in columns])
 
 
-__all__ = ["SMALL_ROWS", "SPACES", "count_chars_of", "join_facts", "let", "number_rows", "split_words", "whole_text"]
+__all__ = ["SMALL_ROWS", "SPACES", "count_chars_of", "is_small", "join_facts", "let", "number_rows", "split_words", "whole_text"]

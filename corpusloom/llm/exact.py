@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +29,8 @@ from .common import SPACES, join_facts, whole_text
 TABLE_BYTES = 48 << 20
 BUCKET_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
+# At most so many partitions are dealt at once. More buckets share a partition, which Spark sorts by bucket.
+FAN_OUT = 4_000
 
 RECORD = "h long, content binary, n long, best_length long, best_id long, n_best long, digest binary"
 
@@ -87,7 +90,7 @@ def merge(into: list, other: list) -> None:
 
 
 def _through_table(most_bytes: int, finish: bool):
-    """Run a partition through a table.
+    """Run a partition through a table, or through one after the other if its rows come by ``bucket``.
 
     What found no room comes out as it went in. Entries come out as records
     again, or if ``finish`` as classes: with a digest in place of the content.
@@ -109,19 +112,26 @@ def _through_table(most_bytes: int, finish: bool):
         if held:
             yield batch_of(held)
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        table = ContentTable(most_bytes)
-        for batch in batches:
-            columns = [batch[n].to_pylist() for n in names[:-1]]
-            for h, content, *facts in zip(*columns):
-                if not table.add(h, content, facts):
-                    yield (h, content, *facts, None)
+    def entries(table: ContentTable) -> Iterator[tuple]:
         for h, content, facts in zip(table.hashes, table.contents, table.facts):
             if finish:
                 yield (h, None, *facts, hashlib.sha256(content).digest())
             else:
                 yield (h, content, *facts, None)
 
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        table, at = ContentTable(most_bytes), None
+        for batch in batches:
+            columns = [batch[n].to_pylist() for n in names[:-1]]
+            buckets = batch["bucket"].to_pylist() if "bucket" in batch.schema.names else repeat(None)
+            for bucket, h, content, *facts in zip(buckets, *columns):
+                if bucket != at:
+                    yield from entries(table)
+                    table, at = ContentTable(most_bytes), bucket
+                if not table.add(h, content, facts):
+                    yield (h, content, *facts, None)
+        yield from entries(table)
+
     return lambda batches: in_batches(rows_of(batches))
 
 
@@ -131,11 +141,15 @@ def content_classes(
     text_column: str = "text",
     table_bytes: int = TABLE_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
+    fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """One row for each different content: ``digest, n, best_length, best_id, n_best``.
 
     ``best_*`` name the row with the longest original text, then the smallest
-    id; ``n_best`` rows have both.
+    id; ``n_best`` rows have both. Buckets have about ``bucket_bytes``; up to
+    ``fan_out`` of them are partitions of their own, more are dealt to that
+    many partitions and sorted in each, so that one after the other passes
+    through a table.
     """
     text = whole_text(F.col(text_column))
     content = F.translate(text, SPACES, "")
@@ -150,7 +164,7 @@ def content_classes(
     classes, level = None, 0
     while True:
         buckets = max(1, -(-size // bucket_bytes))
-        dealt = todo.repartition(buckets, F.xxhash64("h", F.lit(level)))
+        dealt = _dealt(todo, buckets, fan_out, level)
         spill = cut_lineage(dealt.mapInArrow(_through_table(table_bytes, finish=True), RECORD))
         done = spill.where("digest IS NOT NULL").drop("h", "content")
         classes = done if classes is None else classes.unionByName(done)
@@ -161,6 +175,14 @@ def content_classes(
         level += 1
 
 
+def _dealt(records: DataFrame, buckets: int, fan_out: int, level: int) -> DataFrame:
+    """Records in partitions that hold one bucket, or several by ``bucket``; each level deals by another hash."""
+    if buckets <= fan_out:
+        return records.repartition(buckets, F.xxhash64("h", F.lit(level)))
+    bucket = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(buckets))
+    return records.withColumn("bucket", bucket).repartitionById(fan_out, (F.col("bucket") % fan_out).cast("int")).sortWithinPartitions("bucket")
+
+
 def exact_copies(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
 
@@ -169,7 +191,8 @@ def exact_copies(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
     with the longest text stays, then the one with the smallest id; null ids
     come last. Of rows that are the same in both, any one stays. An empty
     table stays empty. With ``carry`` there is also ``_row``, the row as it
-    was, whatever its columns are called.
+    was, whatever its columns are called. A very long text is one record, which
+    a table takes alone if it must.
     """
     classes = content_classes(docs, **how)
     totals = classes.agg(F.sum("n").alias("rows"), F.max("n_best").alias("repeated")).first()

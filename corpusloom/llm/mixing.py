@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.strings import let
 from corpusloom.operators.skew import salted_join
+from corpusloom.session import cut_lineage
 
-from .common import SMALL_ROWS, whole_text
+from .common import is_small, whole_text
 
 SEED = 17
 # Weights follow the rows of a source to this power: 1 keeps the shares, 0 makes all equal.
@@ -101,14 +102,16 @@ def replicate(
     called ``copies``, ``copy`` or ``shuffle_key`` are replaced; all others
     are carried along.
 
-    Rates go to every task while there are at most ``SMALL_ROWS`` sources,
-    else they are joined by source with hot sources split. The only other
+    Rates and distributions go to every task while they have at most
+    ``SMALL_ROWS`` rows and ``SMALL_BYTES``, else they are joined by source with
+    hot sources split. The only other
     shuffle deals the copies out by ``shuffle_key``.
     """
     docs = docs.drop("copies", "copy", "shuffle_key")
-    table = _with_distribution(rates).select("_source", "_draws", "_sums")
+    # written once: the rates come from a count of all documents
+    table = cut_lineage(_with_distribution(rates).select("_source", "_draws", "_sums"))
     keyed = docs.withColumn("_source", _key(F.col(source)))
-    if rates.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if is_small(table, F.octet_length("_source") + 8 * F.size("_sums")):
         joined = keyed.join(F.broadcast(table), "_source")
     else:
         joined = salted_join(keyed, table, ["_source"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.skew import salted_join
 from corpusloom.session import cut_lineage
 
-from .common import SMALL_ROWS, join_facts
+from .common import is_small, join_facts, let
 
 # A block is eight 64-bit words; a key sets one bit in each.
 BITS_PER_KEY = 16
@@ -115,13 +115,14 @@ def possible_hits(candidates: DataFrame, table: np.ndarray) -> DataFrame:
 # --- rules and lists ---
 
 
-def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """What a rule that fits could be: a suffix of the host's labels, and a start of the path."""
-    labels = F.split(host, "\\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."),
-    )
+def rule_keys(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """What a rule that fits could be: up to ``most_labels`` last labels of the host, and a start of the path."""
+    last = F.substring_index(host, ".", -most_labels)  # no rule's host has more
+
+    def ends(labels: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+
+    suffixes = let(F.split(last, "\\."), ends)
     starts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     return F.flatten(
         F.transform(
@@ -159,6 +160,8 @@ def judge_urls(
         r[0]
         for r in rule_list.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().orderBy("n").collect()
     ]
+    rule_labels = F.size(F.split(F.substring_index("rule", "/", 1), "\\."))
+    most_labels = rule_list.agg(F.max(rule_labels)).first()[0] or 1
     keys = rule_list.select(F.concat(F.lit("rule "), "rule").alias("key")).unionByName(
         listed.where("url IS NOT NULL").select(F.concat(F.lit("url "), "url").alias("key"))
     )
@@ -171,7 +174,7 @@ def judge_urls(
     )
     own_form = F.array(F.concat(F.lit("url "), "_form"))
     candidates = distinct.where("host <> ''").select(
-        "page", F.concat(rule_keys(F.col("host"), F.col("path"), lengths), own_form).alias("keys")
+        "page", F.concat(rule_keys(F.col("host"), F.col("path"), lengths, most_labels), own_form).alias("keys")
     )
     hits = join_list(possible_hits(candidates, table), exact, "key", "inner")
     as_rule = F.when(F.col("key").startswith("rule "), F.substring("key", 6, 1 << 30))
@@ -193,8 +196,8 @@ def judge_urls(
 
 
 def join_list(rows: DataFrame, listed: DataFrame, on: str, how: str) -> DataFrame:
-    """The exact join with a list: sent to every task while it is short, else by key with hot keys split."""
-    if listed.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    """The exact join with a list: sent to every task while it has few rows and bytes, else by key with hot keys split."""
+    if is_small(listed, F.octet_length(on)):
         return rows.join(F.broadcast(listed), on, how)
     return salted_join(cut_lineage(rows), listed, [on], how)
 

@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from fixtures import ODD_TEXTS, documents
+from pyspark.sql import functions as F
 
-from corpusloom.llm import exact, urls
+from corpusloom.llm import common, exact, urls
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -24,12 +25,13 @@ def brute(texts, ids):
 TEXTS = ODD_TEXTS + ["same", "s a m e", "sam\te ", "copy " * 30] + ["copy " * 30] * 200 + [f"own {k} " * 9 for k in range(150)]
 
 
-@pytest.mark.parametrize("room", [48 << 20, 3000, 60])
-def test_groups_against_brute_force(spark, room):
+@pytest.mark.parametrize(("room", "fan_out"), [(48 << 20, 4000), (3000, 4000), (60, 4000), (3000, 2), (60, 3)])
+def test_groups_against_brute_force(spark, room, fan_out):
+    """One level, several levels, and more buckets than partitions."""
     ids = [None if k % 41 == 0 else 1000 - k for k in range(len(TEXTS))]
     want = brute(TEXTS, ids)
     docs = documents(spark, TEXTS, ids)
-    rows = exact.exact_copies(docs, carry=True, table_bytes=room, bucket_bytes=room).collect()
+    rows = exact.exact_copies(docs, carry=True, table_bytes=room, bucket_bytes=room, fan_out=fan_out).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         assert (r["keep_id"], r["group_size"], r["text_sha256"]) == want[SPACE.sub("", r["_row"]["text"] or "")]
@@ -60,6 +62,17 @@ def test_table_compares_contents_of_equal_hashes():
     assert full.add(1, b"x" * 100, [1, 1, 1, 1])
 
 
+def test_no_more_partitions_than_the_fan_out(spark):
+    records = spark.range(1000).select(F.col("id").alias("h"))
+    assert exact._dealt(records, 3, 8, 0).rdd.getNumPartitions() == 3
+    many = exact._dealt(records, 64, 8, 0)
+    assert many.rdd.getNumPartitions() == 8
+    by_part = defaultdict(list)
+    for r in many.withColumn("_part", F.spark_partition_id()).collect():
+        by_part[r["_part"]].append(r["bucket"])
+    assert all(b == sorted(b) and len(set(b)) == 8 for b in by_part.values()) and len(by_part) == 8
+
+
 # --- URLs ---
 
 URLS = [
@@ -95,7 +108,7 @@ def pages(spark, listed=URLS):
 
 @pytest.mark.parametrize(("most_bytes", "small"), [(64 << 20, 100_000), (64, 100_000), (64, 0)])
 def test_urls_against_brute_force(spark, monkeypatch, most_bytes, small):
-    monkeypatch.setattr(urls, "SMALL_ROWS", small)
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     many = URLS + [f"http://h{k}.net/p{k}" for k in range(300)]
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
     listed = spark.createDataFrame([(u,) for u in LISTED] + [(f"fill{k}.net/",) for k in range(500)], "url string")
@@ -103,6 +116,23 @@ def test_urls_against_brute_force(spark, monkeypatch, most_bytes, small):
     assert Counter((r["host"], r["path"], r["rule"], r["verdict"]) for r in rows) == Counter(map(brute_url, many))
 
 
+def test_hosts_of_very_many_labels(spark):
+    """Only as many last labels as some rule has are looked up."""
+    long = ".".join(f"l{k}" for k in range(20_000))
+    many = [f"http://{long}.example.org/es/x", f"http://{long}.com/de/", f"http://{long}/", "http://example.org/es/"]
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    rows = urls.judge_urls(pages(spark, many), rules, spark.createDataFrame([], "url string")).collect()
+    assert Counter((r["host"], r["path"], r["rule"], r["verdict"]) for r in rows) == Counter(map(brute_url, many))
+
+
+def test_long_lists_are_not_sent(spark, monkeypatch):
+    listed = spark.createDataFrame([("x" * 1000,), ("y",)], "url string")
+    assert common.is_small(listed, F.octet_length("url"))
+    monkeypatch.setattr(common, "SMALL_BYTES", 1000)
+    assert not common.is_small(listed, F.octet_length("url"))
+    assert common.is_small(listed.limit(0), F.octet_length("url"))
+
+
 def test_urls_without_rules_lists_or_pages(spark):
     none = pages(spark).limit(0)
     assert urls.url_digest(none).count() == 0

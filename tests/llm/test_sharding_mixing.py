@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from fixtures import ODD_TEXTS, documents
 
-from corpusloom.llm import mixing, sharding
+from corpusloom.llm import common, mixing, sharding
 
 
 def test_permutation_and_its_inverse():
@@ -92,7 +92,7 @@ def test_high_rates_are_drawn_in_parts(spark):
 def test_many_sources_are_joined_by_source(spark, monkeypatch):
     docs = documents(spark, [f"t{k}" for k in range(90)], sources=[f"s{k % 30}" for k in range(90)])
     want = sorted((r["doc_id"], r["copy"]) for r in mixing.mix_sources(docs).collect())
-    monkeypatch.setattr(mixing, "SMALL_ROWS", 5)
+    monkeypatch.setattr(common, "SMALL_ROWS", 5)
     assert sorted((r["doc_id"], r["copy"]) for r in mixing.mix_sources(docs).collect()) == want
 
 
