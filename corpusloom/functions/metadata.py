@@ -67,7 +67,8 @@ def matches(meta: Column | str, filters: Mapping[str, object]) -> Column:
         if operator not in OPERATORS:
             raise ValueError(f"operator must be one of {list(OPERATORS)}")
         if value is None:
-            missing = F.coalesce(F.is_variant_null(F.try_variant_get(meta, _path(path), "variant")), F.lit(True))
+            stored = F.try_variant_get(meta, _path(path), "variant")
+            missing = stored.isNull() | F.is_variant_null(stored)
             return missing if operator == "=" else ~missing
         kind = _type_of(value)
         stored = F.schema_of_variant(F.try_variant_get(meta, _path(path), "variant"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -69,10 +70,20 @@ def ingest_batch(
     chunks = store_chunks(fresh, [key, *keep], text, **limits)
     first = F.count_if(F.col("chunk_index") == 0)
     store(chunks.observe(stored, first.alias("added"), F.count(F.lit(1)).alias("chunks")), chunk_path)
-    counts = stored.get
-    added, chunks = counts["added"], counts["chunks"]
     store(new_documents(batch, key, text, seen).select("content_hash"), hash_path)
-    return {"added": added, "skipped": read.get["documents"] - added, "extra_chunks": chunks - added}
+    added, written = _observed(stored, "added") or 0, _observed(stored, "chunks") or 0
+    documents = _observed(read, "documents")
+    if documents is None:  # nothing was new, so the texts have not been read
+        documents = batch.count()
+    return {"added": added, "skipped": documents - added, "extra_chunks": written - added}
+
+
+def _observed(observation: Observation, name: str) -> int | None:
+    """A count, or None where Spark has left out the part of the plan that takes it, as it gives no rows."""
+    try:
+        return observation.get.get(name)
+    except Py4JJavaError:
+        return None
 
 
 def read_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -107,6 +107,10 @@ def ingest_with_state(
 ) -> DataStreamWriter:
     """A stream writer of the chunks of new documents, to be started by the caller.
 
+    With a time to live the stream never comes to rest by itself, as it runs
+    batches without data in which it forgets; give it a processing-time trigger
+    and stop it. Without one (None) ``trigger(availableNow=True)`` ends it.
+
     ``Counters`` receives ``documents`` (``rows`` that came), ``fresh`` (those
     stored; the rest was skipped) and ``chunks`` (``rows`` and ``extra``, those
     beyond the first of a document), taken while the rows are written.
