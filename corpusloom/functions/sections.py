@@ -219,6 +219,24 @@ def missing_sections(sections: Column, headers: list[str] = HEADERS) -> Column:
     return F.array_compact(F.array(*lacking))
 
 
+def first_complete(outputs: list[Column | str], headers: list[str] = HEADERS) -> Column:
+    """The first of several attempts that lacks no section: ``attempt`` (from 1), its ``sections`` and ``missing``.
+
+    Where every attempt lacks some, ``attempt`` and ``sections`` are null and
+    ``missing`` says what the last one lacks.
+    """
+    tried = [sections_strict(o, headers) for o in outputs]
+    lacking = [missing_sections(s, headers) for s in tried]
+    fine = [F.size(m) == 0 for m in lacking]
+    attempt, sections = F.lit(None).cast("int"), F.lit(None)
+    for k in reversed(range(len(outputs))):
+        attempt = F.when(fine[k], k + 1).otherwise(attempt)
+        sections = F.when(fine[k], tried[k]).otherwise(sections)
+    none = F.array().cast("array<string>")
+    missing = F.when(attempt.isNotNull(), none).otherwise(lacking[-1])
+    return F.struct(attempt.alias("attempt"), sections.alias("sections"), missing.alias("missing"))
+
+
 def fill_sections(
     text: Column | str, name: Column | str, language: Column | str, rules: Column | str
 ) -> Column:

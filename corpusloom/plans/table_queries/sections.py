@@ -88,6 +88,27 @@ def quality_flag(spark, sf_dir):
     return out.select("doc_id", "generic", md5_of("requirements"))
 
 
+def complete_output(spark, sf_dir):
+    """Three attempts at six sections, each lacking one of them for some documents; the first whole one counts."""
+    docs = table(spark, sf_dir, "documents")
+    line = F.translate("text", "\t\n\x0b\x0c\r", "     ")
+
+    def attempt(k: int, without: str, every: int, instead: str):
+        parts = []
+        for h in S.HEADERS:
+            body = F.concat(F.lit(f"attempt {k} at "), "doc_id", F.lit(" "), line) if h == "Overview" else F.lit(f"what {h} says")
+            part = F.concat(F.lit(f"{h}\n"), body)
+            lacking = F.lit(f"{h}\n{instead}") if instead else F.lit(None)
+            parts.append(F.when(F.col("doc_id") % every == 0, lacking).otherwise(part) if h == without else part)
+        return F.concat_ws("\n\n", *parts)
+
+    tried = [attempt(1, "Objective", 2, ""), attempt(2, "Use Case", 3, "short"), attempt(3, "Dependent Files", 5, "")]
+    out = docs.select("doc_id", S.first_complete(tried).alias("_c"))
+    return out.select(
+        "doc_id", "_c.attempt", F.array_join("_c.missing", "|").alias("missing"), F.md5("_c.sections.overview").alias("overview")
+    )
+
+
 SUMMARY = [f"## {h}\n" for h in S.SUMMARY_HEADINGS]
 
 
@@ -325,6 +346,15 @@ judged AS (
     OR regexp_matches(output, '(?i)no business logic detected|utility file|this file (does|is|contains)|no explicit business logic') AS generic
   FROM drafts)
 SELECT doc_id, generic, md5(CASE WHEN generic THEN 'second ' || source ELSE output END) AS md5 FROM judged""",
+    ),
+    "complete_output": Query(
+        complete_output,
+        f"""WITH tried AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 <> 0 THEN 1 WHEN doc_id % 3 <> 0 THEN 2 WHEN doc_id % 5 <> 0 THEN 3 END AS attempt,
+    translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS line FROM documents)
+SELECT doc_id, attempt, CASE WHEN attempt IS NULL THEN 'dependent files' ELSE '' END AS missing,
+  md5({sql_strip("'attempt ' || attempt || ' at ' || doc_id || ' ' || line")}) AS overview
+FROM tried""",
     ),
     "summary_parse": Query(
         summary_parse,

@@ -10,7 +10,7 @@ from corpusloom.functions.diagram_text import is_drawable, type_mismatch
 from corpusloom.functions.strings import ellipsis
 from corpusloom.operators import diagrams, reports, summaries
 from corpusloom.sources import diagrams as cache
-from corpusloom.sources import workbooks
+from corpusloom.sources import files, workbooks
 from corpusloom.streaming import ingest
 
 from .base import Query, md5_of, new_folder, sql_strip, table, worded_lines
@@ -313,6 +313,30 @@ def diagram_cache_roundtrip(spark, sf_dir):
     return back.select("content_hash", "target_graph", md5_of("generated_code"))
 
 
+def diagram_folders(spark, sf_dir):
+    """A folder named by the hash of each document's text, with the two diagrams of its cache, read back."""
+    root = new_folder(spark)
+    filesystem = files._filesystem  # the module as a whole cannot be sent to the workers
+
+    def write(batches):
+        import json
+
+        for batch in batches:
+            for folder, code in zip(batch["content_hash"], batch["code"]):
+                for target in ("Entity Relationship Diagram", "Requirement Diagram"):
+                    system, path = filesystem(f"{root}/{folder}/{target.replace(' ', '_')}.json")
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(path) as out:
+                        out.write(json.dumps({"target_graph": target, "generated_code": code}, indent=2).encode())
+            yield batch[["content_hash"]]
+
+    docs = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("text").alias("text"))
+    made = docs.select("content_hash", F.concat(F.lit("graph TD\n  A[\""), "text", F.lit("\"] --> B")).alias("code"))
+    made.mapInPandas(write, "content_hash string").count()
+    back = cache.read_diagram_folders(spark, root)
+    return back.select("content_hash", "target_graph", md5_of("generated_code"))
+
+
 _SQL_DIAGRAMS = _SQL_WORDED + """,
 arrows AS (
   SELECT doc_id, lang, rows, i, 'N' || i AS src, CASE WHEN i % 3 = 0 THEN '---' ELSE '-->' END AS arrow,
@@ -510,6 +534,11 @@ FROM pages p LEFT JOIN placed t ON t.page_id = p.page_id GROUP BY p.page_id""",
         diagram_edges,
         f"""WITH {_SQL_DIAGRAMS}
 SELECT doc_id, i + 1 AS line_no, src, arrow, dst, src_label, dst_label FROM arrows""",
+    ),
+    "diagram_folders": Query(
+        diagram_folders,
+        """SELECT sha256(text) AS content_hash, t AS target_graph, md5('graph TD' || chr(10) || '  A["' || text || '"] --> B') AS md5
+FROM (SELECT DISTINCT text FROM documents), (VALUES ('Entity Relationship Diagram'), ('Requirement Diagram')) v(t)""",
     ),
     "diagram_cache_roundtrip": Query(
         diagram_cache_roundtrip,
