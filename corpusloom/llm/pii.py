@@ -158,6 +158,43 @@ def _labelled(kind: str, spans: Column, is_base: bool) -> Column:
     return F.transform(spans, one)
 
 
+def _before(marks: Column, asked: Column, equal: bool) -> Column:
+    """For each number of ``asked``, in order, how many of ``marks`` are less (or ``equal``).
+
+    Both are sorted together, and a running sum counts the marks.
+    """
+    first = F.lit(0 if equal else 1)
+
+    def event(place: Column, turn: Column, weight: int, index: Column) -> Column:
+        return F.struct(place.alias("place"), turn.alias("turn"), F.lit(weight).cast("long").alias("weight"), index.alias("index"))
+
+    events = F.concat(
+        F.transform(marks, lambda p: event(p, first, 1, F.lit(-1))),
+        F.transform(asked, lambda p, k: event(p, 1 - first, 0, k)),
+    )
+
+    def counted(ordered: Column) -> Column:
+        return let(
+            running_sums(F.transform(ordered, lambda e: e["weight"])),
+            lambda sums: F.transform(ordered, lambda e, k: F.struct(e["index"].alias("index"), F.get(sums, k).alias("n"))),
+        )
+
+    told = F.array_sort(F.filter(let(F.array_sort(events), counted), lambda e: e["index"] >= 0))
+    return F.transform(told, lambda e: e["n"])
+
+
+def _apart_from(sure: Column, loose: Column) -> Column:
+    """The spans of ``loose`` that overlap none of ``sure``.
+
+    So many of ``sure`` overlap a span as begin before its end and do not end
+    before its start, which takes sorting but no comparison of all with all.
+    """
+    begun = _before(F.transform(sure, lambda b: b["start"]), F.transform(loose, lambda s: s["end"]), equal=False)
+    ended = _before(F.transform(sure, lambda b: b["end"]), F.transform(loose, lambda s: s["start"]), equal=True)
+    kept = let(begun, lambda b: let(ended, lambda e: F.filter(loose, lambda s, k: F.get(b, k) == F.get(e, k))))
+    return F.when((F.size(sure) == 0) | (F.size(loose) == 0), loose).otherwise(kept)
+
+
 def candidates(text: Column) -> Column:
     """All candidate spans with their votes, base spans among them, sorted by place and kind."""
 
@@ -170,15 +207,7 @@ def candidates(text: Column) -> Column:
         ]
     )
     loose = F.concat(*[_labelled(k, found_spans(text, LOOSE[k]), False) for k in KINDS])
-    apart = let(
-        base,
-        lambda sure: F.concat(
-            sure,
-            F.filter(
-                loose, lambda s: ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            ),
-        ),
-    )
+    apart = let(base, lambda sure: let(loose, lambda further: F.concat(sure, _apart_from(sure, further))))
     return F.array_sort(apart)
 
 

@@ -89,3 +89,29 @@ def test_classifier_learns_from_votes_and_adds_spans(spark):
     rows = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, good + bad)).collect()}
     assert sum(rows[k]["n_added"] for k in range(60)) >= 55
     assert sum(rows[k]["n_added"] for k in range(60, 120)) <= 5
+
+
+def test_overlaps_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = []
+    for n in (0, 1, 2, 5, 30, 300, 700):
+        for m in (0, 1, 7, 600):
+            spans = [[(a, a + r.randrange(1, 9)) for a in (r.randrange(10 * (n + 1)) for _ in range(k))] for k in (n, m)]
+            rows.append((len(rows), *spans))
+    kind = "array<struct<start: long, end: long>>"
+    df = spark.createDataFrame(rows, f"k int, sure {kind}, loose {kind}")
+    found = df.select("k", pii._apart_from(F.col("sure"), F.col("loose")).alias("kept")).collect()
+    for (_, sure, loose), row in zip(rows, sorted(found, key=lambda x: x["k"])):
+        want = [s for s in loose if not any(b[0] < s[1] and s[0] < b[1] for b in sure)]
+        assert [tuple(s) for s in row["kept"]] == want
+
+
+def test_a_text_of_very_many_spans(spark):
+    n = 20_000
+    text = " ".join(f"u{k}@h.org call 483-555-{k % 10_000:04}" for k in range(n))
+    row = pii.find_personal_data(documents(spark, [text])).first()
+    assert row["n_email"] == n and row["spans"].count("email") == n
