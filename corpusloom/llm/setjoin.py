@@ -37,7 +37,7 @@ from corpusloom.session import cut_lineage
 
 from .batches import mix, parts, split_words, string_hashes, window_hashes
 from .common import join_facts, whole_text
-from .urls import build_filter, may_contain
+from .needed import needed_texts
 
 WORDS = 3
 # Linked: common * 100 >= 90 * union. As alike as that to a representative: common * 100 >= 75 * union.
@@ -60,8 +60,6 @@ PER_BIN, LEAST_BINS = 80, 16
 # Two sets of a family differ by less than this share of what chance lets histograms differ by.
 CHANCE = 0.6
 
-# Texts whose sets are needed are let through by a filter of at most so many bytes, then joined exactly.
-FILTER_BYTES = 16 << 20
 
 
 # --- sets ---
@@ -407,29 +405,6 @@ def _across(similarity: tuple[int, int]):
 # --- verification ---
 
 
-def _let_through(table):
-    """Rows whose ``h`` the filter may hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_contain(batch["h"].to_numpy().view(np.uint64), table.value))).select(["text_key", "_text"])
-
-    return run
-
-
-def needed_texts(rows: DataFrame, involved: DataFrame) -> DataFrame:
-    """The columns of ``involved`` with ``text``, of ``rows`` whose ``text_key`` is among them; one row for each.
-
-    A filter of bounded size keeps most other texts from being sent; of equal
-    texts each task sends on one.
-    """
-    keys = involved.select(F.col("text_key").alias("key"))
-    table = rows.sparkSession.sparkContext.broadcast(build_filter(keys, keys.count(), FILTER_BYTES))
-    hashed = rows.select(F.xxhash64("text_key").alias("h"), "text_key", "_text")
-    some = hashed.mapInArrow(_let_through(table), "text_key binary, _text string")
-    return some.groupBy("text_key").agg(F.first("_text").alias("text")).join(involved, "text_key")
-
-
 def _sets_of(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows(batches, "text"):
@@ -583,7 +558,7 @@ def node_classes(
     )
     centre = F.nullif(-F.col("_best.first"), F.col("node")).alias("a")
     involved = cut_lineage(chosen.select("node", centre).join(nodes.select("node", "text_key"), "node"))
-    sets = cut_lineage(needed_texts(rows, involved).select("node", "a", "text").mapInArrow(_sets_of(words), SETS_OF))
+    sets = cut_lineage(needed_texts(rows, involved, "text_key").select("node", "a", "text").mapInArrow(_sets_of(words), SETS_OF))
 
     members = sets.where("a IS NOT NULL").select("a", F.col("node").alias("b"), "grams")
     answers = cut_lineage(differences(members, sets, family))

@@ -136,3 +136,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     tokens = {r["doc_id"]: r["doc_tokens"] for r in rows}
     assert found == Counter({k: c * len(packing.binary_pieces(tokens[k])) for k, c in want.items()})
     assert len(want) > 60 and len(pipeline.STAGES) == 5
+
+
+def test_every_stage_on_empty_tables_and_with_clashing_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark, ["a b", None, "a b", ""])  # its further columns are called like those of results
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs.limit(0), str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 4
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
