@@ -31,11 +31,11 @@ QUERIES = {
     "op6_feistel_shards": Query(of("documents", sharding.shard_digest)),
     "op7_bloom_urls": Query(of("pages", urls.url_digest), urls.URL_SQL),
     "op8_binary_packing": Query(of("documents", packing.packing_digest)),
-    "op9_suffix_automata": Query(of("documents", substring.remove_repeats)),
+    "op9_suffix_automata": Query(of("documents", substring.remove_repeats), substring.REPEATS_SQL),
     "op10_quality_rules": Query(
         lambda spark, sf_dir: rules.quality_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     ),
-    "op11_skipping_jaccard": Query(of("documents", setjoin.similar_sets)),
+    "op11_skipping_jaccard": Query(of("documents", setjoin.similar_sets), setjoin.SETS_SQL),
     "op12_galloping_alignment": Query(of("documents", align.alignment_digest)),
     "op13_square_runs": Query(of("documents", runs.runs_digest)),
 }

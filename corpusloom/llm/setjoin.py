@@ -628,3 +628,22 @@ def similar_sets(
     alone = sets.where("n = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"]
     return found.select(*columns).unionByName(alone.select(*columns))
+
+
+SETS_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {WORDS} THEN list_transform(range(1, len(words) - {WORDS - 2}),
+      lambda k: array_to_string(list_slice(words, k, k + {WORDS - 1}), ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS gram FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE {SIMILARITY[1]} * c.n >= {SIMILARITY[0]} * (x.n + y.n - c.n)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT t.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(t.doc_id, coalesce(min(r.b), t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.a = t.doc_id GROUP BY t.doc_id"""

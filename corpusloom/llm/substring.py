@@ -366,3 +366,21 @@ def remove_repeats(
         .mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     )
     return known.unionByName(finished)
+
+
+REPEATS_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT r, unnest(hashes) AS h, unnest(range(1, len(hashes) + 1)) AS k FROM (
+    SELECT r, list_transform(range(1, greatest(len(words) - {WINDOW - 2}, 1)),
+      lambda k: md5(array_to_string(list_slice(words, k, k + {WINDOW - 1}), ' '))) AS hashes FROM texts)),
+starts AS (SELECT r, k FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+each AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM texts),
+marked AS (
+  SELECT e.r, e.k, e.word, coalesce(e.k - max(s.k) OVER (PARTITION BY e.r ORDER BY e.k) < {WINDOW}, false) AS gone
+  FROM each e LEFT JOIN starts s ON s.r = e.r AND s.k = e.k),
+counted AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM marked GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN counted USING (r)"""
