@@ -142,10 +142,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def string_hashes(strings: pa.Array, seed: int = 0) -> np.ndarray:
+def string_hashes(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string, by a hash function that is no polynomial of the bytes."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(s, seed) for s in strings.cast(pa.large_binary()).to_pylist()), np.uint64, len(strings))
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    digests = b"".join(map(xxhash.xxh3_64_digest, strings.cast(pa.large_binary()).to_pylist()))
+    return np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
+def string_hash_pairs(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two such hashes of each string, which together have 128 bits."""
+    if not len(strings):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    digests = b"".join(map(xxhash.xxh3_128_digest, strings.cast(pa.large_binary()).to_pylist()))
+    both = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0], both[:, 1]
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
 
-from .batches import mix, parts, split_words, string_hashes, window_hashes
+from .batches import mix, parts, split_words, string_hash_pairs, window_hashes
 from .common import join_facts, whole_text
 
 WINDOW = 35
@@ -75,14 +76,18 @@ def segments(words: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.nda
 def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of all words in order, and where each text's words begin (one more at the end)."""
     codes, begins, different = split_words(texts)
-    return string_hashes(different)[codes], string_hashes(different, 1)[codes], begins
+    one, other = string_hash_pairs(different)
+    return one[codes], other[codes], begins
 
 
 def range_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the words from ``first`` up to ``end``, mixed after each word; ranges are short."""
     with np.errstate(over="ignore"):
         out = mix((end - first).astype(np.uint64) + np.uint64(1))
-        for k in range(int((end - first).max(initial=0))):
+        least = int((end - first).min(initial=1 << 30)) if len(first) else 0
+        for k in range(least):
+            out = mix((out ^ words[first + k]) + np.uint64(0x9E3779B97F4A7C15))
+        for k in range(least, int((end - first).max(initial=0))):
             on = np.flatnonzero(first + k < end)
             out[on] = mix((out[on] ^ words[first[on] + k]) + np.uint64(0x9E3779B97F4A7C15))
     return out
@@ -138,17 +143,23 @@ def _split(window: int):
         for batch in batches:
             for part in parts(batch["_text"], PART_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
-                hashes, others, begins = word_values(rows["_text"])
+                # only texts with an anchor that occurs again need their segments
+                asked = pc.fill_null(pc.greater(pc.list_value_length(rows["flags"]), 0), False)
+                hashes, others, begins = word_values(rows["_text"].filter(asked))
                 text, first, last, anchor = segments(hashes, begins, window)
-                ends = np.searchsorted(text, np.arange(len(rows) + 1))
+                ends = np.searchsorted(text, np.arange(len(begins)))
+                asked = asked.to_numpy(zero_copy_only=False)
+                place_of = np.cumsum(asked) - 1
                 out, size = [], 0
                 for k, row in enumerate(rows.to_pylist()):
                     words, copies = WORD.findall(row["_text"]), row["n"] or 1
-                    own = slice(ends[k], ends[k + 1])
+                    own, base = slice(0, 0), 0
+                    if asked[k]:
+                        own, base = slice(ends[place_of[k]], ends[place_of[k] + 1]), begins[place_of[k]]
                     kinds = {f["h"]: f["kind"] for f in row["flags"] or ()}
                     todo, sure = [], []
                     for h, a, b in zip(
-                        anchor[own].view(np.int64).tolist(), (first[own] - begins[k]).tolist(), (last[own] - begins[k]).tolist()
+                        anchor[own].view(np.int64).tolist(), (first[own] - base).tolist(), (last[own] - base).tolist()
                     ):
                         if kinds.get(h) == UNIFORM:
                             sure.append({"first": a, "last": b})
@@ -172,7 +183,7 @@ def _split(window: int):
                             out.append({"uid": uid, "place": a, "content": content, "h": h, "weight": weight, "kind": 1})
                             size += len(content)
                             continue
-                        at = np.arange(a, b + 1) + begins[k]
+                        at = np.arange(a, b + 1) + base
                         pairs = (range_hashes(w, at, at + window) for w in (hashes, others))
                         for place, x, y in zip(range(a, b + 1), *(p.view(np.int64).tolist() for p in pairs)):
                             out.append({"uid": uid, "place": place, "h": x, "h2": y, "weight": weight, "kind": 2})
