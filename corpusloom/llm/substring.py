@@ -150,7 +150,7 @@ def _split(window: int):
                 ends = np.searchsorted(text, np.arange(len(begins)))
                 asked = asked.to_numpy(zero_copy_only=False)
                 place_of = np.cumsum(asked) - 1
-                out, size = [], 0
+                out, size, many = [], 0, []
                 for k, row in enumerate(rows.to_pylist()):
                     words, copies = WORD.findall(row["_text"]), row["n"] or 1
                     own, base = slice(0, 0), 0
@@ -183,20 +183,31 @@ def _split(window: int):
                             out.append({"uid": uid, "place": a, "content": content, "h": h, "weight": weight, "kind": 1})
                             size += len(content)
                             continue
-                        at = np.arange(a, b + 1) + base
-                        pairs = (range_hashes(w, at, at + window) for w in (hashes, others))
-                        for place, x, y in zip(range(a, b + 1), *(p.view(np.int64).tolist() for p in pairs)):
-                            out.append({"uid": uid, "place": place, "h": x, "h2": y, "weight": weight, "kind": 2})
-                            size += 50
+                        many.append((uid, weight, a, np.arange(a, b + 1) + base))
                     if size > 4 << 20:
                         yield _rows(out)
                         out, size = [], 0
                 if out:
                     yield _rows(out)
+                yield from _windows(many, hashes, others, window)
 
     return run
 
 
+def _windows(many: list[tuple], hashes: np.ndarray, others: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of segments ``uid, weight, first place, places among all words``, hashed together."""
+    for low in range(0, len(many), 2000):
+        some = many[low : low + 2000]
+        at = np.concatenate([m[3] for m in some])
+        x, y = (range_hashes(w, at, at + window).view(np.int64).tolist() for w in (hashes, others))
+        out, k = [], 0
+        for uid, weight, first, places in some:
+            for place in range(first, first + len(places)):
+                out.append({"uid": uid, "place": place, "h": x[k], "h2": y[k], "weight": weight, "kind": 2})
+                k += 1
+        yield _rows(out)
+
+
 def _without(words: list[str], ranges: list[dict], window: int) -> dict:
     """What is left without the words that the windows in ``ranges`` cover."""
     gone = np.zeros(len(words) + 1, np.int64)
