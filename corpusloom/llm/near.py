@@ -535,7 +535,10 @@ def near_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     family = F.when(F.col("_own"), F.col("node")).otherwise(F.col("family")).alias("family")
     members = members.join(kin.join(own, "node", "full").select("node", family), "node", "left")
     members = cut_lineage(members.withColumn("family", F.coalesce("family", "node")))
-    left = open_members(members.where("size > 2"), labels)  # in a bucket of two the pair has been tried
+    # the pair of a bucket of two has been tried only where one of them is central to the other
+    pair = members.where("size = 2").groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    known = pair.join(tried, ["a", "b"], "left_semi").select("bucket")
+    left = open_members(members.join(known, "bucket", "left_anti"), labels)
     partners = PARTNERS
     while not left.isEmpty():
         proposed = cut_lineage(proposed_pairs(left, sketches, partners, similarity))

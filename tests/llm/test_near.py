@@ -199,6 +199,24 @@ def test_a_loose_group_needs_no_pairs(spark, monkeypatch):
     assert sum(p.count() for p in proposed) < 300
 
 
+def test_a_pair_alone_in_its_bucket_is_compared(spark):
+    """Both lie in larger buckets too, whose central texts are others; a later bucket leaves the pair to the first."""
+    words = [f"w{k}" for k in range(100)]
+    texts = {b"x": " ".join(words), b"y": " ".join([*words, "z"])}
+    texts |= {n: " ".join(f"{n.decode()}{k}" for k in range(60)) for n in (b"p1", b"p2", b"q1", b"q2")}
+    shared = {b"x": {0: 1, 1: 2, 9: 8}, b"y": {0: 1, 1: 3, 9: 8}, b"p1": {1: 2, 2: 4, 3: 5, 9: 8}, b"p2": {1: 2, 2: 4, 3: 5}}
+    shared |= {b"q1": {1: 3, 2: 6, 3: 7}, b"q2": {1: 3, 2: 6, 3: 7}}
+    rng = np.random.default_rng(3)
+    alike = rng.bytes(near.COMPONENTS)
+    nodes = [
+        (n, [shared[n].get(k, 1000 * (1 + i) + k) for k in range(near.BANDS)], alike if n in (b"x", b"y") else rng.bytes(near.COMPONENTS))
+        for i, n in enumerate(texts)
+    ]
+    rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(texts.items())], "doc_id long, node binary, _text string")
+    got = near.near_links(rows, spark.createDataFrame(nodes, "node binary, bands array<long>, sketch binary"), 0.8)
+    assert {bytes(r["node"]): bytes(r["class"]) for r in got.collect()} == {b"x": b"x", b"y": b"x"}
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     docs = documents(spark, [text, text, text + " more", None, "", text], ids=[3, 3, None, None, None, 8])
