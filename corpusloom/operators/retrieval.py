@@ -22,16 +22,20 @@ MAX_BROADCAST_QUERIES = 4_096
 MAX_BROADCAST_BYTES = 64 << 20
 
 # One side of a block pair has at most so many rows and bytes. Every vector is sent to as many
-# block pairs as there are blocks on the other side, so blocks are as large as a task can hold.
+# block pairs as there are blocks on the other side, so blocks are as large as a task can hold
+# once there are enough of them to share out the work.
 BLOCK_ROWS = 65_536
 BLOCK_BYTES = 64 << 20
+LEAST_BLOCK_ROWS = 1_024
+ENOUGH_BLOCKS = 8
 
 # Pivots that documents are sorted to: the square root of their number, between these bounds.
 # All pivots together are sent to every task and stay under MAX_BROADCAST_BYTES.
 MIN_PIVOTS, MAX_PIVOTS = 64, 8_192
 
-# Size of one distance matrix and of one exact re-check.
+# Size of one distance matrix and of one exact re-check, and queries of one matrix.
 _MATRIX_CELLS = 2_000_000
+_MATRIX_QUERIES = 1_024
 _EXACT_PAIRS = 100_000
 
 
@@ -79,11 +83,16 @@ class _TopK:
         self.best = pd.DataFrame({"q": [], "doc_id": [], "d2": []})
         self.limit = np.full(len(queries), np.inf)
 
-    def add(self, ids: np.ndarray, vecs: np.ndarray, keys: np.ndarray | None) -> None:
+    def add(self, ids: np.ndarray, vecs: np.ndarray, keys: np.ndarray | None, barred=None) -> None:
+        """``barred``: of a slice of the rows, which queries (by row) must not meet which of them."""
         step = max(1, _MATRIX_CELLS // max(1, len(self.q)))
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
-            self._merge(self._scan(ids[part], vecs[part], None if keys is None else keys[part]))
+            no = None if barred is None else barred(part)
+            if keys is not None:
+                other = self.keys[:, None] != keys[part][None, :]
+                no = other if no is None else no | other
+            self._merge(self._scan(ids[part], vecs[part], no))
 
     def _merge(self, found: pd.DataFrame) -> None:
         """Keep k rows per query after every step, so many equal vectors never pile up."""
@@ -94,16 +103,24 @@ class _TopK:
         full = full[full["size"] == self.k]
         self.limit[full.index.to_numpy(dtype=int)] = full["max"].to_numpy()
 
-    def _scan(self, ids: np.ndarray, x: np.ndarray, keys: np.ndarray | None) -> pd.DataFrame:
+    def _scan(self, ids: np.ndarray, x: np.ndarray, barred: np.ndarray | None) -> pd.DataFrame:
         norms = np.einsum("ij,ij->i", x, x)
-        d2 = self.norms[:, None] + norms[None, :] - 2.0 * (self.q @ x.T)
+        d2 = self.q @ x.T
+        d2 *= -2.0
+        d2 += self.norms[:, None]
+        d2 += norms[None, :]
         margin = 1e-9 * (1.0 + self.norms + norms.max(initial=0.0))
-        if keys is not None:
-            d2[self.keys[:, None] != keys[None, :]] = np.inf
-        kth = self.limit
-        if len(ids) > self.k:
-            kth = np.minimum(kth, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
-        qi, xi = np.nonzero((d2 <= (kth + margin)[:, None]) & np.isfinite(d2))
+        if barred is not None:
+            d2[barred] = np.inf
+        kth = self.limit.copy()
+        # once a query has k rows, few others pass, so only the first ones are ranked here
+        new = np.flatnonzero(np.isinf(kth))
+        if len(ids) > self.k and len(new):
+            kth[new] = np.partition(d2[new], self.k - 1, axis=1)[:, self.k - 1]
+        near = d2 <= (kth + margin)[:, None]
+        if np.isinf(kth).any():
+            near &= np.isfinite(d2)
+        qi, xi = np.nonzero(near)
         exact = np.empty(len(qi))
         for at in range(0, len(qi), _EXACT_PAIRS):
             part = slice(at, at + _EXACT_PAIRS)
@@ -127,10 +144,10 @@ def _nearest(queries: DataFrame, docs: DataFrame, k: int, max_broadcast: int, bl
     fields = f"query_id {query_type}, doc_id {id_type}, d2 double"
     if len(head) <= most:
         return _nearest_broadcast(head, docs, k, keyed, fields)
-    block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
+    least, most = block_rows or LEAST_BLOCK_ROWS, max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
     if keyed:
-        return _nearest_by_key(queries, docs, k, fields, block_rows)
-    return _nearest_by_cell(queries, docs, k, fields, block_rows, MAX_BROADCAST_BYTES // row_bytes)
+        return _nearest_by_key(queries, docs, k, fields, least, most)
+    return _nearest_by_cell(queries, docs, k, fields, least, most, MAX_BROADCAST_BYTES // row_bytes)
 
 
 def _nearest_broadcast(
@@ -165,19 +182,33 @@ def _nearest_broadcast(
     return docs.mapInPandas(scan, fields)
 
 
+def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different vector, and which of these each row is."""
+    rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    return np.unique(rows, return_index=True, return_inverse=True)[1:]
+
+
 def _pair(q: pd.DataFrame, d: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest documents of one block for the queries of another."""
+    """The k nearest documents of one block for the queries of another.
+
+    Equal queries are looked up once, and of equal documents the k smallest ids can be hits.
+    """
     if q.empty or d.empty:
         return pd.DataFrame({"query_id": [], "doc_id": [], "d2": []})
-    top = _TopK(_matrix(q["vec"]), None, k)
-    top.add(d["doc_id"].to_numpy(), _matrix(d["vec"]), None)
-    return pd.DataFrame(
-        {
-            "query_id": q["query_id"].to_numpy()[top.best["q"].to_numpy(dtype=int)],
-            "doc_id": top.best["doc_id"].to_numpy(),
-            "d2": top.best["d2"].to_numpy(),
-        }
-    )
+    d = d.sort_values("doc_id", kind="stable")
+    x, ids = _matrix(d["vec"]), d["doc_id"].to_numpy()
+    same = pd.Series(_different(x)[1])
+    few = (same.groupby(same).cumcount() < k).to_numpy()
+    x, ids = x[few], ids[few]
+    y = _matrix(q["vec"])
+    first, which = _different(y)
+    asked = pd.DataFrame({"query_id": q["query_id"].to_numpy(), "q": which})
+    found = []
+    for at in range(0, len(first), _MATRIX_QUERIES):
+        top = _TopK(y[first[at : at + _MATRIX_QUERIES]], None, k)
+        top.add(ids, x, None)
+        found.append(top.best.assign(q=top.best["q"].astype(np.int64) + at))
+    return asked.merge(pd.concat(found), on="q")[["query_id", "doc_id", "d2"]]
 
 
 def _pair_up(left: DataFrame, right: DataFrame, group: list[str], k: int, fields: str) -> DataFrame:
@@ -185,7 +216,12 @@ def _pair_up(left: DataFrame, right: DataFrame, group: list[str], k: int, fields
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, fields)
 
 
-def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str, block_rows: int) -> DataFrame:
+def _block_rows(n: Column, least: int, most: int) -> Column:
+    """Rows of a block where there are ``n``: ``ENOUGH_BLOCKS`` blocks if these are not too small or too large."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(n / ENOUGH_BLOCKS)))
+
+
+def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str, least: int, most: int) -> DataFrame:
     """Many queries with a filter key: blocks of bounded size inside each key.
 
     Each pair of a query block and a document block of a key is one small
@@ -194,7 +230,8 @@ def _nearest_by_key(queries: DataFrame, docs: DataFrame, k: int, fields: str, bl
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        n = F.count(F.lit(1))
+        return df.groupBy("key").agg(F.ceil(n / _block_rows(n, least, most)).cast("int").alias(name))
 
     sizes = blocks(queries, "q_blocks").join(blocks(docs, "d_blocks"), "key")
 
@@ -218,8 +255,32 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def _packed(counts: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: cells that follow each other share one while they fit."""
+    rows = min(most, max(least, -(-int(counts.sum()) // ENOUGH_BLOCKS)))
+    first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    block, held = 0, 0
+    for c, n in enumerate(counts.tolist()):
+        if held and held + n > rows:
+            block, held = block + 1, 0
+        first[c], parts[c], held = block, max(1, -(-n // rows)), held + n
+        if parts[c] > 1:
+            block, held = block + int(parts[c]), 0
+    return first, parts
+
+
+def _chain(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order in which each is followed by the nearest one left."""
+    left, order = np.ones(len(pivots), bool), [0]
+    for _ in range(len(pivots) - 1):
+        left[order[-1]] = False
+        rest = np.flatnonzero(left)
+        order.append(int(rest[_distances(pivots[order[-1]][None, :], pivots[rest])[0].argmin()]))
+    return np.array(order)
+
+
 def _nearest_by_cell(
-    queries: DataFrame, docs: DataFrame, k: int, fields: str, block_rows: int, pivots_that_fit: int
+    queries: DataFrame, docs: DataFrame, k: int, fields: str, least: int, most: int, pivots_that_fit: int
 ) -> DataFrame:
     """Many queries: documents in cells around pivots, and only cells that can matter.
 
@@ -227,87 +288,100 @@ def _nearest_by_cell(
     the radius of each cell bound the distance of a query's k-th neighbour
     from above; the triangle inequality bounds the distance to any document
     of a cell from below. A query visits the cells whose lower bound does not
-    pass its upper bound, so the result is exact. Cells are cut into blocks
-    of bounded size, whatever share of the documents they hold. Documents with
-    their cells and queries with theirs are each computed once and written.
+    pass its upper bound, so the result is exact. Near cells share a block of
+    bounded size and large ones are cut into several, so a query is sent to
+    each block once, however many cells of it matter. Queries are in blocks by
+    their own nearest pivots. Documents and queries with their cells are each
+    computed once and written.
     """
     spark = docs.sparkSession
     n_pivots = max(1, min(max(MIN_PIVOTS, round(docs.count() ** 0.5)), MAX_PIVOTS, pivots_that_fit))
     sample = docs.orderBy(F.xxhash64("doc_id")).limit(n_pivots).select("vec").toPandas()
-    pivots = spark.sparkContext.broadcast(_matrix(sample["vec"]))
+    if sample.empty:
+        return spark.createDataFrame([], fields)
+    around = _matrix(sample["vec"])
+    pivots = spark.sparkContext.broadcast(around[_chain(around)])  # cells are numbered in this order
     id_type = docs.schema["doc_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     vec_type = docs.schema["vec"].dataType.simpleString()
     query_vec_type = queries.schema["vec"].dataType.simpleString()
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        step = max(1, _MATRIX_CELLS // len(pivots.value))
         for batch in batches:
-            if len(batch):
-                far = _distances(_matrix(batch["vec"]), pivots.value)
-                cell = far.argmin(axis=1)
-                yield batch.assign(cell=cell.astype(np.int32), radius=far[np.arange(len(far)), cell])
+            for at in range(0, len(batch), step):
+                piece = batch.iloc[at : at + step]
+                yield piece, _distances(_matrix(piece["vec"]), pivots.value)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece, far in pieces(batches):
+            cell = far.argmin(axis=1)
+            yield piece.assign(cell=cell.astype(np.int32), radius=far[np.arange(len(far)), cell])
 
     placed = cut_lineage(
         docs.select("doc_id", "vec").mapInPandas(assign, f"doc_id {id_type}, vec {vec_type}, cell int, radius double")
     )
+    asking = cut_lineage(
+        queries.select("query_id", "vec").mapInPandas(
+            assign, f"query_id {query_type}, vec {query_vec_type}, cell int, radius double"
+        )
+    )
     # at most one row per pivot
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")
-    ).toPandas()
-    cells["blocks"] = np.ceil(cells["n"] / block_rows).astype(int)
+    ).toPandas().sort_values("cell")
+    asked = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("cell")
+    cells["first"], cells["parts"] = _packed(cells["n"].to_numpy(), least, most)
+    asked["first"], asked["parts"] = _packed(asked["n"].to_numpy(), least, most)
     known = spark.sparkContext.broadcast(cells)
-    query_blocks = max(1, -(-queries.count() // block_rows))
+    query_blocks = int((asked["first"] + asked["parts"]).max()) if len(asked) else 1
+
+    def blocks(df: pd.DataFrame) -> DataFrame:
+        rows = [tuple(map(int, r)) for r in df[["cell", "first", "parts"]].to_numpy()]
+        return F.broadcast(spark.createDataFrame(rows, "cell int, _first int, _parts int"))
+
+    def block_of(id_name: str) -> Column:
+        return (F.col("_first") + F.pmod(F.xxhash64(id_name), F.col("_parts"))).cast("int")
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each query and block that it visits, and at last one for each query block and cell."""
         c = known.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = _distances(_matrix(batch["vec"]), pivots.value[c["cell"].to_numpy()])
-            within = d + c["far"].to_numpy()
+        n, near, far, cell = (c[x].to_numpy() for x in ("n", "near", "far", "cell"))
+        first, parts = c["first"].to_numpy(), c["parts"].to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        visited = np.zeros((query_blocks, len(c)), bool)
+        for piece, d in pieces(batches):
+            d = d[:, cell]
+            within = d + far
             order = np.argsort(within, axis=1)
-            reached = np.cumsum(c["n"].to_numpy()[order], axis=1) >= k
+            reached = np.cumsum(n[order], axis=1) >= k
             # fewer than k documents in all: every cell is needed
             at = np.where(reached.any(axis=1), reached.argmax(axis=1), d.shape[1] - 1)
             limit = within[np.arange(len(d)), order[np.arange(len(d)), at]]
             limit[~reached.any(axis=1)] = np.inf
-            least = np.maximum(d - c["far"].to_numpy(), c["near"].to_numpy() - d)
-            qi, ci = np.nonzero(least <= (limit * (1 + 1e-9) + 1e-6)[:, None])
-            picked = batch.iloc[qi]
-            yield pd.DataFrame(
-                {
-                    "query_id": picked["query_id"].to_numpy(),
-                    "vec": picked["vec"].to_numpy(),
-                    "cell": c["cell"].to_numpy()[ci],
-                    "blocks": c["blocks"].to_numpy()[ci],
-                }
-            )
-
-    visiting = cut_lineage(
-        queries.select("query_id", "vec").mapInPandas(
-            visit, f"query_id {query_type}, vec {query_vec_type}, cell int, blocks int"
-        )
-    )
-    visits = visiting.select(
-        "query_id",
-        "vec",
-        "cell",
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("db"),
-    )
-    sizes = spark.createDataFrame(
-        [(int(c), int(b)) for c, b in zip(cells["cell"], cells["blocks"])], "cell int, blocks int"
-    )
-    group = ["cell", "db", "qb"]
-    cut = placed.join(F.broadcast(sizes), "cell").select(
-        "doc_id", "vec", "cell", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("db")
+            needed = np.maximum(d - far, near - d) <= (limit * (1 + 1e-9) + 1e-6)[:, None]
+            for qb in np.unique(piece["qb"]):
+                visited[qb] |= needed[(piece["qb"] == qb).to_numpy()].any(axis=0)
+            qi, bi = np.nonzero(np.logical_or.reduceat(needed, begins, axis=1))
+            several = parts[begins][bi]
+            qi, db = np.repeat(qi, several), np.repeat(first[begins][bi], several)
+            db += np.arange(len(db)) - np.repeat(np.cumsum(several) - several, several)
+            for some in range(0, len(qi), BLOCK_ROWS):
+                picked = piece.iloc[qi[some : some + BLOCK_ROWS]]
+                yield picked[["query_id", "vec", "qb"]].assign(db=db[some : some + BLOCK_ROWS].astype(np.int32), cell=np.int32(-1))
+        qb, ci = np.nonzero(visited)
+        yield pd.DataFrame({"query_id": None, "vec": None, "qb": qb.astype(np.int32), "db": np.int32(-1), "cell": cell[ci]})
+
+    dealt = asking.join(blocks(asked), "cell").select("query_id", "vec", block_of("query_id").alias("qb"))
+    told = cut_lineage(
+        dealt.mapInPandas(visit, f"query_id {query_type}, vec {query_vec_type}, qb int, db int, cell int")
     )
-    # a document block is sent to the query blocks that visit it, and no others
-    visited = visits.select(*[F.col(c).alias(c) for c in group]).distinct()
-    right = cut.join(visited, ["cell", "db"]).select(
-        "doc_id", "vec", *[F.col(c).alias(c) for c in group]
+    # a document is sent to the query blocks that visit its cell, and to no others
+    visited = told.where("db < 0").groupBy("cell").agg(F.collect_set("qb").alias("_qbs"))
+    right = placed.join(blocks(cells), "cell").join(F.broadcast(visited), "cell").select(
+        "doc_id", "vec", block_of("doc_id").alias("db"), F.explode("_qbs").alias("qb")
     )
-    return _pair_up(visits, right, group, k, fields)
+    return _pair_up(told.where("db >= 0").select("query_id", "vec", "db", "qb"), right, ["db", "qb"], k, fields)
 
 
 def nearest(
@@ -330,8 +404,9 @@ def nearest(
     documents with its own value; null meets nothing. ``mode="pre"`` filters before ranking.
     ``mode="post"`` ranks the nearest 2k first and may return fewer than k.
     More queries than ``max_broadcast`` (by default ``MAX_BROADCAST_QUERIES``)
-    are handled by blocks of up to ``block_rows`` (by default what ``BLOCK_ROWS``
-    and ``BLOCK_BYTES`` allow); the hits are the same. Hits are ranked in two
+    are handled by blocks of about ``block_rows`` (by default ``LEAST_BLOCK_ROWS``), or
+    an eighth of a side if that is more, up to what ``BLOCK_ROWS`` and
+    ``BLOCK_BYTES`` allow; the hits are the same. Hits are ranked in two
     levels, as every task or block pair may return k of a query.
     """
     max_broadcast = MAX_BROADCAST_QUERIES if max_broadcast is None else max_broadcast

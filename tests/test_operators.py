@@ -332,6 +332,25 @@ def test_cells_leave_out_far_documents(spark, monkeypatch):
     assert {r.doc_id for r in groups[0].select("doc_id").collect()} <= set(range(60))
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_a_vector_is_sent_to_few_blocks(spark, monkeypatch, keyed):
+    """Without near neighbours every cell matters, but a query goes to a block once, and blocks are few."""
+    x = np.random.default_rng(4).normal(size=(1200, 16))
+    x[600:900] = x[0]
+    rows = frame(spark, [(j, v.tolist(), 0) for j, v in enumerate(x)], "id long, embedding array<double>, g int")
+    seen, original = [], retrieval._pair_up
+    monkeypatch.setattr(retrieval, "_pair_up", lambda *a: (seen.append(a[:2]), original(*a))[1])
+    hits = retrieval.nearest(
+        rows, rows, k=3, query_id="id", doc_id="id", filter_key="g" if keyed else None, max_broadcast=50, block_rows=8
+    ).collect()
+    for side, name in zip(seen[0], ("query_id", "doc_id")):
+        assert side.groupBy(name).count().agg(F.max("count")).first()[0] <= 20
+    got = {}
+    for r in sorted(hits, key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == brute_force(x, x, 3)
+
+
 def test_post_filter_may_return_fewer(spark):
     docs = frame(spark, [(i, [float(i)], i % 4) for i in range(20)], "doc_id long, embedding array<float>, g int")
     queries = frame(spark, [(0, [0.0], 3)], "query_id long, embedding array<float>, g int")
