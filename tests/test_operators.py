@@ -195,6 +195,20 @@ def test_dependents_by_path_and_name(spark):
 # --- symbols ---
 
 
+def test_counted_dependents_equal_the_listed_ones(spark):
+    rng = random.Random(6)
+    names = ["u.py", "v.py", None]
+    results = [("p", f"d{i % 40}/{i}" if i % 9 else None, rng.choice(names), "x") for i in range(60)]
+    results += results[:7]
+    deps = [("p", rng.choice(results)[1], rng.choice(names), rng.choice(results)[1]) for _ in range(200)]
+    res = frame(spark, results, "project_id string, rel_path string, file_name string, requirements string")
+    dep = frame(spark, deps, "project_id string, src_path string, file_name string, target_path string")
+    for by in ("path", "name"):
+        listed = imports.dependents(dep, res, by=by).groupBy("project_id", "rel_path").agg(F.count(F.lit(1)).alias("edges"))
+        counted = imports.dependents(dep, res, by=by, counted=True)
+        assert sorted(map(repr, counted.collect())) == sorted(map(repr, listed.collect()))
+
+
 def test_python_facts():
     source = (
         "import os, sys\nfrom . import a\nfrom x.y import z\n"
