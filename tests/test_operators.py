@@ -195,6 +195,20 @@ def test_dependents_by_path_and_name(spark):
 # --- symbols ---
 
 
+def test_counted_containment_equals_the_listed_edges(spark):
+    rng = random.Random(8)
+    words = ["a", "ab", "bca", "abc", "cab", "bcab", "", "d.ab"]
+    paths = ["/".join(rng.choice(words) for _ in range(3)) for _ in range(60)]
+    files = frame(spark, [(rng.choice("pq"), p) for p in [*paths, *paths[:9], None]], "project_id string, rel_path string")
+    asked = [(rng.choice("pq"), rng.choice(paths), i, rng.choice([*words, None])) for i in range(150)]
+    found = frame(spark, asked, "project_id string, src_path string, import_pos int, import_name string")
+    listed = imports.containment_edges(found, files).groupBy("project_id", "source").agg(
+        F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"), F.min("target").alias("first")
+    )
+    counted = imports.containment_edges(found, files, counted=True)
+    assert counted.columns == listed.columns and sorted(counted.collect()) == sorted(listed.collect())
+
+
 def test_counted_dependents_equal_the_listed_ones(spark):
     rng = random.Random(6)
     names = ["u.py", "v.py", None]
