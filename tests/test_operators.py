@@ -236,6 +236,16 @@ def test_python_facts():
         ("inner", "foo"), ("m", "bar"), ("m", "foo"), ("m", "inner")]
 
 
+def test_facts_leave_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(symbols, "FACT_ROWS", 3)
+    files = frame(
+        spark, [(f"f{i}", "Python", "\n".join(f"import m{k}" for k in range(i))) for i in range(8)] + [("n", "Python", None)],
+        "rel_path string, language string, text string",
+    )
+    got = [(r.rel_path, r.kind, r.name, r.caller, r.pos) for r in symbols.python_symbols(files, keep=()).collect()]
+    assert sorted(got) == sorted((f"f{i}", "import", f"m{k}", None, k) for i in range(8) for k in range(i))
+
+
 def test_python_facts_with_syntax_error():
     source = "import lost\ndef good():\n    run()\ndef bad(:\n    pass\nclass C:\n    def ok(self): pass\n"
     assert [(k, n) for k, n, _, _ in symbols.python_facts(source)] == [
