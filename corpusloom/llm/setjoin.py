@@ -472,7 +472,10 @@ def linked(found: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 
 def _derived(similarity: tuple[int, int]):
-    """Links between a family's members of different classes, from their differences to the representative."""
+    """Links between a family's members of different classes, from their differences to the representative.
+
+    A link makes the two classes one for what follows, so there are fewer links than classes.
+    """
 
     def run(key, table):  # without hints, from which Spark would guess the kind of function
         nodes, sizes = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
@@ -501,9 +504,12 @@ def _derived(similarity: tuple[int, int]):
             apart = length[k] + length - 2 * shared
             near = (apart <= most_apart(sizes[k] + sizes, similarity)) & (label != label[k]) & (block == there)
             found = np.flatnonzero(near)
-            for j in found[np.unique(label[found], return_index=True)[1]].tolist():  # one link to each class will do
+            classes, at = np.unique(label[found], return_index=True)  # one link to each class will do
+            for j in found[at].tolist():
                 a.append(nodes[k])
                 b.append(nodes[j])
+            if len(classes):
+                label[np.isin(label, classes)] = label[k]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

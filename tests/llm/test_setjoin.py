@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import ODD_TEXTS, documents
 
@@ -160,3 +161,22 @@ def test_list_pairs_leave_out_nothing(monkeypatch, skip):
             if rows["list"][i] == rows["list"][j] and 10 * n >= 9 * m and 19 * behind >= 9 * (n + m):
                 want.add((i, j))
     assert got == want
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_a_family_of_classes_is_linked_without_all_its_pairs(blocks):
+    """Forty sets that link with each other and not with their representative: fewer links than sets."""
+    n = 40
+    own = [np.arange(1, 7, dtype=np.uint64).tobytes()[:-8] + np.uint64(100 + k).tobytes() for k in range(n)]
+    table = pa.table({
+        "family": [0] * (n + 1), "node": range(n + 1), "n": pa.array([100] * (n + 1), pa.int32()), "class": range(n + 1),
+        "home": [0] * (n + 1), "block": pa.array([k % blocks for k in range(n + 1)], pa.int32()),
+        "difference": pa.array([None, *own], pa.binary()),
+    })
+    keys = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    parts = [setjoin._derived((97, 100))(tuple(map(pa.scalar, (0, *k))), table) for k in keys]
+    links = [(a, b) for p in parts for a, b in zip(*p.to_pydict().values())]
+    reached = {1}
+    while more := {x for link in links if reached & {*link} for x in link} - reached:
+        reached |= more
+    assert reached == {*range(1, n + 1)} and len(links) < n * len(keys)
