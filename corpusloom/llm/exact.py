@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut_lineage
 
 from .common import SPACES, join_facts, whole_text
+from .needed import among
 
 # Bytes of different contents that a table holds, and that a bucket should have.
 TABLE_BYTES = 48 << 20
@@ -192,9 +193,10 @@ def exact_copies(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
     come last. Of rows that are the same in both, any one stays. An empty
     table stays empty. With ``carry`` there is also ``_row``, the row as it
     was, whatever its columns are called. A very long text is one record, which
-    a table takes alone if it must.
+    a table takes alone if it must. Only rows of groups meet their facts by a
+    join; a filter of bounded size tells most others, which stay where they are.
     """
-    classes = content_classes(docs, **how)
+    classes = cut_lineage(content_classes(docs, **how).where("n > 1"))
     totals = classes.agg(F.sum("n").alias("rows"), F.max("n_best").alias("repeated")).first()
     text = whole_text(F.col("text"))
     rows = docs.select(
@@ -203,7 +205,8 @@ def exact_copies(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
         F.length(text).cast("long").alias("_length"),
         F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"),
     )
-    found = join_facts(rows, classes.where("n > 1"), "digest", "n", totals["rows"] or 0)
+    some, alone = among(rows, classes, "digest")
+    found = join_facts(some, classes, "digest", "n", totals["rows"] or 0)
     best = F.col("n").isNull() | (
         (F.col("_length") == F.col("best_length")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
     )
@@ -214,6 +217,8 @@ def exact_copies(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
         found = found.withColumn("_tie", F.when(tied, F.col("digest")).otherwise(apart))
         place = F.row_number().over(Window.partitionBy("_tie", "kept").orderBy("_length"))
         found = found.withColumn("kept", F.col("kept") & (place == 1)).drop("_tie")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in classes.schema if f.name != "digest"}
+    found = found.unionByName(alone.withColumns(none | {"kept": F.lit(True)}))
     return found.select(
         *(["_row"] if carry else []),
         "doc_id",

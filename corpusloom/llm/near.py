@@ -37,7 +37,7 @@ from corpusloom.session import cut_lineage
 
 from .batches import mix, parts, split_words, string_hashes, window_hashes
 from .common import join_facts, whole_text
-from .needed import needed_texts, possible
+from .needed import among, needed_texts, possible
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -278,7 +278,10 @@ def central_answers(pairs: DataFrame, texts: DataFrame, family: float = FAMILY)
 
 
 def _derived(similarity: float):
-    """Of one pair of blocks of a family: links between members of different classes, one to each class."""
+    """Of one pair of blocks of a family: links between members of different classes.
+
+    A link makes the two classes one for what follows, so there are fewer links than classes.
+    """
 
     def run(key, table):  # without hints, from which Spark would guess the kind of function
         nodes = table["node"].to_pylist()
@@ -321,10 +324,9 @@ def _derived(similarity: float):
             at_most = (weight[k] + weight - apart) / 2 / union
             at_most += (shared_weight[k] + shared_weight) / np.maximum(np.minimum(weight[k], weight), 1)
             likely = (at_most >= similarity - 1e-9) & (label != label[k]) & (block == there)
-            done = set()
             for j in np.flatnonzero(likely).tolist():
-                if label[j] not in done and _between(centre, (elements, before, after), k, j) >= similarity:
-                    done.add(label[j])
+                if label[j] != label[k] and _between(centre, (elements, before, after), k, j) >= similarity:
+                    label[label == label[j]] = label[k]
                     a.append(min(nodes[k], nodes[j]))
                     b.append(max(nodes[k], nodes[j]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -592,11 +594,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, carry: bool = F
     told = in_class.join(classes, "class")
     n_best = F.sum(F.when(F.struct("best.none", "best.id") == F.col("first"), F.col("best.m")).otherwise(0))
     n_best = told.groupBy("class").agg(n_best.alias("n_best"))
-    facts = cut_lineage(
-        told.join(n_best, "class").select("node", "n", "class", "class_size", F.col("first.id").alias("class_id"), "n_best")
-    )
+    facts = told.where("class_size > 1").join(n_best, "class")
+    facts = cut_lineage(facts.select("node", "n", "class", "class_size", F.col("first.id").alias("class_id"), "n_best"))
     totals = facts.agg(F.sum("n").alias("rows"), F.max("n_best").alias("repeated")).first()
-    found = join_facts(keyed.drop("_text"), facts, "node", "n", totals["rows"] or 0)
+    # rows that are a class of their own need no join and stay where they are
+    some, alone = among(keyed.drop("_text"), facts, "node")
+    found = join_facts(some, facts, "node", "n", totals["rows"] or 0)
+    size, own = F.coalesce("class_size", F.lit(1).cast("long")), F.when(F.col("class_size").isNull(), F.col("doc_id"))
+    found = found.withColumns({"class_size": size, "class_id": own.otherwise(F.col("class_id"))})
     found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     if (totals["repeated"] or 1) > 1:  # some rows tie for the smallest id
         apart = F.concat(F.col("node"), F.monotonically_increasing_id().cast("string").cast("binary"))
@@ -604,7 +609,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, carry: bool = F
         found = found.withColumn("_tie", F.when(tied, F.col("class")).otherwise(apart))
         place = F.row_number().over(Window.partitionBy("_tie", "kept").orderBy("node"))
         found = found.withColumn("kept", F.col("kept") & (place == 1)).drop("_tie")
-    return found.select(*(["_row"] if carry else []), "doc_id", "class_id", "class_size", "kept")
+    columns = [*(["_row"] if carry else []), "doc_id", "class_id", "class_size", "kept"]
+    alone = alone.withColumns({"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    return found.select(*columns).unionByName(alone.select(*columns))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,6 +35,21 @@ def possible(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return hashed.mapInArrow(_let_through(table, rows.columns), fields)
 
 
+def among(rows: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``on`` may be among those of ``keys``, and those where it is not, for which no join is needed.
+
+    ``keys`` should be written, and ``rows`` cheap to compute, as each part does so.
+    """
+    listed = keys.select(F.col(on).alias("key"))
+    table = rows.sparkSession.sparkContext.broadcast(build_filter(listed, keys.count(), FILTER_BYTES))
+
+    def let_through(hashes: pd.Series) -> pd.Series:
+        return pd.Series(may_contain(hashes.to_numpy().view(np.uint64), table.value))
+
+    found = F.pandas_udf(let_through, "boolean")(F.xxhash64(on))
+    return rows.where(found), rows.where(~found)
+
+
 def needed_texts(rows: DataFrame, involved: DataFrame, on: str, text: str = "_text") -> DataFrame:
     """``involved`` with ``text``: that of the row with the same ``on``.
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from fixtures import ODD_TEXTS, documents
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, exact, urls
+from corpusloom.llm import common, exact, near, urls
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -148,3 +149,14 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     table = np.zeros((blocks, 8), np.uint64)
     np.bitwise_or.at(table, urls._blocks(keys, blocks), urls._words(keys))
     assert urls.may_contain(keys, table).all() and urls.may_contain(others, table).mean() < 0.01
+
+
+@pytest.mark.parametrize("module", [exact, near])
+def test_rows_without_copies_do_not_move(spark, monkeypatch, module):
+    met, original = [], module.join_facts
+    monkeypatch.setattr(module, "join_facts", lambda rows, *how: met.append(rows.count()) or original(rows, *how))
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(400)]
+    docs = documents(spark, [*texts, texts[0], texts[1] + " "])
+    kept = exact.drop_copies(docs) if module is exact else near.drop_near_copies(docs)
+    assert kept.count() == 400 and kept.columns == docs.columns and met[-1] < 100
