@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.strings import let
@@ -32,6 +35,25 @@ def count_chars_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is written inside the block passes to workers in Arrow batches of about ``most`` bytes, not of 64 MB.
+
+    A batch is in the memory of a task and of its worker, and in neither's heap. A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    used = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)) if before else 0
+    if 0 < used <= most:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def is_small(rows: DataFrame, row_bytes: Column) -> bool:
     """Whether a table may be sent to every task; ``row_bytes`` is what is large in a row."""
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()
@@ -93,4 +115,4 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: i
     return first.join(cold, "_join", "left").withColumns(merged).drop("_join", *[f"_hot_{c}" for c in columns])
 
 
-__all__ = ["SMALL_ROWS", "SPACES", "count_chars_of", "is_small", "join_facts", "let", "number_rows", "split_words", "whole_text"]
+__all__ = ["SMALL_ROWS", "SPACES", "batch_bytes", "count_chars_of", "is_small", "join_facts", "let", "number_rows", "split_words", "whole_text"]

@@ -7,7 +7,8 @@ that find no room are written out again, and dealt out by another hash into
 buckets of their own; this is repeated until every content was in a table.
 
 Before the first deal each task runs its own rows through such a table, so a
-content that a third of all rows have leaves a task once, not once a row.
+content that a third of all rows have leaves a task once for each filling of
+the table, not once a row.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
 
-from .common import SPACES, join_facts, whole_text
+from .batches import parts
+from .common import SPACES, batch_bytes, join_facts, whole_text
 from .needed import among
 
 # Bytes of different contents that a table holds, and that a bucket should have.
-TABLE_BYTES = 48 << 20
-BUCKET_BYTES = 32 << 20
+TABLE_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+# Rows pass between Spark and a worker in batches of about so many bytes, and become Python objects so many at a time.
 BATCH_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 # At most so many partitions are dealt at once. More buckets share a partition, which Spark sorts by bucket.
 FAN_OUT = 4_000
 
@@ -93,8 +97,9 @@ def merge(into: list, other: list) -> None:
 def _through_table(most_bytes: int, finish: bool):
     """Run a partition through a table, or through one after the other if its rows come by ``bucket``.
 
-    What found no room comes out as it went in. Entries come out as records
-    again, or if ``finish`` as classes: with a digest in place of the content.
+    Entries come out as records again, and a full table makes way for an empty
+    one; or if ``finish`` as classes, with a digest in place of the content, and
+    what found no room comes out as it went in.
     """
     names = [c.split()[0] for c in RECORD.split(", ")]
     kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary()]
@@ -107,7 +112,7 @@ def _through_table(most_bytes: int, finish: bool):
         for row in rows:
             held.append(row)
             size += len(row[1] or b"") + 100
-            if size > BATCH_BYTES:
+            if size > PART_BYTES:
                 yield batch_of(held)
                 held, size = [], 0
         if held:
@@ -123,14 +128,22 @@ def _through_table(most_bytes: int, finish: bool):
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         table, at = ContentTable(most_bytes), None
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in names[:-1]]
-            buckets = batch["bucket"].to_pylist() if "bucket" in batch.schema.names else repeat(None)
-            for bucket, h, content, *facts in zip(buckets, *columns):
-                if bucket != at:
-                    yield from entries(table)
-                    table, at = ContentTable(most_bytes), bucket
-                if not table.add(h, content, facts):
-                    yield (h, content, *facts, None)
+            for some in parts(batch["content"], PART_BYTES):
+                rows = batch.slice(some.start, some.stop - some.start)
+                columns = [rows[n].to_pylist() for n in names[:-1]]
+                buckets = rows["bucket"].to_pylist() if "bucket" in rows.schema.names else repeat(None)
+                for bucket, h, content, *facts in zip(buckets, *columns):
+                    if bucket != at:
+                        yield from entries(table)
+                        table, at = ContentTable(most_bytes), bucket
+                    if table.add(h, content, facts):
+                        continue
+                    if finish:
+                        yield (h, content, *facts, None)
+                    else:
+                        yield from entries(table)
+                        table = ContentTable(most_bytes)
+                        table.add(h, content, facts)
         yield from entries(table)
 
     return lambda batches: in_batches(rows_of(batches))
@@ -166,7 +179,8 @@ def content_classes(
     while True:
         buckets = max(1, -(-size // bucket_bytes))
         dealt = _dealt(todo, buckets, fan_out, level)
-        spill = cut_lineage(dealt.mapInArrow(_through_table(table_bytes, finish=True), RECORD))
+        with batch_bytes(docs.sparkSession, BATCH_BYTES):
+            spill = cut_lineage(dealt.mapInArrow(_through_table(table_bytes, finish=True), RECORD))
         done = spill.where("digest IS NOT NULL").drop("h", "content")
         classes = done if classes is None else classes.unionByName(done)
         todo = spill.where("digest IS NULL")

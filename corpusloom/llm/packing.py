@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import parts
-from .common import number_rows, whole_text
+from .common import batch_bytes, number_rows, whole_text
 from .tokens import pieces_of
 
 MAX_TOKENS = 2048
 END_TOKEN = 1
 
-# Pieces leave a worker in batches of about so many bytes of ids.
+# Texts come to a worker, and pieces leave it, in batches of about so many bytes; texts are encoded so many at a time.
 BATCH_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 def binary_pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -53,7 +54,7 @@ def _decompose(name: str, most: int, end_token: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(name)
         for batch in batches:
-            for part in parts(batch["_text"]):
+            for part in parts(batch["_text"], PART_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
                 ids, begins = pieces.ids(rows["_text"])
                 ids = np.insert(ids, begins[1:], end_token).astype("<u4")
@@ -105,7 +106,9 @@ def bucket(pieces: DataFrame) -> DataFrame:
     """
     mixed = F.xxhash64("doc_id", "start")
     order = [F.col("length").desc(), mixed, F.col("doc_id").asc_nulls_first(), F.col("start")]
-    return number_rows(pieces, order, "sequence_id").withColumn("offset", F.lit(0).cast("long"))
+    with batch_bytes(pieces.sparkSession, BATCH_BYTES):
+        numbered = number_rows(pieces, order, "sequence_id")
+    return numbered.withColumn("offset", F.lit(0).cast("long"))
 
 
 def pack(docs: DataFrame, **how) -> DataFrame:

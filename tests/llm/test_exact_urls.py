@@ -4,11 +4,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import ODD_TEXTS, documents
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, exact, near, urls
+from corpusloom.llm import common, exact, near, packing, urls
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -63,6 +64,62 @@ def test_table_compares_contents_of_equal_hashes():
     assert full.add(1, b"x" * 100, [1, 1, 1, 1])
 
 
+def test_late_copies_leave_a_task_once_for_each_filling():
+    contents = [b"own %04d" % k for k in range(300)] + [b"late"] * 500
+    ones = pa.array([1] * len(contents), pa.int64())
+    numbers = pa.array(range(len(contents)), pa.int64())
+    hashes = pa.array([hash(c) for c in contents], pa.int64())
+    names = ["h", "content", "n", "best_length", "best_id", "n_best", "digest"]
+    columns = [hashes, pa.array(contents), ones, ones, numbers, ones, pa.nulls(len(contents), pa.binary())]
+    sent = exact._through_table(5000, finish=False)(iter([pa.record_batch(columns, names)]))
+    found = [(r["content"], r["n"]) for b in sent for r in b.to_pylist()]
+    assert sorted(found) == [(b"late", 500), *((c, 1) for c in contents[:300])]
+
+
+def test_batches_to_a_worker_are_small_while_something_is_written(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with common.batch_bytes(spark, 1 << 19):
+        small = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        with common.batch_bytes(spark, 1 << 20):  # the smaller one stays
+            assert int(spark.conf.get(name)) == 1 << 19
+    assert max(small) < 1 << 20 and sum(small) > 4_000_000
+    assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("run", [exact.exact_copies, packing.packing_digest])
+def test_texts_are_written_in_small_batches(spark, monkeypatch, run):
+    limits = []
+    for module in (exact, common):
+        def write(df, then=module.cut_lineage):
+            limits.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+            return then(df)
+
+        monkeypatch.setattr(module, "cut_lineage", write)
+    run(documents(spark, ["a b", "c"] * 20)).collect()
+    assert limits[0] == str(8 << 20)
+
+
+def test_texts_are_packed_in_parts(monkeypatch):
+    seen = []
+
+    class Watched:
+        def ids(self, texts):
+            seen.append(texts.nbytes)
+            return np.zeros(len(texts), np.uint32), np.arange(len(texts) + 1)
+
+    monkeypatch.setattr(packing, "pieces_of", lambda name: Watched())
+    texts = pa.array(["word " * 2000] * 900)  # 9 MB
+    batch = pa.record_batch([pa.array(range(900), pa.int64()), texts], ["doc_id", "_text"])
+    out = list(packing._decompose("word_bpe_49k.json", 2048, 1)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 900 and max(seen) < 3 << 20
+
+
 def test_no_more_partitions_than_the_fan_out(spark):
     records = spark.range(1000).select(F.col("id").alias("h"))
     assert exact._dealt(records, 3, 8, 0).rdd.getNumPartitions() == 3
