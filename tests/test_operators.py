@@ -534,3 +534,19 @@ def test_cache_needs_both_diagrams(spark):
         F.struct(sha(t).alias("content_hash"), F.lit(g).alias("target_graph")) for t, g in [("x", a), ("x", b), ("y", a), ("y", a)]])))
     assert [r.requests for r in diagrams.cache_hits(requests, cache).collect()] == [2]
     assert diagrams.cache_misses(requests, cache).count() == 2
+
+
+def test_nodes_are_computed_once_for_their_ways_to_the_root(spark):
+    rows = [("p", "", "root", "directory", None), ("p", "a", "a", "directory", ""), ("p", "a/f.py", "f.py", "file", "a")]
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    schema = "project_id string, id string, name string, type string, parent string"
+    nodes = frame(spark, rows, schema).mapInArrow(counted, schema)
+    got = {(r.id, r.step, r.on_path) for r in graph.path_to_root(nodes).collect()}
+    assert got == {("", 0, ""), ("a", 0, "a"), ("a", 1, ""), ("a/f.py", 0, "a/f.py"), ("a/f.py", 1, "a"), ("a/f.py", 2, "")}
+    assert passed.value == 3
