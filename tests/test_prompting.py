@@ -64,6 +64,67 @@ def test_prompts_of_nothing(spark):
     assert prompting.chunk_prompts(files, "Go.").count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_and_vectors_are_made_once(spark):
+    """No filter builds the text, its pieces or the vectors a second time."""
+    from corpusloom.operators.chunks import store_chunks, token_chunks
+
+    files = spark.createDataFrame(FILES, "project_id string, rel_path string, language string, text string").repartition(2)
+    made = files.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda l: F.reverse(l)), "\n"))
+    chunks = store_chunks(made, ["project_id", "rel_path", "language"], small=100, max_tokens=150)
+    assert plan_of(chunks).count("reverse(") == 1
+    nothing = made.withColumn("text", F.when(F.col("rel_path") == "a.py", F.col("text")))
+    assert [r["rel_path"] for r in token_chunks(nothing, ["rel_path"]).collect()] == ["a.py"]
+    vectors = plan_of(prompting.embedded_chunks(chunks.withColumn("_id", F.col("rel_path")), None, 32))
+    assert vectors.count("ArrowEvalPython") == 1 and "array_remove" not in vectors
+
+
+def test_contents_meet_their_query_once(spark):
+    files = spark.createDataFrame(FILES, "project_id string, rel_path string, language string, text string")
+    rows = prompting.chunk_prompts(files, "Go.", 2, dimension=32, rule_list=RULES, small=100, max_tokens=150)
+    assert plan_of(rows).count("Exchange hashpartitioning(query_id") == 1
+
+
+def test_vectors_are_those_of_counted_words(spark):
+    import hashlib
+    import re
+
+    texts = ["Alpha beta alpha", "", None, "É_1 é_1 – ½ x", " \n", "w" * 5000, " ".join(f"w{k % 700}" for k in range(9000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    for r in retrieval.hashed_embedding(df, dimension=16).collect():
+        counts = np.zeros(16, np.int64)
+        for w in re.findall(r"[^\W]+", (r["text"] or "").lower().replace("½", " ")):
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        norm = max(int((counts * counts).sum()), 1) ** 0.5
+        assert r["embedding"] == [float(np.float32(c / norm)) for c in counts], r["id"]
+
+
+@pytest.mark.parametrize("offset, scale", [(0, 1), (1000, 1), (0, 1e-25), (1e18, 1e17), (0, 1e-4)])
+def test_products_in_single_precision_lose_no_neighbour(offset, scale):
+    """Norms far above the distances, and numbers too small or large for single precision."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 12)) * scale + offset
+    x[50:60] = x[0]
+    x[60:80] = x[0] * (1 + 1e-9 * rng.normal(size=(20, 12)))
+    top = retrieval._TopK(x[:90], None, 3)
+    for at in range(0, 700, 350):
+        top.add(np.arange(at, at + 350), x[at : at + 350], None)
+    for q, rows in top.best.groupby("q"):
+        best = sorted((d, j) for j, d in enumerate(np.einsum("ij,ij->i", x[q] - x, x[q] - x)))[:3]
+        assert list(zip(rows["d2"], rows["doc_id"])) == best, q
+    assert len(top.best) == 270
+
+
+def test_vectors_of_several_widths_stop_a_search():
+    import pyarrow as pa
+
+    with pytest.raises(ValueError):
+        retrieval._rows_of(pa.chunked_array([pa.array([[1.0, 2.0], [1.0, 2.0, 3.0], [4.0]])]))
+
+
 # --- metadata of any shape ---
 
 
