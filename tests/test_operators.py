@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,34 @@ def test_counted_containment_equals_the_listed_edges(spark):
     assert counted.columns == listed.columns and sorted(counted.collect()) == sorted(listed.collect())
 
 
+def test_counted_containment_lists_no_pairs_of_sources_and_targets(spark, monkeypatch):
+    """Each of 60 sources has a name of each of 60 files and one of all: 7,200 edges to 3,600 different targets."""
+    monkeypatch.setattr(imports, "BLOCK_NAMES", 700)
+    monkeypatch.setattr(imports, "LEAST_BLOCK_NAMES", 90)
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    files = frame(spark, [(p, f"Z{n}Z") for p in "pq" for n in names], "project_id string, rel_path string")
+    asked = [(p, f"s{i}", k, n) for p in "pq" for i in range(60) for k, n in enumerate([*names, "Z"])]
+    found = frame(spark, asked, "project_id string, src_path string, import_pos int, import_name string")
+    counted = imports.containment_edges(found, files, counted=True)
+    assert sorted(map(tuple, counted.collect())) == sorted((p, f"s{i}", 120, 60, "ZaaZ") for p in "pq" for i in range(60))
+    assert "cogroup" in plan_of(counted).lower()
+    counted = imports.containment_edges(found.drop("project_id"), files.drop("project_id"), keep=(), counted=True)
+    assert sorted(map(tuple, counted.collect())) == sorted((f"s{i}", 480, 60, "ZaaZ") for i in range(60))
+
+
+def test_targets_met_equals_a_plain_count(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(90)]
+    pick = lambda most: rng.sample(words[: rng.choice([3, 90])], rng.randint(1, min(most, 3)))
+    lists = lambda rows: pa.chunked_array([pa.array(part, pa.list_(pa.string())) for part in (rows[:2], rows[2:])])
+    for n, room in [(1, 64), (64, 64), (65, 1024), (400, 1 << 22), (400, 1024)]:
+        monkeypatch.setattr(imports, "_BITS", room)
+        classes, sources = [pick(9) for _ in range(n)], [pick(5) + ["else"] * (i % 2) for i in range(70)] + [["else"]]
+        sizes = [rng.choice([1, 1, 3, 1000]) for _ in range(n)]
+        want = [sum(size for names, size in zip(classes, sizes) if set(names) & set(s)) for s in sources]
+        assert imports.targets_met(lists(sources), lists(classes), pa.chunked_array([sizes])).tolist() == want
+
+
 def test_counted_dependents_equal_the_listed_ones(spark):
     rng = random.Random(6)
     names = ["u.py", "v.py", None]
