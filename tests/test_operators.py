@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import (
     chunks, corpus, diagrams, graph, imports, merging, retrieval, rules, skew, summaries, symbols,
 )
+from corpusloom.plans.analysis import project_graph
 
 
 def frame(spark, rows, schema):
@@ -225,6 +226,21 @@ def test_counted_containment_lists_no_pairs_of_sources_and_targets(spark, monkey
     assert sorted(map(tuple, counted.collect())) == sorted((f"s{i}", 480, 60, "ZaaZ") for i in range(60))
 
 
+def test_counted_graph_edges_equal_the_listed_ones_without_listing_imports(spark, monkeypatch):
+    monkeypatch.setattr(imports, "BLOCK_NAMES", 6)
+    monkeypatch.setattr(imports, "LEAST_BLOCK_NAMES", 4)
+    names = ["ab", "abc", "b", "util", "til"]
+    text = lambda i: f"import {names[i % 5]}\nimport {names[i % 3]}\ndef f_{i % 2}(x):\n    f_{i % 2}(x)\n"
+    rows = [(p, f"src/{names[i % 5]}{i % 7}.py", "Python", text(i)) for p in "pq" for i in range(12)]
+    files = frame(spark, rows, "project_id string, rel_path string, language string, text string")
+    listed = project_graph(files)[1].groupBy("project_id", "source", "type").agg(
+        F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"), F.min("target").alias("first")
+    )
+    counted = project_graph(files, counted=True)[1]
+    assert "FlatMapCoGroupsInArrow" in plan_of(counted)
+    assert sorted(map(tuple, counted.select(*listed.columns).collect())) == sorted(map(tuple, listed.collect()))
+
+
 def test_targets_met_equals_a_plain_count(monkeypatch):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(90)]
